@@ -26,18 +26,40 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Chunks(dict):
-    """Packed ids of chunks of text that start at a space; each is encoded by the tokenizer once."""
+    """Packed ids of chunks of text that start at a space; each is encoded by the tokenizer once.
 
-    def __init__(self, tokenizer, most: int = 400_000):
+    New chunks are encoded in long joined texts, where each still begins a token, and the ids are dealt back
+    by the lengths of their tokens in bytes.
+    """
+
+    def __init__(self, tokenizer, most: int = 800_000):
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
+        vocabulary = tokenizer.get_vocab()
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.sizes[i] = len(token)  # one character for each byte
 
-    def learn(self, chunks) -> None:
+    def learn(self, chunks: set[str]) -> None:
         if len(self) > self.most:
             self.clear()
         new = [c for c in chunks if c not in self]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        heads = [c for c in new if c[0] != " "]
+        for c, e in zip(heads, self.tokenizer.encode_batch_fast(heads, add_special_tokens=False), strict=True):
             self[c] = np.array(e.ids, "<u4").tobytes()
+        rest = [c for c in new if c[0] == " "]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.cumsum(np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in part), np.int64, len(part)))
+            after = np.cumsum(self.sizes[ids])
+            cuts = np.searchsorted(after, stops) + 1
+            if not np.array_equal(after[cuts - 1], stops):
+                raise ValueError("a token crosses a space")
+            raw, begin = ids.tobytes(), 0
+            for c, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self[c] = raw[begin:end]
+                begin = end
 
 
 def whole(text: str) -> list[str] | None:
