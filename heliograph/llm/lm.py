@@ -54,6 +54,23 @@ def count_words(batches):
     yield rows(counts, ends)
 
 
+def most_frequent(table: DataFrame, most: int) -> list:
+    """Rows (word, n) of the most frequent words, the largest counts first: all over some count, `most` rows at most.
+
+    The count comes from sizes of classes of counts, so no task and no driver holds more than `most` words.
+    """
+    size = F.floor(F.log2("n") * 64).cast("int")
+    sizes = sorted(((r["c"], r["k"]) for r in table.groupBy(size.alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
+    least, taken = None, 0
+    for c, k in sizes:
+        if taken + k > most:
+            break
+        least, taken = c, taken + k
+    if least is None:
+        return []
+    return sorted(table.filter(size >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
+
+
 def fit(contexts: np.ndarray, targets: np.ndarray, frequency: np.ndarray, width: int = WIDTH, noise: int = NOISE, epochs: int = EPOCHS, seed: int = SEED) -> dict:
     """Log-bilinear model by noise-contrastive estimation with Adagrad steps.
 
@@ -115,10 +132,10 @@ def normalisers(model: dict) -> np.ndarray:
 class Scorer:
     """Token numbers: 0 a text's end (and what is before its start), 1 the rare class, then the model's words."""
 
-    def __init__(self, known: list[bytes], counts: np.ndarray, model_words: int, total: int, distinct: int):
+    def __init__(self, known: list[bytes], counts: np.ndarray, model_words: int):
         self.model_words = min(model_words, len(known))
         self.index = {w: i + 2 for i, w in enumerate(known)}  # at and over model_words + 2: rare, but with a known count
-        self.counts, self.total, self.distinct = counts, total, distinct
+        self.counts = counts
 
     def numbers(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
         found = words(text)
@@ -147,20 +164,21 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
     total, distinct = whole["total"] or 0, whole["distinct"] or 0
     ends = (table.filter(F.col("word").isNull()).agg(F.sum("n")).first()[0]) or 0
     distinct -= ends == 0 and distinct > 0
-    frequent = table.filter(F.col("word").isNotNull()).orderBy(F.col("n").desc(), "word").limit(known_words).collect()
-    scorer = Scorer([bytes(r["word"]) for r in frequent], np.array([ends, 0, *[r["n"] for r in frequent]], np.int64), model_words, total, distinct)
+    frequent = most_frequent(table.filter(F.col("word").isNotNull()), known_words)
+    facts = [bytes(r["word"]) for r in frequent], np.array([ends, 0, *[r["n"] for r in frequent]], np.int64), model_words
+    scorer = Scorer(*facts)
     m = scorer.model_words
     rare_total = total - int(scorer.counts[: m + 2].sum())
     rare_distinct = max(0, distinct - (ends > 0) - m)
     frequency = np.array([ends, rare_total, *scorer.counts[2 : m + 2]], float)
 
-    shared = spark.sparkContext.broadcast(scorer)
+    shared = spark.sparkContext.broadcast(facts)
     share = min(1.0, sample_tokens / total) if total else 0.0
 
     def examples(batches):
         import pyarrow as pa
 
-        s = shared.value
+        s = Scorer(*shared.value)
         for batch in batches:
             data, offsets = byte_view(batch["text"])
             raw = data.tobytes()
@@ -180,13 +198,13 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
     def part(batches):
         import pyarrow as pa
 
-        s, net = shared.value, shared_model.value
+        s, net = Scorer(*shared.value), shared_model.value
         log_base = np.log10((s.counts + 0.5) / denominator)
         log_rare = np.log10((s.counts + 0.5) / rare_denominator)
         log_rare[: m + 2] = 0.0
         joined = np.concatenate(net["context"], axis=1)
         width = joined.shape[1] // 2
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             data, offsets = byte_view(batch["text"])
             raw, rows, keys = data.tobytes(), batch["_row"].to_pylist(), batch["key"].to_pylist()
             main: list[tuple] = []
