@@ -149,7 +149,8 @@ def identify(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame
         return df.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
-    schema = df.withColumns({"_lettered": lettered})
+    mark = "_lettered" + "_" * sum(n.startswith("_lettered") for n in names)
+    schema = df.withColumns({mark: lettered})
 
     def part(batches):
         import pyarrow as pa
@@ -163,7 +164,7 @@ def identify(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame
             best = bits.argmin(1) if len(bits) else np.zeros(0, int)
             least = bits.min(1) if len(bits) else np.zeros(0)
             share = 1 / np.exp2(-(bits - least[:, None]) / np.sqrt(size)[:, None]).sum(1)
-            ok = batch["_lettered"].to_numpy(zero_copy_only=False).astype(bool)
+            ok = batch[mark].to_numpy(zero_copy_only=False).astype(bool)
             pred = np.where(ok, langs[best], UNDETERMINED)
             out = [batch[n] for n in names] + [pa.array(pred.tolist(), pa.string()), pa.array(np.where(ok, share, 0.0)), pa.array(least / size)]
             yield pa.RecordBatch.from_arrays(out, [*names, "lang_pred", "score", "bits_per_byte"])
