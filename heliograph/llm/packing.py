@@ -13,6 +13,7 @@ partition of the written table of pieces, so no length, however common, meets in
 
 from __future__ import annotations
 
+import itertools
 import zlib
 
 import numpy as np
@@ -22,70 +23,115 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import durable, read
 
 CAPACITY, END = 1024, 2
+#: Documents encoded together.
+SOME = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class Chunks(dict):
-    """Packed ids of chunks of text that start at a space; each is encoded by the tokenizer once.
+#: Before a text's first word, which follows no space.
+FIRST = "\x00"
 
-    New chunks are encoded in long joined texts, where each still begins a token, and the ids are dealt back
-    by the lengths of their tokens in bytes.
+
+class Words:
+    """Ids of words, each encoded by the tokenizer once while it is kept: one flat array, and each word's stretch of it.
+
+    A word follows a space, or holds the line end or FIRST that it follows. New words are encoded in long
+    joined texts, where each begins a token, and the ids are dealt back by the lengths of their tokens in
+    bytes. Over `most` words, all are forgotten.
     """
 
-    def __init__(self, tokenizer, most: int = 800_000):
-        super().__init__()
+    def __init__(self, tokenizer, most: int = 600_000):
         self.tokenizer, self.most = tokenizer, most
         vocabulary = tokenizer.get_vocab()
-        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
-            self.sizes[i] = len(token)  # one character for each byte
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self) > self.most:
-            self.clear()
-        new = [c for c in chunks if c not in self]
-        heads = [c for c in new if c[0] != " "]
-        for c, e in zip(heads, self.tokenizer.encode_batch_fast(heads, add_special_tokens=False), strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
-        rest = [c for c in new if c[0] == " "]
-        for at in range(0, len(rest), 4096):
-            part = rest[at : at + 4096]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            stops = np.cumsum(np.fromiter((len(c) if c.isascii() else len(c.encode()) for c in part), np.int64, len(part)))
-            after = np.cumsum(self.sizes[ids])
-            cuts = np.searchsorted(after, stops) + 1
-            if not np.array_equal(after[cuts - 1], stops):
+            self.bytes[i] = len(token)  # one character for each byte
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.start, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def learn(self, new: list[str]) -> None:
+        firsts = [w for w in new if w[0] == FIRST]
+        self._keep(firsts, [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] for w in firsts], add_special_tokens=False)])
+        lines, words = [w for w in new if w[0] == "\n"], [w for w in new if w[0] not in (FIRST, "\n")]
+        for part, lead in [(lines[i : i + 4096], "") for i in range(0, len(lines), 4096)] + [(words[i : i + 4096], " ") for i in range(0, len(words), 4096)]:
+            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in part), np.int64, len(part)) + len(lead))
+            after = np.cumsum(self.bytes[ids])
+            cuts = np.searchsorted(after, stops)
+            if not np.array_equal(after[cuts], stops):
                 raise ValueError("a token crosses a space")
-            raw, begin = ids.tobytes(), 0
-            for c, end in zip(part, (4 * cuts).tolist(), strict=True):
-                self[c] = raw[begin:end]
-                begin = end
-
-
-def whole(text: str) -> list[str] | None:
-    """The text cut before single spaces between printable characters, where no token can cross; None if it has others.
+            self._store(part, ids, np.diff(cuts, prepend=-1))
+
+    def _keep(self, words: list[str], ids: list[list[int]]) -> None:
+        self._store(words, np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64))
+
+    def _store(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, need = len(self.place), self.used + len(ids)
+        if need > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(need, len(self.ids)), np.uint32)])
+        while first + len(words) > len(self.start):
+            self.start, self.size = np.concatenate([self.start, np.zeros_like(self.start)]), np.concatenate([self.size, np.zeros_like(self.size)])
+        self.ids[self.used : need] = ids
+        self.start[first : first + len(words)] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + len(words)] = sizes
+        self.used = need
+        self.place.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def encoded(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, joined, and how many each has."""
+        if len(self.place) > self.most:
+            self.forget()
+        at = np.fromiter(map(self.place.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            lacking = [flat[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(lacking)))
+            at[missing] = np.fromiter(map(self.place.__getitem__, lacking), np.int64, len(lacking))
+        sizes = self.size[at]
+        ends = np.cumsum(sizes)
+        return self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+
+def words_of(text: str) -> list[str] | None:
+    """The text cut at single spaces and line ends between printable characters, which no token can cross; None if it has other space.
 
     The tokenizer's pattern lets a token begin with one space and never hold a space elsewhere, except in
     runs of white space; a text with such runs, or with a special token's string, is encoded as one.
     """
-    if not text or text[0] == " " or text[-1] == " " or "  " in text or "<|" in text or not text.isascii() and any(c in text for c in ODD):
+    if any(c in text for c in ASCII_ODD) or "<|" in text or not text.isascii() and any(c in text for c in ODD):
         return None
-    if "\t" in text or "\r" in text or "\x0b" in text or "\x0c" in text or " \n" in text or "\n " in text or any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return None
-    head, *rest = text.split(" ")
-    return [head, *[" " + x for x in rest]]
+    parts = (FIRST + text.replace("\n", " \n")).split(" ")
+    return None if "" in parts or "\n" in parts or parts[0] == FIRST else parts
 
 
 #: White space beyond ASCII (fixed values).
 ODD = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
-def packed_ids(texts: list[str], chunks: Chunks) -> list[bytes]:
+ASCII_ODD = "\x00\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+
+
+def packed_ids(texts: list[str], words: Words) -> list[bytes]:
     """Little-endian 32-bit ids of each text."""
-    cut = [whole(t) for t in texts]
-    chunks.learn({c for parts in cut if parts for c in parts})
-    rest = iter(chunks.tokenizer.encode_batch_fast([t for t, parts in zip(texts, cut, strict=True) if parts is None], add_special_tokens=False))
-    return [b"".join(map(chunks.__getitem__, parts)) if parts is not None else np.array(next(rest).ids, "<u4").tobytes() for parts in cut]
+    cut = [words_of(t) for t in texts]
+    whole = iter(words.tokenizer.encode_batch_fast([t for t, parts in zip(texts, cut, strict=True) if parts is None], add_special_tokens=False))
+    flat = list(itertools.chain.from_iterable(parts for parts in cut if parts))
+    ids, sizes = words.encoded(flat)
+    raw, ends = ids.astype("<u4").tobytes(), np.r_[0, 4 * np.cumsum(sizes)]
+    bounds = iter(ends[np.cumsum([0, *[len(parts) for parts in cut if parts]])].tolist())
+    begin, out = next(bounds), []
+    for parts in cut:
+        if parts is None:
+            out.append(np.array(next(whole).ids, "<u4").tobytes())
+        else:
+            end = next(bounds)
+            out.append(raw[begin:end])
+            begin = end
+    return out
 
 
 def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -100,21 +146,21 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import pyarrow as pa
-        from tokenizers import Tokenizer
+        import tokenizers
 
         path = tokenizer_path
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path("byte_bpe_50k.json")
-        chunks = Chunks(Tokenizer.from_file(path))
+        words = Words(tokenizers.Tokenizer.from_file(path))
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             keys = batch["doc_id"].to_pylist()
             texts = batch["text"]
-            for at in range(0, len(keys), 256):
+            for at in range(0, len(keys), SOME):
                 rows = []
-                for key, ids in zip(keys[at : at + 256], packed_ids([t or "" for t in texts.slice(at, 256).to_pylist()], chunks), strict=True):
+                for key, ids in zip(keys[at : at + SOME], packed_ids([t or "" for t in texts.slice(at, SOME).to_pylist()], words), strict=True):
                     ids += tail
                     n = len(ids) // 4
                     first = n % capacity or capacity
