@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from heliograph.builder import Database
 from heliograph.operators import dml
 from heliograph.plans.ir import Query
+from heliograph.plans.parse import cascades
 from heliograph.schema import Catalog, EntitySchema, difference, evolved, from_json, to_json, violations
 from heliograph.sources.journal import Journal
 
@@ -227,6 +228,26 @@ class Warehouse(Database):
             done[key] = self.save(r.target, frame)
         return done
 
+    def save_cascading(self, name: str, rows: DataFrame, related: dict[str, DataFrame], instructions: str) -> dict[str, int]:
+        """Save rows and, by instructions like `items:Item(order_id, id)`, rows below them.
+
+        Rows under an attribute are saved to its type; those whose target field is null get the source field
+        of the parent that the column `_parent` (the parent's identifier) names.
+        """
+        schema = self.catalog.schema(name)
+        done = {name: self.save(name, rows)}
+        for c in cascades(instructions):
+            if c.attribute not in related:
+                continue
+            frame = related[c.attribute]
+            if "_parent" in frame.columns:
+                parents = rows.select(F.col(schema.identifier).alias("_parent"), F.col(c.source).alias("_source"))
+                frame = frame.join(parents, "_parent", "left")
+                have = F.col(c.target) if c.target in frame.columns else F.lit(None)
+                frame = frame.withColumn(c.target, F.coalesce(have, F.col("_source"))).drop("_parent", "_source")
+            done[c.attribute] = self.save(c.type, frame)
+        return done
+
     def remove_with(self, name: str, identifiers: list) -> dict[str, int]:
         """Remove rows, and rows they are related to where the relationship cascades deletes."""
         schema = self.catalog.schema(name)
