@@ -36,6 +36,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver find out which shuffles nothing needs any more, so that their files go."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slots(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session: the unit in which packed rows are dealt."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -10,23 +10,27 @@ chance of 1e-7.
 Documents with equal sets form classes first, so copies cost nothing further. In each bucket of a band key
 every class is paired with two pivots only, not with all. Pairs whose joint maximum-likelihood similarity is
 far too low are left; the rest are verified on full sets. Where a bucket still holds several components, its
-classes outside the largest one are compared with all classes of other components in that bucket, so no link
-that the bands have found is lost. Components come from labels that spread along links.
+classes outside the largest one meet all classes of other components in that bucket, so no link that the
+bands have found is lost. They meet inside a join whose condition compares bitmaps of their shingles: a bit
+that one has and the other lacks is a shingle less in common, so a pair passes if it may reach the threshold
+and is dropped only if it can't. Components come from labels that spread along links.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import byte_view, durable, read, runs
+from heliograph.llm.common import byte_view, durable, read, release, runs
 from heliograph.llm.shingles import Words, mix, sets
 
 BANDS, ROWS, BASE, RATE = 40, 5, 1.001, 20.0
 REGISTERS = BANDS * ROWS
 #: Pairs are left unverified if their estimate is under the threshold by more than this (5 standard deviations).
 MARGIN = 0.16
+#: 64-bit words of a bitmap.
+BITMAP = 16
 _U = np.uint64
 _RNG = np.random.default_rng(55)
 _XOR, _TIMES = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64), _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * _U(2) + _U(1)
@@ -129,7 +133,8 @@ def plausible(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, set): sorted 64-bit shingles, as bytes, of the wanted documents."""
+    """(id, n, set, w0 ...): sorted 64-bit shingles as bytes, their number and their bitmap, of the wanted documents."""
+    names = ["id", "n", "set", *[f"w{i}" for i in range(BITMAP)]]
 
     def part(batches):
         import pyarrow as pa
@@ -141,9 +146,20 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 o = offsets[start : stop + 1] - offsets[start]
                 shingles, at = sets(*hasher(data[offsets[start] : offsets[stop]], o), stop - start, n)
                 raw = [shingles[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(start, stop - start).cast(pa.int64()), pa.array(raw, pa.binary())], ["id", "set"])
+                bits = np.zeros((stop - start, 64 * BITMAP), bool)
+                bits[np.repeat(np.arange(stop - start), np.diff(at)), (mix(shingles) % _U(64 * BITMAP)).astype(np.int64)] = True
+                words = np.packbits(bits, axis=1).view(np.int64)
+                ids = batch["doc_id"].slice(start, stop - start).cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(raw, pa.binary()), *[pa.array(np.ascontiguousarray(w)) for w in words.T]], names)
 
-    return docs.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(part, "id long, set binary")
+    return docs.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(part, "id long, n long, set binary" + "".join(f", w{i} long" for i in range(BITMAP)))
+
+
+def may_reach(percent: int) -> Column:
+    """Whether the pair (x, y) may reach the threshold, by sizes nx, ny and bitmaps x0 ..., y0 ...: never false for one that does."""
+    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}{i}")))) for i in range(BITMAP)), F.lit(0))
+    common = F.least(F.col("nx") - lacks("x", "y"), F.col("ny") - lacks("y", "x"))
+    return common * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - common)
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -205,15 +221,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     first = durable(verified(plausible(pairs, classes, percent / 100), shingles, percent))
     labels = components(first)
 
+    release(docs.sparkSession)
+
     placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("t"), F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1)
     mixed = durable(mixed.select("key", F.col("t.component").alias("largest")))
-    placed = durable(placed.join(mixed, "key"))
-    apart = placed.filter(F.col("component") != F.col("largest")).select("key", F.col("id").alias("x"), F.col("component").alias("cx"))
-    across = apart.join(placed.select("key", F.col("id").alias("y"), F.col("component").alias("cy")), "key").filter(F.col("cx") != F.col("cy"))
+    placed = durable(placed.join(mixed, "key").join(shingles.drop("set"), "id"))
+    side = lambda s: [F.col("id").alias(s), F.col("component").alias(f"c{s}"), F.col("n").alias(f"n{s}"), *[F.col(f"w{i}").alias(f"{s}{i}") for i in range(BITMAP)]]
+    apart = placed.filter(F.col("component") != F.col("largest")).select("key", *side("x"))
+    across = apart.join(placed.select(F.col("key").alias("_key"), *side("y")), (F.col("key") == F.col("_key")) & (F.col("cx") != F.col("cy")) & may_reach(percent))
     more = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    second = durable(verified(plausible(more, classes, percent / 100), shingles, percent))
+    second = durable(verified(more, shingles, percent))
     if not second.isEmpty():
         labels = components(first.union(second))
 
@@ -232,3 +251,21 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of `documents` on 2-word shingles at a Jaccard similarity of 0.8."""
     return near_duplicates(read(spark, sf_dir, "documents"), n=2)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM w WHERE len(w) > 0)
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), links AS MATERIALIZED (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2) p
+  JOIN n m ON m.doc_id = p.a JOIN n o ON o.doc_id = p.b WHERE 100 * k >= 80 * (m.n + o.n - k)
+), pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach(a, b) AS (SELECT a, b FROM pairs UNION SELECT reach.a, pairs.b FROM reach JOIN pairs ON reach.b = pairs.a
+), c AS (SELECT a AS doc_id, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
