@@ -43,15 +43,20 @@ DECLARED = {
 
 
 def database(spark: SparkSession, sf_dir: str, strict: bool = False) -> Database:
-    """All test tables by their relationships. Schemas come from the files' footers."""
+    """All test tables by their relationships. Schemas come from the files' footers, once a query names them."""
     catalog = Catalog()
-    for name, (identifier, options) in DECLARED.items():
-        df = spark.read.parquet(f"{sf_dir}/{'orders' if name == 'sparse' else name}.parquet")
-        if name == "sparse":
-            df = sparse(df)
-        elif name == "lineitem":  # it has no key of its own
-            df = df.withColumn("l_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-        elif name == "conversations":
-            df = df.withColumn("turn_id", F.concat_ws("-", "conv_id", "turn"))
-        catalog.add(EntitySchema.of(name, df.schema, identifier, **options), df)
+    for name in DECLARED:
+        catalog.later(name, lambda name=name: table(spark, sf_dir, name))
     return Database(catalog, strict)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> tuple[EntitySchema, DataFrame]:
+    identifier, options = DECLARED[name]
+    df = spark.read.parquet(f"{sf_dir}/{'orders' if name == 'sparse' else name}.parquet")
+    if name == "sparse":
+        df = sparse(df)
+    elif name == "lineitem":  # it has no key of its own
+        df = df.withColumn("l_id", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    elif name == "conversations":
+        df = df.withColumn("turn_id", F.concat_ws("-", "conv_id", "turn"))
+    return EntitySchema.of(name, df.schema, identifier, **options), df

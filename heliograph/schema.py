@@ -118,18 +118,30 @@ class Catalog:
     def __init__(self):
         self.schemas: dict[str, EntitySchema] = {}
         self._tables: dict[str, Callable[[], DataFrame]] = {}
+        self._later: dict[str, Callable[[], tuple[EntitySchema, DataFrame]]] = {}
 
     def add(self, schema: EntitySchema, table: DataFrame | Callable[[], DataFrame]) -> Catalog:
         self.schemas[schema.name] = schema
         self._tables[schema.name] = table if callable(table) else lambda: table
         return self
 
+    def later(self, name: str, load: Callable[[], tuple[EntitySchema, DataFrame]]) -> Catalog:
+        """Add an entity whose files are not looked at before a query names it."""
+        self._later[name] = load
+        return self
+
+    def _load(self, name: str) -> None:
+        if name in self._later:
+            self.add(*self._later.pop(name)())
+
     def schema(self, name: str) -> EntitySchema:
+        self._load(name)
         if name not in self.schemas:
             raise KeyError(f"unknown entity {name}")
         return self.schemas[name]
 
     def table(self, name: str) -> DataFrame:
+        self._load(name)
         if name not in self._tables:
             raise KeyError(f"unknown table {name}")
         return self._tables[name]()
