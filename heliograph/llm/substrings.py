@@ -13,9 +13,10 @@ places. The distinct phrases are the dictionary, far smaller than the text where
    place of bytes.)
 3. Each document takes what both steps found and writes its remaining bytes.
 
-Rows travel packed: sorted hash parts and document numbers as bytes, one row for each slot and 16 MB of
-text. Copies within 16 MB are settled before the shuffle, so a passage that a third of all documents hold
-comes to its slot once for each 16 MB.
+Rows travel packed: sorted hash parts and document numbers as bytes, one row for each slot and flush of
+text. Both the text of a slot and that of a flush are the root of what the corpus holds times BLOB, within
+bounds, so packed rows keep about that size at any scale. Copies within a flush are settled before the
+shuffle, so a passage that a third of all documents hold comes to its slot once for each flush.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import byte_view, durable, read, runs, slots
+from heliograph.llm.common import byte_view, durable, read, release, runs, slots
 from heliograph.llm.shingles import _BASE, _BYTE, _INVERSE, _U, mix, powers
 
 SPAN, GRAM = 50, 20
-#: Bytes hashed at a time, bytes of text gathered for one packed row a slot, slots for each shuffle partition.
-RUN, FLUSH, FINE = 1 << 20, 16 << 20, 4
+#: Bytes hashed at a time, bytes of a packed row that are aimed at, least and most bytes of text of a slot.
+RUN, BLOB, LEAST, MOST = 1 << 20, 40_000, 1 << 20, 1 << 27
 PLACE = _U((1 << 28) - 1)
 TEXT, PHRASE, SPANS, DUPLICATE, OPEN, WINDOW, GONE = range(7)
 SCHEMA = "slot int, kind int, blob binary"
@@ -174,33 +175,38 @@ def smaller_first(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, begins, least
 
 
-def flushes(batches):
-    """(doc ids, data, offsets) of about FLUSH bytes of text each, from Arrow batches of doc_id and text."""
+def flushes(batches, size: int):
+    """(doc ids, bases, data, offsets) of about `size` bytes of text each, from Arrow batches of doc_id, base and text."""
     for batch in batches:
         data, offsets = byte_view(batch["text"])
-        docs = batch["doc_id"].to_numpy().astype(np.int64)
-        for a, b in runs(offsets, FLUSH):
-            yield docs[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        docs, bases = (batch[c].to_numpy().astype(np.int64) for c in ("doc_id", "base"))
+        for a, b in runs(offsets, size):
+            yield docs[a:b], bases[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def parse(number: int):
+def places(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.uint32 if values.max(initial=0) < 1 << 32 else np.uint64)
+
+
+def parse(number: int, size: int):
     """Documents to phrase rows by trigger; what copies within the flush settle goes to the documents' slots."""
 
     def part(batches):
         trail = Trail()
-        for docs, data, offsets in flushes(batches):
+        for docs, bases, data, offsets in flushes(batches, size):
             found = []
             for a, b in runs(offsets, RUN):
                 o = offsets[a : b + 1] - offsets[a]
                 some = data[offsets[a] : offsets[b]]
                 h, f, lo, hi, d = phrases(trail, some, o, trail.over(some))
-                found.append((h, f, lo - o[d], hi - o[d], docs[a + d]))
+                shift = bases[a + d] - o[d]
+                found.append((h, f, lo + shift, hi + shift, docs[a + d]))
             h, f, lo, hi, doc = (np.concatenate(x) for x in zip(*found, strict=True))
             if not len(h):
                 continue
             order, begins, least = smaller_first(identity(h, f), doc)
             late = order[doc[order] > least]
-            rows = dealt(home(doc[late], number), SPANS, lo[late].astype(np.uint32), (hi - lo)[late].astype(np.uint8), doc=doc[late])
+            rows = dealt(home(doc[late], number), SPANS, places(lo[late]), (hi - lo)[late].astype(np.uint8), doc=doc[late])
             first = order[begins]
             by_trigger = first[np.argsort(h[first] & _U(0xFFFFFFFF), kind="stable")]
             slot = ((h[by_trigger] >> _U(32)) % _U(number)).astype(np.int64)
@@ -271,18 +277,18 @@ def dictionary(number: int):
     return part
 
 
-def text_rows(number: int):
+def text_rows(number: int, size: int):
     """Documents packed by their home slots."""
 
     def part(batches):
-        for docs, data, offsets in flushes(batches):
+        for docs, bases, data, offsets in flushes(batches, size):
             slot = home(docs, number)
             order = np.argsort(slot, kind="stable")
             rows = []
             for a, b in stretches(slot[order]):
                 mine = order[a:b]
                 text = np.concatenate([data[offsets[i] : offsets[i + 1]] for i in mine])
-                rows.append((int(slot[mine[0]]), TEXT, pack(docs[mine], np.diff(offsets)[mine], text)))
+                rows.append((int(slot[mine[0]]), TEXT, pack(docs[mine], bases[mine], np.diff(offsets)[mine], text)))
             if rows:
                 yield batch_of(rows)
 
@@ -290,54 +296,66 @@ def text_rows(number: int):
 
 
 def texts(blob: bytes):
-    """(docs, data, offsets) of a text row, about RUN bytes at a time."""
-    docs, sizes, data = unpack(blob)
-    docs, offsets = docs.view(np.int64), np.r_[0, np.cumsum(sizes.view(np.int64))]
+    """(docs, bases, data, offsets) of a text row, about RUN bytes at a time."""
+    docs, bases, sizes, data = unpack(blob)
+    docs, bases, offsets = docs.view(np.int64), bases.view(np.int64), np.r_[0, np.cumsum(sizes.view(np.int64))]
     for a, b in runs(offsets, RUN):
-        yield docs[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        yield docs[a:b], bases[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
-def suffixes(number: int):
-    """Home slots to rows of windows of open phrases by their hashes, and to spans of duplicate phrases."""
+def suffixes(number: int, size: int):
+    """Home slots to rows of windows of open phrases by their hashes, and to spans of duplicate phrases.
+
+    What a slot's texts give is gathered until it comes from `size` bytes of text or the slot ends.
+    """
+
+    def settled(spans: list, windows: list):
+        rows = []
+        if spans:
+            lo, more, doc = (np.concatenate(x) for x in zip(*spans, strict=True))
+            rows += dealt(home(doc, number), SPANS, places(lo), more, doc=doc)
+        if windows:
+            w, place, doc = (np.concatenate(x) for x in zip(*windows, strict=True))
+            order, _, least = smaller_first(w, doc)
+            late = order[doc[order] > least]
+            rows += dealt(home(doc[late], number), GONE, places(place[late]), doc=doc[late])
+            first = order[doc[order] == least]  # sorted by hash
+            to = (mix(w[first]) % _U(number)).astype(np.int64)
+            low, high = narrow(w[first] >> _U(8), 24)
+            rows += dealt(to, WINDOW, low, high, places(place[first]), doc=doc[first])
+        if rows:
+            yield batch_of(rows)
 
     def part(batches):
         trail = Trail()
-        last = None
+        last, spans, windows, seen = None, [], [], 0
         for slot, small, blob in by_slot(batches):
+            if blob is None or seen > size:
+                yield from settled(spans, windows)
+                spans, windows, seen = [], [], 0
             if blob is None:
                 continue
             if slot != last:
                 last, flags = slot, {}
                 for kind in (DUPLICATE, OPEN):
                     doc, key = columns(small[kind]) if kind in small else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                    flags[kind] = np.sort(with_document(key, doc)), np.unique(doc)
-            rows, gathered = [], []
-            for docs, data, offsets in texts(blob):
-                flagged = np.isin(docs, flags[DUPLICATE][1]) | np.isin(docs, flags[OPEN][1])
-                if not flagged.any():
+                    flags[kind] = np.sort(with_document(key, doc))
+                flagged = np.unique(np.concatenate([columns(small[k])[0] for k in (DUPLICATE, OPEN) if k in small] or [np.zeros(0, np.int64)]))
+            for docs, bases, data, offsets in texts(blob):
+                seen += len(data)
+                if not within(docs, flagged).any():
                     continue
                 sums = trail.over(data)
                 h, f, lo, hi, d = phrases(trail, data, offsets, sums)
-                doc = docs[d]
+                doc, shift = docs[d], bases[d] - offsets[d]
                 key = with_document(identity(h & _U(0xFFFFFFFF), f), doc)
-                late = within(key, flags[DUPLICATE][0])
-                rows += dealt(home(doc[late], number), SPANS, (lo - offsets[d])[late].astype(np.uint32), (hi - lo)[late].astype(np.uint8), doc=doc[late])
-                open_ = np.flatnonzero(within(key, flags[OPEN][0]) & ~late)
+                late = within(key, flags[DUPLICATE])
+                spans.append(((lo + shift)[late], (hi - lo)[late].astype(np.uint8), doc[late]))
+                open_ = np.flatnonzero(within(key, flags[OPEN]) & ~late)
                 many = (hi - lo + 1)[open_]
                 start = np.repeat(lo[open_] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-                gathered.append((trail.stretch(sums, start, start + SPAN), np.repeat(doc[open_], many)))
-            if gathered:
-                w, doc = (np.concatenate(x) for x in zip(*gathered, strict=True))
-                order, begins, least = smaller_first(w, doc)
-                late = order[doc[order] > least]
-                low, high = narrow(w[late] >> _U(8), 24)
-                rows += dealt(home(doc[late], number), GONE, low, high, doc=doc[late])
-                first = order[begins]  # sorted by hash
-                to = (mix(w[first]) % _U(number)).astype(np.int64)
-                low, high = narrow(w[first] >> _U(8), 24)
-                rows += dealt(to, WINDOW, low, high, doc=doc[first])
-            if rows:
-                yield batch_of(rows)
+                windows.append((trail.stretch(sums, start, start + SPAN), start + np.repeat(shift[open_], many), np.repeat(doc[open_], many)))
+        yield from settled(spans, windows)
 
     return part
 
@@ -348,11 +366,11 @@ def prefixes(number: int):
     def part(batches):
         for _, small, _ in by_slot(batches):
             if WINDOW in small:
-                doc, low, high = columns(small[WINDOW])
+                doc, low, high, place = columns(small[WINDOW])
                 w = low.astype(np.uint64) | high.astype(np.uint64) << _U(32)
                 order, _, least = smaller_first(w, doc)
                 late = order[doc[order] > least]
-                rows = dealt(home(doc[late], number), GONE, low[late], high[late], doc=doc[late])
+                rows = dealt(home(doc[late], number), GONE, places(place[late]), doc=doc[late])
                 if rows:
                     yield batch_of(rows)
 
@@ -365,7 +383,6 @@ def removal(with_text: bool):
     def part(batches):
         import pyarrow as pa
 
-        trail = Trail()
         last = None
         for slot, small, blob in by_slot(batches):
             if blob is None:
@@ -373,28 +390,20 @@ def removal(with_text: bool):
             if slot != last:
                 last = slot
                 doc, lo, more = columns(small[SPANS]) if SPANS in small else [np.zeros(0, np.int64)] * 3
-                order = np.argsort(doc, kind="stable")
-                doc, lo, hi = doc[order], lo[order].astype(np.int64), (lo.astype(np.int64) + more.astype(np.int64))[order]
-                gone, w = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-                if GONE in small:
-                    gone, low, high = columns(small[GONE])
-                    w = low.astype(np.uint64) | high.astype(np.uint64) << _U(32)
-                flags, with_windows = np.sort(with_document(w, gone)), np.unique(gone)
-            for docs, data, offsets in texts(blob):
+                gone, place = columns(small[GONE]) if GONE in small else [np.zeros(0, np.int64)] * 2
+                doc, lo = np.concatenate([doc, gone]), np.concatenate([lo, place]).astype(np.int64)
+                hi = lo + np.concatenate([more, np.zeros(len(gone), more.dtype)]).astype(np.int64)
+                order = np.lexsort((lo, doc))
+                doc, lo, hi = doc[order], lo[order], hi[order]
+            for docs, bases, data, offsets in texts(blob):
                 change = np.zeros(len(data) + 1, np.int64)
-                for i, d in enumerate(docs):
-                    a, b = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
-                    if b > a:
-                        # spans beyond the text belong to another row with this number
-                        ok = hi[a:b] + SPAN <= offsets[i + 1] - offsets[i]
-                        np.add.at(change, offsets[i] + lo[a:b][ok], 1)
-                        np.add.at(change, offsets[i] + hi[a:b][ok] + SPAN, -1)
-                if np.isin(docs, with_windows).any():
-                    starts = windows_of(offsets)
-                    key = trail.stretch(trail.over(data), starts, starts + SPAN) >> _U(8)
-                    hit = starts[within(with_document(key, docs[np.searchsorted(offsets, starts, "right") - 1]), flags)]
-                    np.add.at(change, hit, 1)
-                    np.add.at(change, hit + SPAN, -1)
+                begin, end = np.searchsorted(doc, docs), np.searchsorted(doc, docs, "right")
+                for i in np.flatnonzero(end > begin):
+                    a, b = begin[i], end[i]
+                    a, b = a + np.searchsorted(lo[a:b], bases[i]), a + np.searchsorted(lo[a:b], bases[i] + offsets[i + 1] - offsets[i])
+                    shift = offsets[i] - bases[i]
+                    np.add.at(change, lo[a:b] + shift, 1)
+                    np.add.at(change, hi[a:b] + shift + SPAN, -1)
                 covered = np.cumsum(change[:-1]) > 0
                 rows = [], [], [], [], []
                 for i in range(len(docs)):
@@ -427,14 +436,21 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     partitions = slots(spark)
-    number = FINE * partitions
-    known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    parsed = gathered(known.mapInArrow(parse(number), SCHEMA), partitions)
+    facts = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("doc_id").alias("n")).first()
+    distinct = docs.select("doc_id").distinct().filter(F.col("doc_id").isNotNull()).count()
+    size = int(min(MOST, max(LEAST, ((facts["bytes"] or 0) * BLOB) ** 0.5)))
+    number = -(-(facts["bytes"] or 1) // size)
+    known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.lit(0).cast("long").alias("base"), "text")
+    if distinct < facts["n"]:  # rows that repeat a number get places one after the other
+        before = Window.partitionBy("doc_id").orderBy("text", "_row").rowsBetween(Window.unboundedPreceding, -1)
+        known = known.withColumn("_row", F.monotonically_increasing_id())
+        known = durable(known.withColumn("base", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long")).drop("_row"))
+    parsed = gathered(known.mapInArrow(parse(number, size), SCHEMA), partitions)
     settled = parsed.mapInArrow(both_kinds(dictionary(number), SPANS), SCHEMA)
     settled = durable(settled)
     release(spark)
-    at_home = known.mapInArrow(text_rows(number), SCHEMA)
-    opened = gathered(at_home.unionByName(settled.filter(F.col("kind").isin(DUPLICATE, OPEN))), partitions).mapInArrow(suffixes(number), SCHEMA)
+    at_home = known.mapInArrow(text_rows(number, size), SCHEMA)
+    opened = gathered(at_home.unionByName(settled.filter(F.col("kind").isin(DUPLICATE, OPEN))), partitions).mapInArrow(suffixes(number, size), SCHEMA)
     found = durable(gathered(opened, partitions).mapInArrow(both_kinds(prefixes(number), SPANS, GONE), SCHEMA))
     release(spark)
     last = at_home.unionByName(settled.filter(F.col("kind") == SPANS)).unionByName(found)
@@ -473,14 +489,24 @@ def both_kinds(step, *passing: int):
     return part
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver find out which shuffles nothing needs any more, so that their files go."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 50-byte strings over every whole text of `documents`."""
     return repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
+OP6_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), win AS MATERIALIZED (SELECT doc_id, i, substring(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, greatest(n - 49, 0))) AS i FROM h)
+), own AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g
+), gone AS MATERIALIZED (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN own USING (g) WHERE d < doc_id)
+), runs AS (
+  SELECT doc_id, count(*) AS n_removed, count(*) FILTER (WHERE before IS DISTINCT FROM p - 1) AS n_spans
+  FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM gone) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(substring(x, 2 * p + 1, 2), '' ORDER BY p) AS k
+  FROM (SELECT doc_id, x, unnest(range(0, n)) AS p FROM h) b ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT h.doc_id, CAST(h.n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256
+FROM h LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
