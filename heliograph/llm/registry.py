@@ -21,4 +21,10 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_topk": topk.OP1_SQL, "op4_chat_format": chat.OP4_SQL, "op7_decontaminate": decontam.OP7_SQL}
+    return {
+        "op1_topk": topk.OP1_SQL,
+        "op4_chat_format": chat.OP4_SQL,
+        "op5_near_duplicates": neardup.OP5_SQL,
+        "op6_repeats": substrings.OP6_SQL,
+        "op7_decontaminate": decontam.OP7_SQL,
+    }
