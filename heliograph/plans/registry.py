@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliograph import builder as b
+from heliograph import results
 from heliograph.builder import Database, asc, col, desc, search
+from heliograph.functions.scalars import cast_or_zero, parsed_date
 from heliograph.operators import dml, fulltext, vector
 from heliograph.plans.ir import Query
 from heliograph.plans.tables import SPARSE, database
@@ -323,6 +327,38 @@ def _payload(d: Database) -> b.Builder:
 add("k06_json_payload", _payload, "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_totalprice > 300000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1", "o_orderstatus", "n")
 
 
+# ---- the rest of the surface -----------------------------------------------------------------------------
+
+add("g01_computed_in_condition", lambda d: d.select("o_orderkey").from_("orders").where(col("is_large").eq(True) & col("o_orderstatus").eq("P")), "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000 AND o_orderstatus = 'P'")
+add("g04_user_processor", lambda d: results.processed(d.select("o_orderstatus", "o_totalprice").from_("orders").df(), _halved, "status string, half double"), "SELECT o_orderstatus AS status, o_totalprice / 2 AS half FROM orders WHERE o_totalprice > 400000")
+add("k10_exists", lambda d: _flags(d, here=d.exists("orders", 77), gone=d.exists("orders", -1)), "SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = 77) AS here, false AS gone")
+add("k12_replace_links", lambda d: dml.linked(d.catalog.table("lineitem").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey", 3, [1, 2, 2]), "SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_suppkey <> 3 UNION ALL VALUES (3, 1), (3, 2)")
+add("k19_truncate_partition", lambda d: dml.deleted(d.planner, Query("customer", partition="BUILDING"))[0].select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING'")
+add("d07_cascade_delete", lambda d: dml.without(d.catalog.table("nation"), d.from_("nation").where(col("region.r_name").eq("ASIA")).df(), "n_nationkey").select("n_nationkey"), "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')")
+add("o09_max_cardinality", lambda d: d.select("n_nationkey").from_("nation").max_cardinality(1000), "SELECT n_nationkey FROM nation")
+add("p13_hydrate_one", lambda d: d.select("c_custkey").from_("customer").where(col("nation.n_nationkey").eq(4)), "SELECT c_custkey FROM customer WHERE c_nationkey = 4")
+add("r04_sequence_iter", lambda d: _taken(d, 60), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 60")
+add("r08_cached", lambda d: results.ResultCache(d.planner).get(d.select("o_orderstatus", "count(o_orderkey)").from_("orders").group_by("o_orderstatus").query), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1", "o_orderstatus", "n")
+add("x08_cast_or_zero", lambda d: d.select("p_partkey", "p_brand").from_("part").df().select("p_partkey", cast_or_zero(F.substring("p_brand", 7, 9), T.IntegerType(), False).alias("number"), cast_or_zero(F.col("p_brand"), T.IntegerType(), False).alias("zero")), "SELECT p_partkey, CAST(substring(p_brand, 7) AS INTEGER) AS number, 0 AS zero FROM part")
+add("x09_parse_dates", lambda d: d.select("o_orderkey", "format(o_orderdate, 'MM/dd/yyyy')").from_("orders").df().toDF("o_orderkey", "s").select("o_orderkey", F.date_format(parsed_date(F.col("s")), "yyyy-MM-dd").alias("day")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+
+
+def _halved(frames):
+    for frame in frames:
+        large = frame[frame.o_totalprice > 400000]
+        yield large.assign(status=large.o_orderstatus, half=large.o_totalprice / 2)[["status", "half"]]
+
+
+def _flags(d: Database, **values: bool) -> DataFrame:
+    return d.catalog.table("region").limit(1).select(*[F.lit(v).alias(k) for k, v in values.items()])
+
+
+def _taken(d: Database, n: int) -> DataFrame:
+    """The first rows of a lazy sequence, back as a table."""
+    taken = list(itertools.islice(d.select("o_orderkey").from_("orders").order_by("o_orderkey").rows(), n))
+    return d.catalog.table("orders").sparkSession.createDataFrame([tuple(r) for r in taken], "o_orderkey long")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revenue by status for customers of one region, from the large orders alone."""
     d = database(spark, sf_dir)

@@ -92,6 +92,11 @@ def for_each_parallel(df: DataFrame, action: Callable[[Row], Any]) -> None:
     df.foreachPartition(part)
 
 
+def processed(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """A user's function over batches of the results as pandas frames, on the executors."""
+    return df.mapInPandas(function, schema)
+
+
 def reduction(df: DataFrame, field: str) -> Row:
     """(max, min, sum, n) of a column over all results, in one pass."""
     c = F.col(f"`{field}`")
