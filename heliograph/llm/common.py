@@ -36,6 +36,33 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def modest(spark: SparkSession, rows: int = 2000) -> None:
+    """Let the session hand workers batches of at most `rows` rows, so that batches of texts stay small on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def lean(part):
+    """part, giving back the memory it no longer needs when it ends, as workers stay for other tasks."""
+
+    def run(batches):
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        yield from part(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+
+    return run
+
+
 def release(spark: SparkSession) -> None:
     """Let the driver find out which shuffles nothing needs any more, so that their files go."""
     import gc

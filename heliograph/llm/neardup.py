@@ -8,7 +8,8 @@ and documents with a common key become candidates: at a similarity of 0.8 all BA
 chance of 1e-7.
 
 Documents with equal sets form classes first, so copies cost nothing further. In each bucket of a band key
-every class is paired with two pivots only, not with all. Pairs whose joint maximum-likelihood similarity is
+every class is paired with one pivot only, not with all: the class that shares the most buckets with others,
+which in a family of copies is the one closest to them all, and the same one in most buckets. Pairs whose joint maximum-likelihood similarity is
 far too low are left; the rest are verified on full sets. Where a bucket still holds several components, its
 classes outside the largest one meet all classes of other components in that bucket, so no link that the
 bands have found is lost. They meet inside a join whose condition compares bitmaps of their shingles: a bit
@@ -22,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import byte_view, durable, read, release, runs
+from heliograph.llm.common import byte_view, durable, lean, modest, read, release, runs
 from heliograph.llm.shingles import Words, mix, sets
 
 BANDS, ROWS, BASE, RATE = 40, 5, 1.001, 20.0
@@ -30,7 +31,7 @@ REGISTERS = BANDS * ROWS
 #: Pairs are left unverified if their estimate is under the threshold by more than this (5 standard deviations).
 MARGIN = 0.16
 #: 64-bit words of a bitmap.
-BITMAP = 16
+BITMAP = 32
 _U = np.uint64
 _RNG = np.random.default_rng(55)
 _XOR, _TIMES = _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64), _RNG.integers(0, 1 << 63, REGISTERS, dtype=np.uint64) * _U(2) + _U(1)
@@ -93,7 +94,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                     ["doc_id", "n", "d1", "d2", "sketch"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(part, "doc_id long, n long, d1 long, d2 long, sketch binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(part), "doc_id long, n long, d1 long, d2 long, sketch binary")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -110,7 +111,7 @@ def band_keys(classes: DataFrame) -> DataFrame:
             key = mix(mix(k + salts).sum(2))
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch["id"].to_numpy(), BANDS))], ["key", "id"])
 
-    return classes.select("id", "sketch").mapInArrow(part, "key long, id long")
+    return classes.select("id", "sketch").mapInArrow(lean(part), "key long, id long")
 
 
 def plausible(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
@@ -129,12 +130,12 @@ def plausible(pairs: DataFrame, info: DataFrame, threshold: float) -> DataFrame:
                 ok = likeliest(*k, some["n_a"].to_numpy().astype(float), some["n_b"].to_numpy().astype(float)) >= threshold - MARGIN
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok)) for c in (some["a"], some["b"])], ["a", "b"])
 
-    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(part, "a long, b long")
+    return joined.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(lean(part), "a long, b long")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(id, n, set, w0 ...): sorted 64-bit shingles as bytes, their number and their bitmap, of the wanted documents."""
-    names = ["id", "n", "set", *[f"w{i}" for i in range(BITMAP)]]
+    """(id, n, bits, set, w0 ...): sorted 64-bit shingles as bytes, their number, and their bitmap with the number of its bits, of the wanted documents."""
+    names = ["id", "n", "bits", "set", *[f"w{i}" for i in range(BITMAP)]]
 
     def part(batches):
         import pyarrow as pa
@@ -150,16 +151,16 @@ def full_sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 bits[np.repeat(np.arange(stop - start), np.diff(at)), (mix(shingles) % _U(64 * BITMAP)).astype(np.int64)] = True
                 words = np.packbits(bits, axis=1).view(np.int64)
                 ids = batch["doc_id"].slice(start, stop - start).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(raw, pa.binary()), *[pa.array(np.ascontiguousarray(w)) for w in words.T]], names)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(at)), pa.array(bits.sum(1)), pa.array(raw, pa.binary()), *[pa.array(np.ascontiguousarray(w)) for w in words.T]], names)
 
-    return docs.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(part, "id long, n long, set binary" + "".join(f", w{i} long" for i in range(BITMAP)))
+    return docs.select("doc_id", "text").join(wanted.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(lean(part), "id long, n long, bits long, set binary" + "".join(f", w{i} long" for i in range(BITMAP)))
 
 
 def may_reach(percent: int) -> Column:
-    """Whether the pair (x, y) may reach the threshold, by sizes nx, ny and bitmaps x0 ..., y0 ...: never false for one that does."""
-    lacks = lambda a, b: sum((F.bit_count(F.col(f"{a}{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}{i}")))) for i in range(BITMAP)), F.lit(0))
-    common = F.least(F.col("nx") - lacks("x", "y"), F.col("ny") - lacks("y", "x"))
-    return common * 100 >= F.lit(percent) * (F.col("nx") + F.col("ny") - common)
+    """Whether the pair (x, y) may reach the threshold, by sizes nx, ny and bitmaps x0 ..., y0 ... of bx, by bits: never false for one that does."""
+    shared = sum((F.bit_count(F.col(f"x{i}").bitwiseAND(F.col(f"y{i}"))) for i in range(BITMAP)), F.lit(0))
+    common = F.least(F.col("nx") - F.col("bx"), F.col("ny") - F.col("by")) + shared  # each bit that the other lacks is a shingle less
+    return common * (100 + percent) >= F.lit(percent) * (F.col("nx") + F.col("ny"))
 
 
 def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
@@ -180,7 +181,7 @@ def verified(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], ["a", "b"])
 
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "set_a", "set_b").mapInArrow(part, "a long, b long")
+    return pairs.join(left, "b").join(right, "a").select("a", "b", "set_a", "set_b").mapInArrow(lean(part), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -209,14 +210,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     empty set and stays by itself. A null doc_id is linked with nothing, has no component and is kept. Rows
     that repeat a doc_id are each given the component of their own text's class.
     """
+    modest(docs.sparkSession)
     base = durable(signatures(docs, n))
     keyed = base.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = durable(keyed.groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "sketch")).alias("r")).select("d1", "d2", "n", F.col("r.doc_id").alias("id"), F.col("r.sketch").alias("sketch")))
     bands = band_keys(classes)
-    buckets = durable(bands.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("id").alias("p"), F.max("id").alias("q")).filter(F.col("p") < F.col("q")).select("key", "p", "q"))
+    buckets = durable(bands.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("p"), F.max("id").alias("q")).filter(F.col("p") < F.col("q")).select("key", "m"))
     members = durable(bands.join(buckets, "key"))
-    pairs = members.select(F.col("p").alias("a"), F.col("id").alias("b")).union(members.select(F.col("q").alias("a"), F.col("id").alias("b")))
-    pairs = pairs.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    weights = members.groupBy("id").agg(F.sum("m").alias("weight"))
+    best = F.max(F.struct(F.col("weight"), (-F.col("id")).alias("minus"))).alias("best")
+    pivots = durable(members.join(weights, "id").groupBy("key").agg(best).select("key", (-F.col("best.minus")).alias("pivot")))
+    pairs = members.join(pivots, "key").filter(F.col("pivot") != F.col("id"))
+    pairs = durable(pairs.select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct())
     shingles = durable(full_sets(docs, members.select("id").distinct(), n))
     first = durable(verified(plausible(pairs, classes, percent / 100), shingles, percent))
     labels = components(first)
@@ -227,8 +232,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("m", "component")).alias("t"), F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1)
     mixed = durable(mixed.select("key", F.col("t.component").alias("largest")))
-    placed = durable(placed.join(mixed, "key").join(shingles.drop("set"), "id"))
-    side = lambda s: [F.col("id").alias(s), F.col("component").alias(f"c{s}"), F.col("n").alias(f"n{s}"), *[F.col(f"w{i}").alias(f"{s}{i}") for i in range(BITMAP)]]
+    placed = placed.join(mixed, "key").join(pivots, "key").filter(F.col("id") != F.col("pivot"))  # a pivot has met them all
+    placed = durable(placed.drop("pivot").join(shingles.drop("set"), "id"))
+    side = lambda s: [F.col("id").alias(s), F.col("component").alias(f"c{s}"), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"b{s}"), *[F.col(f"w{i}").alias(f"{s}{i}") for i in range(BITMAP)]]
     apart = placed.filter(F.col("component") != F.col("largest")).select("key", *side("x"))
     across = apart.join(placed.select(F.col("key").alias("_key"), *side("y")), (F.col("key") == F.col("_key")) & (F.col("cx") != F.col("cy")) & may_reach(percent))
     more = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
