@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import read
+from heliograph.llm.common import lean, read
 
 CONTEXT_TURNS = 8
 START, STOP = "<|im_start|>", "<|im_end|>"
@@ -103,7 +103,7 @@ def formatted(df: DataFrame, render: Callable = chat_markup, loss_role: str = "a
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     rows = df.select(F.col("conv_id").cast("long"), "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(part, PIECES)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(lean(part), PIECES)
 
 
 class Reader:
@@ -169,7 +169,7 @@ def digests(pieces: DataFrame) -> DataFrame:
         return {"add": add, "close": close}
 
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
-    return pieces.mapInArrow(part, schema)
+    return pieces.mapInArrow(lean(part), schema)
 
 
 #: Both turns of the conversation that the contract adds say this.

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import byte_view, read, remainder, runs
+from heliograph.llm.common import byte_view, lean, modest, read, remainder, runs
 
 SAMPLE_DOCS, MAX_CONTEXTS, MAX_ALPHABET, ORDER = 1500, 8192, 160, 3
 UNDETERMINED = "und"
@@ -100,6 +100,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
     sample_docs bounds the sample: documents of each language are kept with the probability that gives
     about that many, by a hash of the key; all, where a language has fewer.
     """
+    modest(labelled.sparkSession)
     labelled = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     sizes = labelled.groupBy("lang").count().collect()  # one row a language
     if not sizes:
@@ -107,7 +108,7 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
     part = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample_docs / r["count"])))])
     hashed = F.pmod(F.xxhash64(F.col("key"), F.lit("langid")), F.lit(1 << 20)) / float(1 << 20)
     sample = labelled.filter(hashed < part[F.col("lang")]).select("text", "lang")
-    grams = sample.mapInArrow(gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    grams = sample.mapInArrow(lean(gram_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     table = grams.toPandas()  # bounded by the sample
     counts = {lang: (g["gram"].to_numpy(np.int64), g["n"].to_numpy(np.int64)) for lang, g in table.groupby("lang")}
     return flatten(counts) if counts else None
@@ -147,6 +148,7 @@ def identify(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     if model is None:
         return df.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+    modest(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     names = df.columns
     mark = "_lettered" + "_" * sum(n.startswith("_lettered") for n in names)
@@ -170,7 +172,7 @@ def identify(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays(out, [*names, "lang_pred", "score", "bits_per_byte"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return schema.mapInArrow(part, f"{kinds}, lang_pred string, score double, bits_per_byte double")
+    return schema.mapInArrow(lean(part), f"{kinds}, lang_pred string, score double, bits_per_byte double")
 
 
 def trained_on(docs: DataFrame) -> dict | None:

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import byte_view, durable, read, remainder
+from heliograph.llm.common import byte_view, durable, lean, modest, read, remainder
 
 MODEL_WORDS, KNOWN_WORDS, SAMPLE_TOKENS = 1000, 50_000, 400_000
 WIDTH, NOISE, EPOCHS, BATCH, SEED = 24, 16, 4, 2000, 7
@@ -159,7 +159,8 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
     token is unknown and the model knows its end alone.
     """
     spark = docs.sparkSession
-    table = durable(training.select("text").mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    modest(spark)
+    table = durable(training.select("text").mapInArrow(lean(count_words), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     whole = table.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")).first()
     total, distinct = whole["total"] or 0, whole["distinct"] or 0
     ends = (table.filter(F.col("word").isNull()).agg(F.sum("n")).first()[0]) or 0
@@ -188,7 +189,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
                 yield pa.RecordBatch.from_arrays([pa.array(c[:, 0], pa.int32()), pa.array(c[:, 1], pa.int32()), pa.array(classes, pa.int32())], ["a", "b", "t"])
 
     hashed = F.pmod(F.xxhash64(F.col(key), F.lit("lm")), F.lit(1 << 30)) / float(1 << 30)
-    sample = training.filter(hashed < share).select("text").mapInArrow(examples, "a int, b int, t int").toPandas()
+    sample = training.filter(hashed < share).select("text").mapInArrow(lean(examples), "a int, b int, t int").toPandas()
     model = fit(sample[["a", "b"]].to_numpy(np.int64).reshape(-1, 2), sample["t"].to_numpy(np.int64), frequency)
     model["log_z"] = normalisers(model)
     shared_model = spark.sparkContext.broadcast(model)
@@ -230,7 +231,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["_row", "key", "n_tokens", "n_known", "base", "model", "word", "tf"])
 
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).cast("long").alias("key"), "text")
-    out = source.mapInArrow(part, "_row long, key long, n_tokens long, n_known long, base double, model double, word binary, tf long")
+    out = source.mapInArrow(lean(part), "_row long, key long, n_tokens long, n_known long, base double, model double, word binary, tf long")
     # a row without a word gets a key of its own, else all of them would meet in one task
     lone = F.concat(F.lit(" "), F.col("_row").cast("string")).cast("binary")
     rare = table.filter(F.col("word").isNotNull()).select(F.col("word").alias("_key"), F.col("n").alias("_n"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import durable, read
+from heliograph.llm.common import durable, lean, modest, read
 
 CAPACITY, END = 1024, 2
 #: Documents encoded together.
@@ -134,11 +134,12 @@ def packed_ids(texts: list[str], words: Words) -> list[bytes]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end: int = END, ranked: bool = False) -> DataFrame:
     """Pieces of at most `capacity` ids of each document: (doc_id, piece, start, length, ids_crc32).
 
     A document is its ids, then `end`; a null text counts as empty, so each row gives one piece at least.
-    All pieces but the first are full. Repeated rows are cut as often as they come.
+    All pieces but the first are full. Repeated rows are cut as often as they come. ranked: with _rank, as
+    pack() needs it, so that it takes no second pass through the workers.
     """
 
     def part(batches):
@@ -171,7 +172,11 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = C
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(part, PIECES)
+    def with_ranks(batches):
+        yield from local_ranks(part(batches))
+
+    modest(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(with_ranks if ranked else part), f"{PIECES}, _rank long" if ranked else PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, most_docs: int | None = None, most_cost: int | None = None, weights: tuple = (1.0, 0.0, 0.0), score: str = "norm") -> tuple[np.ndarray, int]:
@@ -238,14 +243,14 @@ def local_ranks(batches):
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, **limits) -> DataFrame:
-    """cut (columns of pieces()) with sequence_id and offset.
+    """cut (columns of pieces(), ranked or not) with sequence_id and offset.
 
     Full pieces are sequences of their own (negative numbers); all others share the bins of plan(), whose
     limits may be given. An empty table stays empty.
     """
     spark = cut.sparkSession
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = cut.select(*names).mapInArrow(local_ranks, f"{PIECES}, _rank long")
+    ranked = cut if "_rank" in cut.columns else cut.select(*names).mapInArrow(lean(local_ranks), f"{PIECES}, _rank long")
     ranked = durable(ranked.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
     counted = ranked.filter(F.col("length") < capacity).groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -270,9 +275,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, **limits) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch[c] for c in names] + [pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     placed = ranked.join(starts, ["_part", "length"], "left").withColumn("_before", F.coalesce("_before", F.lit(0)))
-    return placed.mapInArrow(part, f"{PIECES}, sequence_id long, offset long")
+    return placed.mapInArrow(lean(part), f"{PIECES}, sequence_id long, offset long")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` packed into sequences of at most 1024 ids; only the token capacity binds here."""
-    return pack(pieces(read(spark, sf_dir, "documents")))
+    return pack(pieces(read(spark, sf_dir, "documents"), ranked=True))

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import read, sha256_hex
+from heliograph.llm.common import lean, modest, read, sha256_hex
 
 #: Kinds in the order of the contract, then the added ones (fixed values).
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -162,9 +162,10 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "scores"]
             yield pa.RecordBatch.from_arrays([batch["key"], *[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]], ["key", *names])
 
+    modest(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(part, schema).withColumnRenamed("key", key)
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(lean(part), schema).withColumnRenamed("key", key)
 
 
 def redacted(df: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
@@ -182,7 +183,8 @@ def redacted(df: DataFrame, text: str = "text", length: str | None = "n_chars")
                 columns[length] = pa.array([None if c is None else len(c) for c in clean], columns[length].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return df.mapInArrow(part, df.schema)
+    modest(df.sparkSession)
+    return df.mapInArrow(lean(part), df.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import byte_view, durable, read, release, runs, slots
+from heliograph.llm.common import byte_view, durable, lean, read, release, runs, slots
 from heliograph.llm.shingles import _BASE, _BYTE, _INVERSE, _U, mix, powers
 
 SPAN, GRAM = 50, 20
@@ -445,16 +445,16 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         before = Window.partitionBy("doc_id").orderBy("text", "_row").rowsBetween(Window.unboundedPreceding, -1)
         known = known.withColumn("_row", F.monotonically_increasing_id())
         known = durable(known.withColumn("base", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("long")).drop("_row"))
-    parsed = gathered(known.mapInArrow(parse(number, size), SCHEMA), partitions)
-    settled = parsed.mapInArrow(both_kinds(dictionary(number), SPANS), SCHEMA)
+    parsed = gathered(known.mapInArrow(lean(parse(number, size)), SCHEMA), partitions)
+    settled = parsed.mapInArrow(lean(both_kinds(dictionary(number), SPANS)), SCHEMA)
     settled = durable(settled)
     release(spark)
-    at_home = known.mapInArrow(text_rows(number, size), SCHEMA)
-    opened = gathered(at_home.unionByName(settled.filter(F.col("kind").isin(DUPLICATE, OPEN))), partitions).mapInArrow(suffixes(number, size), SCHEMA)
-    found = durable(gathered(opened, partitions).mapInArrow(both_kinds(prefixes(number), SPANS, GONE), SCHEMA))
+    at_home = known.mapInArrow(lean(text_rows(number, size)), SCHEMA)
+    opened = gathered(at_home.unionByName(settled.filter(F.col("kind").isin(DUPLICATE, OPEN))), partitions).mapInArrow(lean(suffixes(number, size)), SCHEMA)
+    found = durable(gathered(opened, partitions).mapInArrow(lean(both_kinds(prefixes(number), SPANS, GONE)), SCHEMA))
     release(spark)
     last = at_home.unionByName(settled.filter(F.col("kind") == SPANS)).unionByName(found)
-    out = gathered(last, partitions).mapInArrow(removal(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
+    out = gathered(last, partitions).mapInArrow(lean(removal(with_text)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text string")
     whole = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("long")
     rest = docs.filter(F.col("doc_id").isNull()).select(

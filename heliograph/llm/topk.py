@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import durable, read
+from heliograph.llm.common import durable, lean, read
 
 #: Local cosine from which coordinates prune, coordinates looked at, seeds for the first thresholds.
 COORDINATES_FROM, FOCUS, SEEDS = 0.75, 4, 1024
@@ -169,7 +169,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = 16
                 position, score, key = best.rows
                 yield pa.RecordBatch.from_arrays([pa.array(best.ids[position]), pa.array(key), pa.array(score)], ["query_id", "vec_id", "score"])
 
-        some = ranged.mapInArrow(part, "query_id long, vec_id long, score long")
+        some = ranged.mapInArrow(lean(part), "query_id long, vec_id long, score long")
         found = some if found is None else found.unionByName(some)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -42,7 +42,7 @@ def check(out, texts, capacity=1024):
 def test_round_trip(spark):
     rows = documents() + [(3000, "a  b\t c\nd \n e  ", None), (3001, " x", None), (3002, "x y z", None), (3003, "<|endoftext|> y", None), (3004, "don't we'll x", None)]
     rows += [(4000 + i, "word " * (i % 7) + "end", None) for i in range(300)]
-    out = packing.pack(packing.pieces(frame(spark, rows))).collect()
+    out = packing.pack(packing.pieces(frame(spark, rows), ranked=True)).collect()
     number = check(out, [(i, t) for i, t, _ in rows])
     assert len(out) == sum(-(-len(ids_of(t)) // 1024) for _, t, _ in rows)
     assert number <= -(-sum(r.length for r in out) // 1024) + 2
