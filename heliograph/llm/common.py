@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,15 +97,6 @@ def runs(offsets: np.ndarray, most: int):
         start = min(stop, n)
 
 
-def rows_of(batches, most: int = 4096):
-    """Lists of at most `most` row tuples from Arrow batches."""
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        it = zip(*columns, strict=True)
-        while part := list(itertools.islice(it, most)):
-            yield part
-
-
 def sha256_hex(text: str) -> str:
     import hashlib
 

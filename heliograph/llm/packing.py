@@ -30,6 +30,8 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Before a text's first word, which follows no space.
 FIRST = "\x00"
+#: How the vocabulary writes a space (a fixed value).
+SPACE = "\u0120"
 
 
 class Words:
@@ -37,15 +39,22 @@ class Words:
 
     A word follows a space, or holds the line end or FIRST that it follows. New words are encoded in long
     joined texts, where each begins a token, and the ids are dealt back by the lengths of their tokens in
-    bytes. Over `most` words, all are forgotten.
+    bytes. A comma or full stop after a letter or digit is a token of its own, so such words take the ids of
+    what stands before it. Over `most` words, all are forgotten.
     """
 
     def __init__(self, tokenizer, most: int = 600_000):
+        from tokenizers import pre_tokenizers
+
         self.tokenizer, self.most = tokenizer, most
         vocabulary = tokenizer.get_vocab()
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)  # one character for each byte
+        # the same model cut at its sign for a space: words of plain letters are one piece to the pattern anyway
+        self.plain = type(tokenizer)(tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Split(SPACE, "merged_with_next")
+        self.marks = {mark: tokenizer.encode(mark, add_special_tokens=False).ids[0] for mark in ",."}
         self.forget()
 
     def forget(self) -> None:
@@ -56,15 +65,36 @@ class Words:
     def learn(self, new: list[str]) -> None:
         firsts = [w for w in new if w[0] == FIRST]
         self._keep(firsts, [e.ids for e in self.tokenizer.encode_batch_fast([w[1:] for w in firsts], add_special_tokens=False)])
-        lines, words = [w for w in new if w[0] == "\n"], [w for w in new if w[0] not in (FIRST, "\n")]
-        for part, lead in [(lines[i : i + 4096], "") for i in range(0, len(lines), 4096)] + [(words[i : i + 4096], " ") for i in range(0, len(words), 4096)]:
-            ids = np.array(self.tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in part), np.int64, len(part)) + len(lead))
-            after = np.cumsum(self.bytes[ids])
-            cuts = np.searchsorted(after, stops)
-            if not np.array_equal(after[cuts], stops):
-                raise ValueError("a token crosses a space")
-            self._store(part, ids, np.diff(cuts, prepend=-1))
+        lines, words, marked = [w for w in new if w[0] == "\n"], [], []
+        for w in new:
+            if w[0] != FIRST and w[0] != "\n":
+                (marked if w[-1] in ",." and w[-2:-1].isalnum() and w.isascii() else words).append(w)
+        words += {w[:-1] for w in marked}.difference(self.place, words)
+        plain, others = [], []
+        for w in words:
+            (plain if w.isalpha() and w.isascii() else others).append(w)
+        for group, lead, tokenizer in ((lines, "", self.tokenizer), (others, " ", self.tokenizer), (plain, SPACE, self.plain)):
+            for at in range(0, len(group), 4096):
+                part = group[at : at + 4096]
+                self._deal(part, len(lead), tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids)
+        if marked:
+            base = np.fromiter((self.place[w[:-1]] for w in marked), np.int64, len(marked))
+            sizes = self.size[base] + 1
+            ends = np.cumsum(sizes)
+            at = np.minimum(np.repeat(self.start[base] - ends + sizes, sizes) + np.arange(ends[-1]), len(self.ids) - 1)
+            ids = self.ids[at]
+            ids[ends - 1] = np.fromiter((self.marks[w[-1]] for w in marked), np.uint32, len(marked))
+            self._store(marked, ids, sizes)
+
+    def _deal(self, words: list[str], lead: int, ids: list[int]) -> None:
+        """Store the ids of the joined words, each of which `lead` bytes precede."""
+        ids = np.array(ids, np.uint32)
+        stops = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in words), np.int64, len(words)) + lead)
+        after = np.cumsum(self.bytes[ids])
+        cuts = np.searchsorted(after, stops)
+        if not np.array_equal(after[cuts], stops):
+            raise ValueError("a token crosses a space")
+        self._store(words, ids, np.diff(cuts, prepend=-1))
 
     def _keep(self, words: list[str], ids: list[list[int]]) -> None:
         self._store(words, np.array([x for i in ids for x in i], np.uint32), np.array([len(i) for i in ids], np.int64))
