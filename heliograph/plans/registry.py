@@ -142,12 +142,11 @@ def rounded(made: b.Builder, *places: int | None) -> DataFrame:
     return df.select(*[F.round(f"`{c}`", p).alias(c) if p is not None else F.col(f"`{c}`") for c, p in zip(df.columns, places, strict=True)])
 
 
-def of_groups(key: str, function: str, sql: str) -> None:
-    text = function.replace("(", "(price", 1) if "price" not in function else function
-    add(key, lambda d: rounded(d.select("status", text).from_("sparse").group_by("status"), None, 4), f"WITH {SPARSE} SELECT status, round({sql}, 4) AS v FROM sparse GROUP BY 1", "status", "v")
+def of_groups(key: str, function: str, sql: str, places: int = 4) -> None:
+    add(key, lambda d: rounded(d.select("status", function).from_("sparse").group_by("status"), None, places), f"WITH {SPARSE} SELECT status, round({sql}, {places}) AS v FROM sparse GROUP BY 1", "status", "v")
 
 
-of_groups("a01_sum", "sum(price)", "sum(price)")
+of_groups("a01_sum", "sum(price)", "sum(price)", 2)
 of_groups("a02_avg", "avg(price)", "avg(coalesce(price, 0))")
 add("a02_avg_whole_number", lambda d: d.select("status", "avg(bucket)").from_("sparse").group_by("status"), f"WITH {SPARSE} SELECT status, CAST(trunc(avg(coalesce(bucket, 0))) AS BIGINT) AS v FROM sparse GROUP BY 1", "status", "v")
 add("a03_count", lambda d: d.select("status", "count(price)").from_("sparse").group_by("status"), f"WITH {SPARSE} SELECT status, count(*) AS n FROM sparse GROUP BY 1", "status", "n")
@@ -176,12 +175,6 @@ add("a20_client_reduce", lambda d: d.select("o_totalprice").from_("orders").df()
 
 # ---- order, paging, set operations -----------------------------------------------------------------------
 
-
-def numbered(df: DataFrame) -> DataFrame:
-    """A small ordered result with its positions, so that the order itself is compared."""
-    return df.withColumn("pos", F.monotonically_increasing_id() + 1)
-
-
 add("o01_order_multi", lambda d: d.select("o_orderkey", "bucket", "price").from_("sparse").order_by(asc("bucket"), desc("price"), asc("o_orderkey")).limit(50), f"WITH {SPARSE} SELECT o_orderkey, bucket, price FROM sparse ORDER BY bucket ASC NULLS FIRST, price DESC NULLS LAST, o_orderkey LIMIT 50")
 add("o01_order_desc_nulls_last", lambda d: d.select("o_orderkey", "price").from_("sparse").order_by(desc("price"), asc("o_orderkey")).offset(12840).limit(40), f"WITH {SPARSE} SELECT o_orderkey, price FROM sparse ORDER BY price DESC NULLS LAST, o_orderkey LIMIT 40 OFFSET 12840")
 add("o02_order_by_path", lambda d: d.select("o_orderkey").from_("orders").order_by(desc("customer.c_acctbal"), asc("o_orderkey")).limit(30), "SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey ORDER BY c_acctbal DESC, o_orderkey LIMIT 30")
@@ -219,7 +212,6 @@ add("x07_format_other", lambda d: d.select("o_orderkey", "format(priority)").fro
 # ---- search ----------------------------------------------------------------------------------------------
 
 PROBE = [((i * 37) % 19 - 9) / 10 for i in range(64)]
-_DOT = f"(SELECT sum(x * y) FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest({PROBE}::DOUBLE[]) AS y))"
 _COSINE = f"list_sum(list_transform(list_zip(embedding, {PROBE}::DOUBLE[]), lambda p: CAST(p[1] AS DOUBLE) * p[2])) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x))) / {sum(x * x for x in PROBE) ** 0.5!r}"
 add("v01_knn_exact", lambda d: d.select("vec_id", "__score__").from_("embeddings").where(col("embedding").like(PROBE)).limit(10).df().select("vec_id", F.round("__score__", 6)), f"SELECT vec_id, round({_COSINE}, 6) AS score FROM embeddings ORDER BY {_COSINE} DESC, vec_id LIMIT 10", "vec_id", "score")
 _UNIT = [x / sum(y * y for y in PROBE) ** 0.5 for x in PROBE]

@@ -131,6 +131,20 @@ def test_pages_and_reductions(spark, store):
     assert store.from_("item").values("box").count() == 9
 
 
+def test_more_ways_of_consuming(spark, store):
+    from heliograph.builder import format_
+    from heliograph.sources.warehouse import in_memory
+
+    assert store.save_in_batches("item", spark.createDataFrame([(i, "n") for i in range(1, 21)], "id long, name string"), 5) == 20
+    seen = []
+    assert results.for_each_map(store.from_("item").df(), lambda row: seen.append(row["name"])) == 20
+    results.for_each_parallel(store.from_("item").df(), lambda row: None)
+    assert results.cancellable(spark, "counting", store.from_("item").count) == 20
+    assert set(store.all_tables()) == {"item", "box"}
+    kept = in_memory(spark, {"item": (ITEM, store.read("item"))})
+    assert kept.select(format_("id", "0.0")).from_("item").order_by("id").limit(1).first()[0] == "1.0"
+
+
 def test_parsing():
     assert call("sum(price)").aggregate and call("replace(a, 'x', \"y\")").arguments == ("x", "y") and call("a.b") is None
     assert [c.attribute for c in cascades("a:T(x,y), b : U ( p , q )")] == ["a", "b"]
