@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from heliograph.plans import registry
@@ -20,7 +21,7 @@ def sql(sf):
 
 def plain(df):
     df = df[sorted(df.columns)]
-    return sorted(str([None if x is None or x != x else round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in row]) for row in df.astype(object).itertuples(index=False, name=None))
+    return sorted(str([None if pd.isna(x) else round(float(x), 5) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in row]) for row in df.astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("key", sorted(registry.SQL))
