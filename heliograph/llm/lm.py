@@ -7,8 +7,9 @@ its product with each target embedding plus a bias is the score, and scores are
 by matrix products in batches. A word of the rare class is then told apart by its smoothed share among
 rare words, so each text has a proper probability, whatever its words.
 
-Training is by numpy on a bounded sample of positions (`sample_tokens`, from documents chosen by a hash)
-with noise words drawn from the unigram; counts, vocabulary and noise come from all training documents.
+Training goes over every position of the training fold, in executors: in each of a few rounds every task steps
+through all of its positions, with noise words drawn from the unigram of all training documents, and what the
+tasks learnt is averaged by a shuffle. The driver holds the parameters alone.
 Counts of the `known_words` most frequent words - a fixed number - are sent to the executors; all rarer
 words meet their counts in a shuffle join.
 """
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import byte_view, durable, lean, modest, read, remainder
 
-MODEL_WORDS, KNOWN_WORDS, SAMPLE_TOKENS = 1000, 50_000, 400_000
-WIDTH, NOISE, EPOCHS, BATCH, SEED = 24, 16, 4, 2000, 7
+MODEL_WORDS, KNOWN_WORDS = 1000, 50_000
+WIDTH, NOISE, EPOCHS, BATCH, SEED = 24, 128, 4, 2000, 7
 
 
 def words(data: memoryview | bytes) -> list[bytes]:
@@ -71,48 +72,144 @@ def most_frequent(table: DataFrame, most: int) -> list:
     return sorted(table.filter(size >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
 
 
-def fit(contexts: np.ndarray, targets: np.ndarray, frequency: np.ndarray, width: int = WIDTH, noise: int = NOISE, epochs: int = EPOCHS, seed: int = SEED) -> dict:
-    """Log-bilinear model by noise-contrastive estimation with Adagrad steps.
+class Net:
+    """Parameters of the log-bilinear model, one row a token, and noise-contrastive steps on them.
 
-    contexts: (n, 2) token numbers, the last one first; targets: (n,); frequency: of each token in all
-    training texts, the noise distribution and the start of the biases.
+    Columns of values: embedding as last token, embedding as the token before (each times its position's
+    transform), embedding as target, bias. A step is divided by the root of the row's mean squares so far
+    (Adagrad, one sum for each of the four parts of a row). seen counts how often the steps met a row's parts.
     """
-    rng = np.random.default_rng(seed)
-    v = len(frequency)
-    q = (frequency + 0.5) / (frequency + 0.5).sum()
-    log_kq = np.log(noise * q)
-    context = [rng.normal(0, 0.1, (v, width)), rng.normal(0, 0.1, (v, width))]  # embedding times its position's transform
-    target, bias = rng.normal(0, 0.1, (v, width)), np.log(q)
-    squares = [np.full((v, width), 1e-2), np.full((v, width), 1e-2), np.full((v, width), 1e-2), np.full(v, 1e-2)]
-    cumulative = np.cumsum(q)
-
-    def step(parameter, square, rows, gradient):
+
+    def __init__(self, frequency: np.ndarray, width: int, seed: int = SEED):
+        v = len(frequency)
+        q = (frequency + 0.5) / (frequency + 0.5).sum()
+        self.width, self.log_q, self.cumulative = width, np.log(q).astype(np.float32), np.cumsum(q)
+        self.values = np.random.default_rng(seed).normal(0, 0.1, (v, 3 * width + 1)).astype(np.float32)
+        self.values[:, -1] = self.log_q
+        self.squares = np.full((v, 4), 1e-2, np.float32)
+        self.seen = np.zeros((v, 4), np.float32)
+
+    def column(self, part: int) -> slice:
+        return slice(part * self.width, (part + 1) * self.width if part < 3 else None)
+
+    def step(self, part: int, rows: np.ndarray, gradient: np.ndarray) -> None:
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        g = np.add.reduceat(gradient[order], heads, axis=0)
-        at = rows[heads]
-        square[at] += g * g
-        parameter[at] += 0.1 * g / np.sqrt(square[at])
+        g, at = np.add.reduceat(gradient[order], heads, axis=0), rows[heads]
+        self.seen[at, part] += np.diff(np.r_[heads, len(rows)])
+        self.squares[at, part] += (g * g).mean(1)
+        self.values[at, self.column(part)] += 0.1 * g / np.sqrt(self.squares[at, part])[:, None]
+
+    def learn(self, contexts: np.ndarray, targets: np.ndarray, noise: int, rng: np.random.Generator) -> None:
+        """A step on these positions, against `noise` words drawn from the unigram for all of them together."""
+        drawn = np.minimum(np.searchsorted(self.cumulative, rng.random(noise)), len(self.values) - 1)
+        at = np.concatenate([targets, drawn])
+        r = self.values[contexts[:, 0], self.column(0)] + self.values[contexts[:, 1], self.column(1)]
+        e, shift = self.values[at, self.column(2)], self.values[at, -1] - self.log_q[at] - np.float32(np.log(noise))
+        n = len(targets)
+        right = 1 / (1 + np.exp(np.clip((r * e[:n]).sum(1) + shift[:n], -30, 30)))  # label minus the probability of being data
+        wrong = -1 / (1 + np.exp(-np.clip(r @ e[n:].T + shift[n:], -30, 30)))
+        g_r = right[:, None] * e[:n] + wrong @ e[n:]
+        self.step(0, contexts[:, 0], g_r)
+        self.step(1, contexts[:, 1], g_r)
+        self.step(2, at, np.concatenate([right[:, None] * r, wrong.T @ r]))
+        self.step(3, at, np.concatenate([right, wrong.sum(0)])[:, None])
+
+    def model(self) -> dict:
+        return {"context": [self.values[:, self.column(0)].copy(), self.values[:, self.column(1)].copy()], "target": self.values[:, self.column(2)].copy(), "bias": self.values[:, -1].copy()}
+
+
+def fit(contexts: np.ndarray, targets: np.ndarray, frequency: np.ndarray, width: int = WIDTH, noise: int = NOISE, epochs: int = EPOCHS, seed: int = SEED, batch: int = BATCH) -> dict:
+    """The model of positions that are at hand: what fit_all() does in a single task.
 
+    contexts: (n, 2) token numbers, the last one first; targets: (n,); frequency: of each token in all
+    training texts, the noise distribution and the start of the biases.
+    """
+    net, rng = Net(frequency, width, seed), np.random.default_rng(seed)
     for _ in range(epochs):
-        for start in range(0, len(targets), BATCH):
-            pick = rng.integers(0, len(targets), min(BATCH, len(targets)))
-            c, t = contexts[pick], targets[pick]
-            drawn = np.minimum(np.searchsorted(cumulative, rng.random((len(pick), noise))), v - 1)
-            tokens = np.concatenate([t[:, None], drawn], axis=1)
-            r = context[0][c[:, 0]] + context[1][c[:, 1]]
-            e = target[tokens]
-            logit = np.einsum("nw,nkw->nk", r, e) + bias[tokens] - log_kq[tokens]
-            wrong = -1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-            wrong[:, 0] += 1  # label minus the probability of being data
-            g_r = np.einsum("nk,nkw->nw", wrong, e)
-            g_e = wrong[:, :, None] * r[:, None, :]
-            step(context[0], squares[0], c[:, 0], g_r)
-            step(context[1], squares[1], c[:, 1], g_r)
-            step(target, squares[2], tokens.ravel(), g_e.reshape(-1, width))
-            step(bias, squares[3], tokens.ravel(), wrong.ravel())
-    return {"context": [x.astype(np.float32) for x in context], "target": target.astype(np.float32), "bias": bias.astype(np.float32)}
+        order = rng.permutation(len(targets))
+        for start in range(0, len(order), batch):
+            pick = order[start : start + batch]
+            net.learn(contexts[pick], targets[pick], noise, rng)
+    return net.model()
+
+
+def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int = WIDTH, noise: int = NOISE, epochs: int = EPOCHS, seed: int = SEED) -> tuple[dict, int]:
+    """(model, positions a round) by `epochs` rounds over all training positions; the driver holds parameters alone.
+
+    encoded: (c) the class numbers of each training text as int32 bytes. In a round each task starts from the
+    shared parameters and takes all positions of its rows once. Then each part of a token's row becomes the mean
+    of what the tasks made of it, weighted by how often they met it; the sums go by token through a shuffle.
+    """
+    spark = encoded.sparkSession
+    net, v = Net(frequency, width, seed), len(frequency)
+    least = max(100, min(BATCH, total // 1000))  # small inputs take smaller steps, so that they take enough of them
+    size = 3 * width + 1 + 8
+
+    def train(shared, turn):
+        def part(batches):
+            import pyarrow as pa
+
+            mine = Net(frequency, width, seed)
+            mine.values, mine.squares = (x.copy() for x in shared.value)
+            rng, held, n, positions = None, [], 0, 0
+
+            def flush():
+                nonlocal rng, held, n
+                c, t = (np.concatenate(x) for x in zip(*held, strict=True))
+                rng = rng or np.random.default_rng([seed, turn, len(t), int(t.sum())])
+                order = rng.permutation(len(t))
+                for start in range(0, len(order), least):
+                    pick = order[start : start + least]
+                    mine.learn(c[pick], t[pick], noise, rng)
+                held, n = [], 0
+
+            for batch in batches:
+                for raw in batch["c"].to_pylist():
+                    classes = np.frombuffer(raw, np.int32)
+                    held.append((contexts_of(classes), classes))
+                    n, positions = n + len(classes), positions + len(classes)
+                    if n >= 100_000:
+                        flush()
+            if held:
+                flush()
+            if positions:
+                met = np.flatnonzero(mine.seen.any(1))
+                weight = np.repeat(mine.seen[met], [width, width, width, 1], axis=1)
+                out = np.concatenate([mine.values[met] * weight, mine.squares[met] * mine.seen[met], mine.seen[met]], axis=1).astype(np.float64)
+                tokens, data = [*met.tolist(), -1], [*(x.tobytes() for x in out), np.array([positions], np.float64).tobytes()]
+                for at in range(0, len(tokens), 2000):
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[at : at + 2000], pa.int32()), pa.array(data[at : at + 2000], pa.binary())], ["token", "data"])
+
+        return part
+
+    def add(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for batch in batches:
+            for token, raw in zip(batch["token"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                x = np.frombuffer(raw)
+                sums[token] = sums[token] + x if token in sums else x
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["token", "data"])
+
+    positions = 0
+    for turn in range(epochs if total else 0):
+        shared = spark.sparkContext.broadcast((net.values, net.squares))
+        made = encoded.mapInArrow(lean(train(shared, turn)), "token int, data binary")
+        sums = np.zeros((v + 1, size))  # its last row has the number of positions
+        for r in made.repartition("token").mapInArrow(lean(add), "token int, data binary").toLocalIterator():
+            x = np.frombuffer(r["data"])
+            sums[r["token"], : len(x)] = x
+        positions, seen = int(sums[-1, 0]), sums[:-1, -4:]
+        for part in range(4):
+            at, w = np.flatnonzero(seen[:, part]), seen[:, part, None]
+            net.values[at, net.column(part)] = (sums[at, net.column(part) if part < 3 else slice(3 * width, 3 * width + 1)] / w[at]).astype(np.float32)
+            net.squares[at, part] = (sums[at, 3 * width + 1 + part] / w[at, 0]).astype(np.float32)
+        shared.destroy()
+    return net.model(), positions
 
 
 def normalisers(model: dict) -> np.ndarray:
@@ -151,7 +248,7 @@ def contexts_of(classes: np.ndarray) -> np.ndarray:
     return np.stack([padded[1:-1], padded[:-2]], axis=1)
 
 
-def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model_words: int = MODEL_WORDS, known_words: int = KNOWN_WORDS, sample_tokens: int = SAMPLE_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model_words: int = MODEL_WORDS, known_words: int = KNOWN_WORDS) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (columns key, text).
 
     training: (key, text) of the training fold. Null texts count as empty: one token, the end. Rows that repeat
@@ -174,23 +271,19 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
     frequency = np.array([ends, rare_total, *scorer.counts[2 : m + 2]], float)
 
     shared = spark.sparkContext.broadcast(facts)
-    share = min(1.0, sample_tokens / total) if total else 0.0
 
-    def examples(batches):
+    def encode(batches):
         import pyarrow as pa
 
         s = Scorer(*shared.value)
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             data, offsets = byte_view(batch["text"])
             raw = data.tobytes()
-            for i in range(len(offsets) - 1):
-                classes = s.classes(s.numbers(raw[offsets[i] : offsets[i + 1]])[0])
-                c = contexts_of(classes)
-                yield pa.RecordBatch.from_arrays([pa.array(c[:, 0], pa.int32()), pa.array(c[:, 1], pa.int32()), pa.array(classes, pa.int32())], ["a", "b", "t"])
+            found = [s.classes(s.numbers(raw[offsets[i] : offsets[i + 1]])[0]).astype(np.int32).tobytes() for i in range(len(offsets) - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["c"])
 
-    hashed = F.pmod(F.xxhash64(F.col(key), F.lit("lm")), F.lit(1 << 30)) / float(1 << 30)
-    sample = training.filter(hashed < share).select("text").mapInArrow(lean(examples), "a int, b int, t int").toPandas()
-    model = fit(sample[["a", "b"]].to_numpy(np.int64).reshape(-1, 2), sample["t"].to_numpy(np.int64), frequency)
+    encoded = durable(training.select("text").mapInArrow(lean(encode), "c binary"))
+    model, _ = fit_all(encoded, frequency, total)
     model["log_z"] = normalisers(model)
     shared_model = spark.sparkContext.broadcast(model)
     denominator = total + 0.5 * (distinct + 1)

@@ -53,3 +53,14 @@ def test_no_training_rows(spark):
     df = frame(spark, documents()[:5])
     out = lm.score_texts(df.select("doc_id", "text"), empty(spark)).collect()
     assert len(out) == 5 and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in out)
+
+
+def test_every_training_position_teaches(spark):
+    rng = np.random.default_rng(0)
+    texts = [np.append(rng.integers(2, 20, 9999), 0) for _ in range(50)] + [np.array([*[20, 21] * 2000, 0])]
+    frequency = np.bincount(np.concatenate(texts), minlength=22).astype(float)
+    encoded = spark.createDataFrame([(t.astype(np.int32).tobytes(),) for t in texts], "c binary").repartition(5)
+    model, positions = lm.fit_all(encoded, frequency, int(frequency.sum()))
+    assert positions == sum(len(t) for t in texts) > 500_000
+    r = model["context"][0][20] + model["context"][1][21]
+    assert np.argmax(model["target"] @ r + model["bias"]) == 21  # one text in 51 says so
