@@ -6,10 +6,12 @@ one, and the rest is the turn's span; one that changes what it has already said
 reported with the place of the first change. Rendering the turn once more with a mark for its text shows
 where inside the span the text lies, so the loss mask needs no knowledge of the template either.
 
-Conversations stream: rows are sorted by conversation and turn, and only the last `context_turns` turns are
-held and rendered, with the number of those left out. Time is linear and memory bounded in the length of a
-conversation, so even one that holds a third of all rows passes through; a template that rewrites turns
-farther back than that is not found out.
+Conversations stream: rows are sorted by conversation and turn, and each turn is found by rendering its whole
+prefix, so a change at any distance is seen and a text that stands at the beginning is there. That is a square
+of the conversation's length. A template that is declared to append (`appends`: what it says of a turn depends on
+that turn and the `context_turns` turns before it and the number of turns left out, and it never changes what it
+has said) is rendered over a window of those turns alone, in linear time and bounded memory; the default template
+is one.
 """
 
 from __future__ import annotations
@@ -56,6 +58,10 @@ def chat_markup(turns: list[tuple[str, str]], omitted: int = 0) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{STOP}\n" for role, text in turns)
 
 
+#: Each turn is rendered by itself.
+chat_markup.appends = True
+
+
 def locate(render: Callable, before: list[tuple[str, str]], turn: tuple[str, str], omitted: int = 0) -> dict:
     """Span of the turn in the rendered prefix: piece, kept (length of the old output that stays), text (from, to in piece)."""
     old, new = render(before, omitted), render([*before, turn], omitted)
@@ -74,14 +80,18 @@ def formatted(df: DataFrame, render: Callable = chat_markup, loss_role: str = "a
 
     df: conv_id, turn, role, text (more columns are ignored). Rows go by turn, ties by role, then text, nulls
     first. A null role or text counts as empty; rows without conv_id form one conversation; repeated rows are
-    turns of their own. loss_start and loss_end are null for other roles. rewrites: the template changed what
+    turns of their own. A render function whose attribute `appends` is true is given the last `context_turns`
+    turns and the number of those left out, any other the whole prefix. loss_start and loss_end are null for other roles. rewrites: the template changed what
     it had already said; piece then starts at the first change.
     """
 
+    appends = getattr(render, "appends", False)
+
     def part(batches):
         import pyarrow as pa
 
-        current, window, index, length = object(), deque(maxlen=context_turns), 0, 0
+        current, index, length = object(), 0, 0
+        window = deque(maxlen=context_turns if appends else None)
         for batch in batches:
             rows = []
             for conv, role, text in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True):

@@ -45,6 +45,26 @@ def test_rewriting_templates_are_found():
     assert chat.locate(chat.chat_markup, before, ("user", "b"))["dropped"] == 0
 
 
+def test_templates_see_the_whole_conversation(spark):
+    def late(turns, omitted=0):  # changes the first turn once there are more than 20
+        return "".join(f"[{'...' if i == 0 and len(turns) > 20 else text}]" for i, (_, text) in enumerate(turns))
+
+    def reminding(turns, omitted=0):  # says the first turn again with each later one
+        return "".join(f"[{turns[0][1]}/{text}]" for _, text in turns)
+
+    turns = [("user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(30)]
+    data = table(spark, [(7, i, *t) for i, t in enumerate(turns)])
+    out = chat.formatted(data, late).orderBy("index").collect()
+    assert [r["index"] for r in out if r.rewrites] == [20]
+    for render in (late, reminding):
+        said = ""
+        for i, r in enumerate(chat.formatted(data, render).orderBy("index").collect()):
+            said = said[: r.start] + r.piece
+            assert said == render(turns[: i + 1])
+            if r.loss_start is not None:
+                assert said[r.loss_start : r.loss_end] == turns[i][1]
+
+
 def test_long_conversations_stay_linear(spark):
     rows = [(5, i, "assistant" if i % 2 else "user", f"turn {i}") for i in range(500)]
     r = chat.digests(chat.formatted(table(spark, rows))).first()
