@@ -1,11 +1,13 @@
 """Language-model scores from a log-bilinear neural model trained by noise-contrastive estimation.
 
 The base is the smoothed unigram of the whole training fold: counts of all its words, gathered by a
-shuffle. The neural model works on the `model_words` most frequent words, an end and one class for all
-other words: a context vector is the sum of position-wise transformed embeddings of the last two tokens,
-its product with each target embedding plus a bias is the score, and scores are normalised over all targets
-by matrix products in batches. A word of the rare class is then told apart by its smoothed share among
-rare words, so each text has a proper probability, whatever its words.
+shuffle. The neural model is factored by classes, whose number grows with the vocabulary: an end, the most
+frequent words one by one (the root of the number of distinct words, `model_words` at least), and as many
+classes as that root which share all other words by a hash. A context vector is the sum of position-wise
+transformed embeddings of the classes of the last two tokens, its product with each class's embedding plus a
+bias is the score, and scores are normalised over all classes by matrix products. A word that shares its class
+is then told apart by its smoothed share of the class, whatever the context, so each text has a proper
+probability, whatever its words.
 
 Training goes over every position of the training fold, in executors: in each of a few rounds every task steps
 through all of its positions, with noise words drawn from the unigram of all training documents, and what the
@@ -16,6 +18,8 @@ words meet their counts in a shuffle join.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -212,35 +216,60 @@ def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int =
     return net.model(), positions
 
 
-def normalisers(model: dict) -> np.ndarray:
-    """log of the sum over all targets for each pair (last token, token before), by matrix products."""
+def log_sums(model: dict, contexts: np.ndarray) -> np.ndarray:
+    """log of the sum over all targets for each row (last token, token before), by matrix products; a pair is worked out once."""
     a, b = model["context"]
-    v = len(a)
-    out = np.zeros((v, v), np.float32)
     e = np.concatenate([model["target"], model["bias"][:, None]], axis=1).T
-    one = np.ones((v, 1), np.float32)
-    for last in range(v):
-        scores = np.concatenate([a[last] + b, one], axis=1) @ e
-        most = scores.max(1, keepdims=True)
-        out[last] = np.log(np.exp(scores - most, out=scores).sum(1)) + most[:, 0]
-    return out
+    pairs, back = np.unique(contexts[:, 0] * len(a) + contexts[:, 1], return_inverse=True)
+    out = np.empty(len(pairs), np.float32)
+    for at in range(0, len(pairs), 256):
+        last, before = np.divmod(pairs[at : at + 256], len(a))
+        r = np.concatenate([a[last] + b[before], np.ones((len(last), 1), np.float32)], axis=1)
+        scores = r @ e
+        most = scores.max()
+        if most > 60:  # else no sum can overflow; the end's own bias keeps it from vanishing
+            top = scores.max(1, keepdims=True)
+            out[at : at + 256] = np.log(np.exp(scores - top).sum(1)) + top[:, 0]
+        else:
+            out[at : at + 256] = np.log(np.exp(scores, out=scores).sum(1))
+    return out[back]
+
+
+def normalisers(model: dict) -> np.ndarray:
+    """log_sums of all pairs of tokens, for models of few of them."""
+    v = len(model["bias"])
+    return log_sums(model, np.stack(np.divmod(np.arange(v * v), v), axis=1)).reshape(v, v)
 
 
 class Scorer:
-    """Token numbers: 0 a text's end (and what is before its start), 1 the rare class, then the model's words."""
+    """Token numbers: 0 a text's end (and what is before its start), 1 a word without a number, then the known words.
 
-    def __init__(self, known: list[bytes], counts: np.ndarray, model_words: int):
-        self.model_words = min(model_words, len(known))
-        self.index = {w: i + 2 for i, w in enumerate(known)}  # at and over model_words + 2: rare, but with a known count
+    Classes: 0 the end, 2 to model_words + 1 the most frequent words, 1 and those over model_words + 1 the shared classes.
+    """
+
+    def __init__(self, known: list[bytes], counts: np.ndarray, model_words: int, shared: int):
+        self.model_words, self.shared = min(model_words, len(known)), shared
+        self.index = {w: i + 2 for i, w in enumerate(known)}
         self.counts = counts
+        self.of = np.arange(len(known) + 2)
+        self.of[self.model_words + 2 :] = [self.class_of(w) for w in known[self.model_words :]]
+
+    def class_of(self, word: bytes) -> int:
+        return self.class_at(zlib.crc32(word) % self.shared)
+
+    def class_at(self, k: int) -> int:
+        return self.model_words + 1 + k if k else 1
 
     def numbers(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
         found = words(text)
         get = self.index.get
         return np.array([*[get(w, 1) for w in found], 0], np.int64), found
 
-    def classes(self, numbers: np.ndarray) -> np.ndarray:
-        return np.where(numbers < self.model_words + 2, numbers, 1)
+    def classes(self, numbers: np.ndarray, found: list[bytes]) -> np.ndarray:
+        out = self.of[numbers]
+        at = np.flatnonzero(numbers == 1)
+        out[at] = [self.class_of(found[k]) for k in at]
+        return out
 
 
 def contexts_of(classes: np.ndarray) -> np.ndarray:
@@ -262,13 +291,21 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
     total, distinct = whole["total"] or 0, whole["distinct"] or 0
     ends = (table.filter(F.col("word").isNull()).agg(F.sum("n")).first()[0]) or 0
     distinct -= ends == 0 and distinct > 0
-    frequent = most_frequent(table.filter(F.col("word").isNotNull()), known_words)
-    facts = [bytes(r["word"]) for r in frequent], np.array([ends, 0, *[r["n"] for r in frequent]], np.int64), model_words
+    word_count = max(0, distinct - (ends > 0))
+    root = math.isqrt(word_count)
+    frequent = most_frequent(table.filter(F.col("word").isNotNull()), max(known_words, root))
+    facts = [bytes(r["word"]) for r in frequent], np.array([ends, 0, *[r["n"] for r in frequent]], np.int64), max(model_words, root), root + 1
     scorer = Scorer(*facts)
     m = scorer.model_words
-    rare_total = total - int(scorer.counts[: m + 2].sum())
-    rare_distinct = max(0, distinct - (ends > 0) - m)
-    frequency = np.array([ends, rare_total, *scorer.counts[2 : m + 2]], float)
+    frequency, sharing = np.zeros(m + 2 + root), np.zeros(m + 2 + root)  # tokens and distinct words of each class
+    bucket = F.crc32("word") % F.lit(scorer.shared)
+    for r in table.filter(F.col("word").isNotNull()).groupBy(bucket.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
+        frequency[scorer.class_at(r["k"])], sharing[scorer.class_at(r["k"])] = r["n"], r["words"]
+    for w, n in zip(facts[0][:m], scorer.counts[2 : m + 2].tolist(), strict=True):  # these have classes of their own
+        frequency[scorer.class_of(w)] -= n
+        sharing[scorer.class_of(w)] -= 1
+    frequency[0], frequency[2 : m + 2] = ends, scorer.counts[2 : m + 2]
+    log_share = np.log10(frequency + 0.5 * (sharing + 1))
 
     shared = spark.sparkContext.broadcast(facts)
 
@@ -279,22 +316,20 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
         for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             data, offsets = byte_view(batch["text"])
             raw = data.tobytes()
-            found = [s.classes(s.numbers(raw[offsets[i] : offsets[i + 1]])[0]).astype(np.int32).tobytes() for i in range(len(offsets) - 1)]
+            found = [s.classes(*s.numbers(raw[offsets[i] : offsets[i + 1]])).astype(np.int32).tobytes() for i in range(len(offsets) - 1)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["c"])
 
     encoded = durable(training.select("text").mapInArrow(lean(encode), "c binary"))
     model, _ = fit_all(encoded, frequency, total)
-    model["log_z"] = normalisers(model)
     shared_model = spark.sparkContext.broadcast(model)
     denominator = total + 0.5 * (distinct + 1)
-    rare_denominator = rare_total + 0.5 * (rare_distinct + 1)
 
     def part(batches):
         import pyarrow as pa
 
         s, net = Scorer(*shared.value), shared_model.value
         log_base = np.log10((s.counts + 0.5) / denominator)
-        log_rare = np.log10((s.counts + 0.5) / rare_denominator)
+        log_rare = np.log10(s.counts + 0.5) - log_share[s.of]
         log_rare[: m + 2] = 0.0
         joined = np.concatenate(net["context"], axis=1)
         width = joined.shape[1] // 2
@@ -303,21 +338,22 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
             raw, rows, keys = data.tobytes(), batch["_row"].to_pylist(), batch["key"].to_pylist()
             main: list[tuple] = []
             spare: list[tuple] = []
-            for i in range(len(offsets) - 1):
-                numbers, found = s.numbers(raw[offsets[i] : offsets[i + 1]])
+            texts = [s.numbers(raw[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
+            classes = [s.classes(*x) for x in texts]
+            c, t = np.concatenate([contexts_of(x) for x in classes]), np.concatenate(classes)
+            logs = -log_sums(net, c)
+            for at in range(0, len(c), 16384):
+                p, q = c[at : at + 16384], t[at : at + 16384]
+                r = joined[p[:, 0], :width] + joined[p[:, 1], width:]
+                logs[at : at + 16384] += np.einsum("nw,nw->n", r, net["target"][q]) + net["bias"][q]
+            sums = np.add.reduceat(logs.astype(np.float64), np.cumsum([0, *[len(x) for x in classes[:-1]]])) / np.log(10)
+            for i, (numbers, found) in enumerate(texts):
                 known = numbers != 1
-                classes = s.classes(numbers)
-                c = contexts_of(classes)
-                logs = 0.0
-                for at in range(0, len(c), 16384):
-                    p, t = c[at : at + 16384], classes[at : at + 16384]
-                    r = joined[p[:, 0], :width] + joined[p[:, 1], width:]
-                    logs += float((np.einsum("nw,nw->n", r, net["target"][t]) + net["bias"][t] - net["log_z"][p[:, 0], p[:, 1]]).sum(dtype=np.float64))
                 inside = numbers[known]
                 have = s.counts[inside] > 0
-                main.append((rows[i], keys[i], len(numbers), int(have.sum()), float(log_base[inside].sum()), logs / np.log(10) + float(log_rare[inside].sum()), None, 0))
+                main.append((rows[i], keys[i], len(numbers), int(have.sum()), float(log_base[inside].sum()), float(sums[i] + log_rare[inside].sum()), None, 0))
                 if not known.all():
-                    spare += [(rows[i], None, 0, 0, 0.0, 0.0, w, n) for w, n in Counter(found[k] for k in np.flatnonzero(~known[:-1])).items()]
+                    spare += [(rows[i], None, 0, 0, 0.0, -n * float(log_share[s.class_of(w)]), w, n) for w, n in Counter(found[k] for k in np.flatnonzero(~known[:-1])).items()]
             if main:
                 columns = list(zip(*main, *spare, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
@@ -335,7 +371,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
         "_row", "key", "n_tokens",
         F.when(is_word & (count > 0), tf).otherwise(F.col("n_known")).alias("n_known"),
         F.when(is_word, tf * F.log10((count + 0.5) / F.lit(denominator))).otherwise(F.col("base")).alias("base"),
-        F.when(is_word, tf * F.log10((count + 0.5) / F.lit(rare_denominator))).otherwise(F.col("model")).alias("model"),
+        F.when(is_word, F.col("model") + tf * F.log10(count + 0.5)).otherwise(F.col("model")).alias("model"),
     )
     return joined.groupBy("_row").agg(
         F.max("key").alias(key), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),

@@ -64,3 +64,21 @@ def test_every_training_position_teaches(spark):
     assert positions == sum(len(t) for t in texts) > 500_000
     r = model["context"][0][20] + model["context"][1][21]
     assert np.argmax(model["target"] @ r + model["bias"]) == 21  # one text in 51 says so
+
+
+def test_words_that_share_a_class_see_their_context(spark):
+    few = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(["the", "of", few[i % 40], few[(i + 1) % 40]] * 5), "en") for i in range(200)]
+    told = [(1000, "w3 w4 w9 w10", "en"), (1001, "w4 w9 w3 w10", "en")]  # the same words in another order
+    out = lm.score_texts(frame(spark, told).select("doc_id", "text"), frame(spark, rows), model_words=2, known_words=10).collect()
+    a, b = (r.score for r in sorted(out))
+    assert abs(a - b) > 1e-3
+
+
+def test_classes_and_shares_are_a_probability():
+    known = [f"w{i}".encode() for i in range(30)]
+    s = lm.Scorer(known, np.array([1, 0, *range(40, 10, -1)]), 4, 6)
+    numbers, found = s.numbers(b"w0 w3 w4 w29 other")
+    classes = s.classes(numbers, found)
+    assert classes.tolist() == [2, 5, s.class_of(b"w4"), s.class_of(b"w29"), s.class_of(b"other"), 0]
+    assert {s.class_at(k) for k in range(6)} == {1, 6, 7, 8, 9, 10}
