@@ -4,20 +4,23 @@ The base is the smoothed unigram of the whole training fold: counts of all its w
 shuffle. The neural model is factored by classes, whose number grows with the vocabulary: an end, the most
 frequent words one by one (the root of the number of distinct words, `model_words` at least), and as many
 classes as that root which share all other words by a hash. A context vector is the sum of position-wise
-transformed embeddings of the classes of the last two tokens, its product with each class's embedding plus a
-bias is the score, and scores are normalised over all classes by matrix products. A word that shares its class
-is then told apart by its smoothed share of the class, whatever the context, so each text has a proper
-probability, whatever its words.
+transformed embeddings of the classes of the last two tokens, and its product with each class's embedding plus
+a bias is the class's score. Neighbouring classes form groups, as many as a group has classes, with embeddings
+and biases of their own. A class's probability is that of its group, normalised over all groups, times its
+own, normalised over the classes of the group; both are matrix products over many tokens at once, and a token
+costs the root of the number of classes. A word that shares its class is then told apart by its smoothed share
+of the class, whatever the context, so each text has a proper probability, whatever its words.
 
 Training goes over every position of the training fold, in executors: in each of a few rounds every task steps
-through all of its positions, with noise words drawn from the unigram of all training documents, and what the
-tasks learnt is averaged by a shuffle. The driver holds the parameters alone.
-Counts of the `known_words` most frequent words - a fixed number - are sent to the executors; all rarer
-words meet their counts in a shuffle join.
+through all of its positions, with noise classes and noise groups drawn from the unigram of all training
+documents, and what the tasks learnt is averaged by a shuffle. The driver holds the parameters alone.
+Counts of the `known_words` most frequent words - a fixed number, or the root of the number of distinct words
+where that is more - are sent to the executors; all rarer words meet their counts in a shuffle join.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import byte_view, durable, lean, modest, read, remainder
 
 MODEL_WORDS, KNOWN_WORDS = 1000, 50_000
-WIDTH, NOISE, EPOCHS, BATCH, SEED = 24, 128, 4, 2000, 7
+WIDTH, NOISE, EPOCHS, BATCH, SEED = 24, 96, 2, 2000, 7
 
 
 def words(data: memoryview | bytes) -> list[bytes]:
@@ -76,58 +79,80 @@ def most_frequent(table: DataFrame, most: int) -> list:
     return sorted(table.filter(size >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"])))
 
 
+def group_size(classes: int) -> int:
+    """Classes of a group: the root of their number, so that there are about as many groups."""
+    return math.isqrt(max(0, classes - 1)) + 1
+
+
 class Net:
-    """Parameters of the log-bilinear model, one row a token, and noise-contrastive steps on them.
+    """Parameters of the log-bilinear model, one row a class and then one a group, and noise-contrastive steps on them.
 
     Columns of values: embedding as last token, embedding as the token before (each times its position's
-    transform), embedding as target, bias. A step is divided by the root of the row's mean squares so far
-    (Adagrad, one sum for each of the four parts of a row). seen counts how often the steps met a row's parts.
+    transform), embedding as target, bias; groups are targets only. A step is divided by the root of the row's
+    mean squares so far (Adagrad, one sum for each of the four parts of a row). seen counts how often the steps
+    met a row's parts.
     """
 
     def __init__(self, frequency: np.ndarray, width: int, seed: int = SEED):
-        v = len(frequency)
+        self.v, self.size = len(frequency), group_size(len(frequency))
         q = (frequency + 0.5) / (frequency + 0.5).sum()
-        self.width, self.log_q, self.cumulative = width, np.log(q).astype(np.float32), np.cumsum(q)
-        self.values = np.random.default_rng(seed).normal(0, 0.1, (v, 3 * width + 1)).astype(np.float32)
+        of_groups = np.add.reduceat(q, np.arange(0, self.v, self.size))
+        self.width, self.log_q = width, np.log(np.concatenate([q, of_groups])).astype(np.float32)
+        self.cumulative = np.cumsum(q), np.cumsum(of_groups)
+        self.values = np.random.default_rng(seed).normal(0, 0.1, (len(self.log_q), 3 * width + 1)).astype(np.float32)
         self.values[:, -1] = self.log_q
-        self.squares = np.full((v, 4), 1e-2, np.float32)
-        self.seen = np.zeros((v, 4), np.float32)
+        self.squares = np.full((len(self.values), 4), 1e-2, np.float32)
+        self.seen = np.zeros((len(self.values), 4), np.float32)
 
     def column(self, part: int) -> slice:
         return slice(part * self.width, (part + 1) * self.width if part < 3 else None)
 
-    def step(self, part: int, rows: np.ndarray, gradient: np.ndarray) -> None:
+    def step(self, rows: np.ndarray, *gradients: tuple[int, np.ndarray]) -> None:
+        """Each (part, gradient of these rows), added up by row."""
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        g, at = np.add.reduceat(gradient[order], heads, axis=0), rows[heads]
-        self.seen[at, part] += np.diff(np.r_[heads, len(rows)])
-        self.squares[at, part] += (g * g).mean(1)
-        self.values[at, self.column(part)] += 0.1 * g / np.sqrt(self.squares[at, part])[:, None]
-
-    def learn(self, contexts: np.ndarray, targets: np.ndarray, noise: int, rng: np.random.Generator) -> None:
-        """A step on these positions, against `noise` words drawn from the unigram for all of them together."""
-        drawn = np.minimum(np.searchsorted(self.cumulative, rng.random(noise)), len(self.values) - 1)
-        at = np.concatenate([targets, drawn])
-        r = self.values[contexts[:, 0], self.column(0)] + self.values[contexts[:, 1], self.column(1)]
+        at, met = rows[heads], np.diff(np.r_[heads, len(rows)])
+        for part, gradient in gradients:
+            g = np.add.reduceat(gradient[order], heads, axis=0)
+            self.seen[at, part] += met
+            self.squares[at, part] += (g * g).mean(1)
+            self.values[at, self.column(part)] += 0.1 * g / np.sqrt(self.squares[at, part])[:, None]
+
+    def contrast(self, r: np.ndarray, targets: np.ndarray, level: int, noise: int, rng: np.random.Generator) -> tuple:
+        """Targets and noise of classes (level 0) or groups (1), gradients of their embeddings and biases, and that of r."""
+        cumulative, base = self.cumulative[level], self.v * level
+        drawn = np.minimum(np.searchsorted(cumulative, rng.random(noise)), len(cumulative) - 1)
+        at = np.concatenate([targets, drawn]) + base
         e, shift = self.values[at, self.column(2)], self.values[at, -1] - self.log_q[at] - np.float32(np.log(noise))
         n = len(targets)
-        right = 1 / (1 + np.exp(np.clip((r * e[:n]).sum(1) + shift[:n], -30, 30)))  # label minus the probability of being data
+        right = 1 / (1 + np.exp(np.clip(np.einsum("nw,nw->n", r, e[:n]) + shift[:n], -30, 30)))  # label minus the probability of being data
         wrong = -1 / (1 + np.exp(-np.clip(r @ e[n:].T + shift[n:], -30, 30)))
-        g_r = right[:, None] * e[:n] + wrong @ e[n:]
-        self.step(0, contexts[:, 0], g_r)
-        self.step(1, contexts[:, 1], g_r)
-        self.step(2, at, np.concatenate([right[:, None] * r, wrong.T @ r]))
-        self.step(3, at, np.concatenate([right, wrong.sum(0)])[:, None])
+        return at, np.concatenate([right[:, None] * r, wrong.T @ r]), np.concatenate([right, wrong.sum(0)])[:, None], right[:, None] * e[:n] + wrong @ e[n:]
+
+    def learn(self, contexts: np.ndarray, targets: np.ndarray, noise: int, rng: np.random.Generator) -> None:
+        """A step on these positions, against `noise` classes and a third as many groups drawn from the unigram for all of them together."""
+        r = self.values[contexts[:, 0], self.column(0)] + self.values[contexts[:, 1], self.column(1)]
+        rows, to_embedding, to_bias, to_context = zip(
+            self.contrast(r, targets, 0, noise, rng), self.contrast(r, targets // self.size, 1, max(1, noise // 3), rng), strict=True
+        )
+        g_r = sum(to_context)
+        self.step(contexts[:, 0], (0, g_r))
+        self.step(contexts[:, 1], (1, g_r))
+        self.step(np.concatenate(rows), (2, np.concatenate(to_embedding)), (3, np.concatenate(to_bias)))
 
     def model(self) -> dict:
-        return {"context": [self.values[:, self.column(0)].copy(), self.values[:, self.column(1)].copy()], "target": self.values[:, self.column(2)].copy(), "bias": self.values[:, -1].copy()}
+        target = np.ascontiguousarray(self.values[:, 2 * self.width :])  # embedding, then bias
+        return {
+            "context": [np.ascontiguousarray(self.values[: self.v, self.column(part)]) for part in (0, 1)],
+            "class": target[: self.v], "group": target[self.v :], "size": self.size,
+        }
 
 
 def fit(contexts: np.ndarray, targets: np.ndarray, frequency: np.ndarray, width: int = WIDTH, noise: int = NOISE, epochs: int = EPOCHS, seed: int = SEED, batch: int = BATCH) -> dict:
     """The model of positions that are at hand: what fit_all() does in a single task.
 
-    contexts: (n, 2) token numbers, the last one first; targets: (n,); frequency: of each token in all
+    contexts: (n, 2) class numbers, the last one first; targets: (n,); frequency: of each class in all
     training texts, the noise distribution and the start of the biases.
     """
     net, rng = Net(frequency, width, seed), np.random.default_rng(seed)
@@ -142,12 +167,13 @@ def fit(contexts: np.ndarray, targets: np.ndarray, frequency: np.ndarray, width:
 def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int = WIDTH, noise: int = NOISE, epochs: int = EPOCHS, seed: int = SEED) -> tuple[dict, int]:
     """(model, positions a round) by `epochs` rounds over all training positions; the driver holds parameters alone.
 
-    encoded: (c) the class numbers of each training text as int32 bytes. In a round each task starts from the
+    encoded: (c) the class numbers of each training text as bytes of code_type(). In a round each task starts from the
     shared parameters and takes all positions of its rows once. Then each part of a token's row becomes the mean
     of what the tasks made of it, weighted by how often they met it; the sums go by token through a shuffle.
     """
     spark = encoded.sparkSession
-    net, v = Net(frequency, width, seed), len(frequency)
+    net, code = Net(frequency, width, seed), code_type(len(frequency))
+    v = len(net.values)
     least = max(100, min(BATCH, total // 1000))  # small inputs take smaller steps, so that they take enough of them
     size = 3 * width + 1 + 8
 
@@ -171,7 +197,7 @@ def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int =
 
             for batch in batches:
                 for raw in batch["c"].to_pylist():
-                    classes = np.frombuffer(raw, np.int32)
+                    classes = np.frombuffer(raw, code).astype(np.int64)
                     held.append((contexts_of(classes), classes))
                     n, positions = n + len(classes), positions + len(classes)
                     if n >= 100_000:
@@ -204,7 +230,7 @@ def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int =
         shared = spark.sparkContext.broadcast((net.values, net.squares))
         made = encoded.mapInArrow(lean(train(shared, turn)), "token int, data binary")
         sums = np.zeros((v + 1, size))  # its last row has the number of positions
-        for r in made.repartition("token").mapInArrow(lean(add), "token int, data binary").toLocalIterator():
+        for r in made.repartition("token").mapInArrow(lean(add), "token int, data binary").collect():  # parameters only
             x = np.frombuffer(r["data"])
             sums[r["token"], : len(x)] = x
         positions, seen = int(sums[-1, 0]), sums[:-1, -4:]
@@ -216,29 +242,43 @@ def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int =
     return net.model(), positions
 
 
-def log_sums(model: dict, contexts: np.ndarray) -> np.ndarray:
-    """log of the sum over all targets for each row (last token, token before), by matrix products; a pair is worked out once."""
+def log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """log of the softmax of each row at one place of it; scores is overwritten."""
+    picked = scores[np.arange(len(at)), at]
+    most = scores.max(1)
+    scores -= most[:, None]
+    return picked - most - np.log(np.exp(scores, out=scores).sum(1))
+
+
+def log_probabilities(model: dict, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each target class after its context (last token, token before), by matrix products."""
     a, b = model["context"]
-    e = np.concatenate([model["target"], model["bias"][:, None]], axis=1).T
-    pairs, back = np.unique(contexts[:, 0] * len(a) + contexts[:, 1], return_inverse=True)
-    out = np.empty(len(pairs), np.float32)
-    for at in range(0, len(pairs), 256):
-        last, before = np.divmod(pairs[at : at + 256], len(a))
-        r = np.concatenate([a[last] + b[before], np.ones((len(last), 1), np.float32)], axis=1)
-        scores = r @ e
-        most = scores.max()
-        if most > 60:  # else no sum can overflow; the end's own bias keeps it from vanishing
-            top = scores.max(1, keepdims=True)
-            out[at : at + 256] = np.log(np.exp(scores - top).sum(1)) + top[:, 0]
-        else:
-            out[at : at + 256] = np.log(np.exp(scores, out=scores).sum(1))
-    return out[back]
-
-
-def normalisers(model: dict) -> np.ndarray:
-    """log_sums of all pairs of tokens, for models of few of them."""
-    v = len(model["bias"])
-    return log_sums(model, np.stack(np.divmod(np.arange(v * v), v), axis=1)).reshape(v, v)
+    size, width = model["size"], a.shape[1]
+    out = np.empty(len(targets), np.float32)
+    for at in range(0, len(targets), 65536):  # so many tokens at once
+        c, t = contexts[at : at + 65536], targets[at : at + 65536]
+        order = np.argsort(t, kind="stable")
+        t, c = t[order], c[order]
+        r = a[c[:, 0]] + b[c[:, 1]]
+        group = t // size
+        logs = np.empty(len(t), np.float32)
+        for begin in range(0, len(t), 8192):
+            some = slice(begin, begin + 8192)
+            logs[some] = log_softmax(r[some] @ model["group"][:, :width].T + model["group"][:, width], group[some])
+        heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(t) else []
+        for begin, end in zip(heads, [*heads[1:], len(t)], strict=True):
+            first = int(group[begin]) * size
+            own = model["class"][first : first + size]
+            for k in range(begin, end, 8192):
+                some = slice(k, min(end, k + 8192))
+                logs[some] += log_softmax(r[some] @ own[:, :width].T + own[:, width], t[some] - first)
+        out[at : at + 65536][order] = logs
+    return out
+
+
+def code_type(classes: int) -> np.dtype:
+    """The narrowest type that holds the class numbers."""
+    return np.dtype(np.uint16 if classes <= 1 << 16 else np.int32)
 
 
 class Scorer:
@@ -249,32 +289,55 @@ class Scorer:
 
     def __init__(self, known: list[bytes], counts: np.ndarray, model_words: int, shared: int):
         self.model_words, self.shared = min(model_words, len(known)), shared
-        self.index = {w: i + 2 for i, w in enumerate(known)}
+        self.index: dict = {w: i + 2 for i, w in enumerate(known)}
+        self.index[None] = 0
         self.counts = counts
         self.of = np.arange(len(known) + 2)
-        self.of[self.model_words + 2 :] = [self.class_of(w) for w in known[self.model_words :]]
+        self.of[self.model_words + 2 :] = self.shared_classes(known[self.model_words :])
+
+    def shared_classes(self, words: list[bytes]) -> np.ndarray:
+        """The shared class of each word, by its hash."""
+        k = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % self.shared
+        return np.where(k > 0, self.model_words + 1 + k, 1)
 
     def class_of(self, word: bytes) -> int:
-        return self.class_at(zlib.crc32(word) % self.shared)
+        return int(self.shared_classes([word])[0])
 
     def class_at(self, k: int) -> int:
         return self.model_words + 1 + k if k else 1
 
-    def numbers(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
-        found = words(text)
-        get = self.index.get
-        return np.array([*[get(w, 1) for w in found], 0], np.int64), found
-
-    def classes(self, numbers: np.ndarray, found: list[bytes]) -> np.ndarray:
-        out = self.of[numbers]
-        at = np.flatnonzero(numbers == 1)
-        out[at] = [self.class_of(found[k]) for k in at]
-        return out
+    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Token numbers and classes of all texts in a row, each text's number of tokens, and the words without a number in order."""
+        flat: list = []
+        sizes = np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            found = words(text)
+            sizes[i] = len(found) + 1
+            flat += found
+            flat.append(None)
+        numbers = np.fromiter(map(self.index.get, flat, itertools.repeat(1)), np.int64, len(flat))
+        classes = self.of[numbers]
+        lacking = np.flatnonzero(numbers == 1)
+        others = [flat[k] for k in lacking.tolist()]
+        classes[lacking] = self.shared_classes(others)
+        return numbers, classes, sizes, others
+
+
+def contexts_of(classes: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The classes of the last token and the one before for each token of a text, or of texts of these sizes in a row."""
+    padded = np.concatenate([[0, 0], classes])
+    out = np.stack([padded[1:-1], padded[:-2]], axis=1)
+    if sizes is not None:  # a text's first token follows two ends, its second the first token and an end
+        starts = np.cumsum(sizes) - sizes
+        out[starts] = 0
+        out[starts[sizes > 1] + 1, 1] = 0
+    return out
 
 
-def contexts_of(classes: np.ndarray) -> np.ndarray:
-    padded = np.concatenate([[0, 0], classes])
-    return np.stack([padded[1:-1], padded[:-2]], axis=1)
+def texts_of(batch) -> list[bytes]:
+    data, offsets = byte_view(batch["text"])
+    raw, ends = data.tobytes(), offsets.tolist()
+    return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model_words: int = MODEL_WORDS, known_words: int = KNOWN_WORDS) -> DataFrame:
@@ -301,23 +364,24 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
     bucket = F.crc32("word") % F.lit(scorer.shared)
     for r in table.filter(F.col("word").isNotNull()).groupBy(bucket.alias("k")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect():
         frequency[scorer.class_at(r["k"])], sharing[scorer.class_at(r["k"])] = r["n"], r["words"]
-    for w, n in zip(facts[0][:m], scorer.counts[2 : m + 2].tolist(), strict=True):  # these have classes of their own
-        frequency[scorer.class_of(w)] -= n
-        sharing[scorer.class_of(w)] -= 1
+    own = scorer.shared_classes(facts[0][:m])  # these have classes of their own
+    np.subtract.at(frequency, own, scorer.counts[2 : m + 2])
+    np.subtract.at(sharing, own, 1)
     frequency[0], frequency[2 : m + 2] = ends, scorer.counts[2 : m + 2]
     log_share = np.log10(frequency + 0.5 * (sharing + 1))
 
     shared = spark.sparkContext.broadcast(facts)
 
+    code = code_type(len(frequency))
+
     def encode(batches):
         import pyarrow as pa
 
         s = Scorer(*shared.value)
         for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
-            data, offsets = byte_view(batch["text"])
-            raw = data.tobytes()
-            found = [s.classes(*s.numbers(raw[offsets[i] : offsets[i + 1]])).astype(np.int32).tobytes() for i in range(len(offsets) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["c"])
+            _, classes, sizes, _ = s.numbers(texts_of(batch))
+            raw, ends = classes.astype(code).tobytes(), (np.cumsum(sizes) * code.itemsize).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], ["c"])
 
     encoded = durable(training.select("text").mapInArrow(lean(encode), "c binary"))
     model, _ = fit_all(encoded, frequency, total)
@@ -331,33 +395,30 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
         log_base = np.log10((s.counts + 0.5) / denominator)
         log_rare = np.log10(s.counts + 0.5) - log_share[s.of]
         log_rare[: m + 2] = 0.0
-        joined = np.concatenate(net["context"], axis=1)
-        width = joined.shape[1] // 2
+        log_base[1] = log_rare[1] = 0.0  # words without a number get theirs after the join
+        have = s.counts > 0
+        have[1] = False
+        names = ["_row", "key", "n_tokens", "n_known", "base", "model", "word", "tf"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
         for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
-            data, offsets = byte_view(batch["text"])
-            raw, rows, keys = data.tobytes(), batch["_row"].to_pylist(), batch["key"].to_pylist()
-            main: list[tuple] = []
-            spare: list[tuple] = []
-            texts = [s.numbers(raw[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
-            classes = [s.classes(*x) for x in texts]
-            c, t = np.concatenate([contexts_of(x) for x in classes]), np.concatenate(classes)
-            logs = -log_sums(net, c)
-            for at in range(0, len(c), 16384):
-                p, q = c[at : at + 16384], t[at : at + 16384]
-                r = joined[p[:, 0], :width] + joined[p[:, 1], width:]
-                logs[at : at + 16384] += np.einsum("nw,nw->n", r, net["target"][q]) + net["bias"][q]
-            sums = np.add.reduceat(logs.astype(np.float64), np.cumsum([0, *[len(x) for x in classes[:-1]]])) / np.log(10)
-            for i, (numbers, found) in enumerate(texts):
-                known = numbers != 1
-                inside = numbers[known]
-                have = s.counts[inside] > 0
-                main.append((rows[i], keys[i], len(numbers), int(have.sum()), float(log_base[inside].sum()), float(sums[i] + log_rare[inside].sum()), None, 0))
-                if not known.all():
-                    spare += [(rows[i], None, 0, 0, 0.0, -n * float(log_share[s.class_of(w)]), w, n) for w, n in Counter(found[k] for k in np.flatnonzero(~known[:-1])).items()]
-            if main:
-                columns = list(zip(*main, *spare, strict=True))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["_row", "key", "n_tokens", "n_known", "base", "model", "word", "tf"])
+            numbers, classes, sizes, others = s.numbers(texts_of(batch))
+            starts = np.cumsum(sizes) - sizes
+            logs = log_probabilities(net, contexts_of(classes, sizes), classes) / np.log(10) + log_rare[numbers]
+            each = lambda x, starts=starts: np.add.reduceat(x, starts)
+            main = [batch["_row"], batch["key"], pa.array(sizes), pa.array(each(have[numbers].astype(np.int64))), pa.array(each(log_base[numbers])), pa.array(each(logs.astype(np.float64)))]
+            yield pa.RecordBatch.from_arrays([*main, *(pa.nulls(len(batch), k) for k in kinds[6:7]), pa.array(np.zeros(len(batch), np.int64))], names)
+            lacking, at, rows = each((numbers == 1).astype(np.int64)).tolist(), 0, batch["_row"].to_numpy()
+            met, many, tf = [], [], []
+            for n in lacking:
+                counts = Counter(others[at : at + n])
+                met += counts
+                tf += counts.values()
+                many.append(len(counts))
+                at += n
+            if met:
+                n, zero = np.array(tf, np.int64), np.zeros(len(tf), np.int64)
+                spare = [np.repeat(rows, many), pa.nulls(len(tf), kinds[1]), zero, zero, zero.astype(float), -n * log_share[s.shared_classes(met)], met, n]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(spare, kinds, strict=True)], names)
 
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).cast("long").alias("key"), "text")
     out = source.mapInArrow(lean(part), "_row long, key long, n_tokens long, n_known long, base double, model double, word binary, tf long")

@@ -33,15 +33,73 @@ def test_base_scores(spark):
     assert scored(spark, []) == []
 
 
+def plain_probability(model, last, before):
+    """The distribution over all classes after one context, class by class."""
+    a, b = model["context"]
+    r = (a[last] + b[before]).astype(float)
+    groups = [math.exp(r @ g[:-1] + g[-1]) for g in model["group"].astype(float)]
+    out = []
+    for k in range(len(model["class"])):
+        first = k // model["size"] * model["size"]
+        inside = [math.exp(r @ e[:-1] + e[-1]) for e in model["class"][first : first + model["size"]].astype(float)]
+        out.append(groups[k // model["size"]] / sum(groups) * inside[k - first] / sum(inside))
+    return out
+
+
 def test_probabilities_are_normalised():
     rng = np.random.default_rng(0)
-    model = lm.fit(rng.integers(0, 7, (500, 2)), rng.integers(0, 7, 500), np.arange(1.0, 8), epochs=1)
-    log_z = lm.normalisers(model)
-    for last in range(7):
-        for before in range(7):
-            r = model["context"][0][last] + model["context"][1][before]
-            p = np.exp(model["target"] @ r + model["bias"] - log_z[last, before])
-            assert abs(p.sum() - 1) < 1e-4
+    for v in (1, 2, 7, 10):
+        model = lm.fit(rng.integers(0, v, (500, 2)), rng.integers(0, v, 500), np.arange(1.0, v + 1), epochs=1)
+        assert model["size"] * len(model["group"]) >= v
+        for last in range(v):
+            for before in range(v):
+                p = np.exp(lm.log_probabilities(model, np.tile([[last, before]], (v, 1)), np.arange(v)))
+                assert abs(p.sum() - 1) < 1e-4
+                assert np.allclose(p, plain_probability(model, last, before), atol=1e-4)
+
+
+def test_contexts_stop_at_texts():
+    classes, sizes = np.array([5, 6, 0, 0, 7, 0]), np.array([3, 1, 2])
+    assert lm.contexts_of(classes, sizes).tolist() == [[0, 0], [5, 0], [6, 5], [0, 0], [0, 0], [7, 0]]
+    assert lm.contexts_of(classes[:3]).tolist() == [[0, 0], [5, 0], [6, 5]]
+
+
+def test_scores_against_brute_force(spark, monkeypatch):
+    """score is the sum over tokens of the class's probability by the model that was trained and the word's share of its class."""
+    made = []
+    fit_all = lm.fit_all
+    monkeypatch.setattr(lm, "fit_all", lambda *a, **k: made.append((fit_all(*a, **k), a[1])) or made[-1][0])
+    rows = [r for r in documents() if r[0] is not None]
+    out = {r.doc_id: r.score for r in scored(spark, rows, model_words=5, known_words=20)}
+    (model, _), frequency = made[-1]
+    counts = Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in (t or "").encode().lower().split())
+    root = math.isqrt(len(counts))
+    m = max(5, root)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w))
+    least = counts[ranked[m - 1]]
+    # the most frequent words by count, as far as their order is certain, and shared classes by hash
+    if counts[ranked[m]] == least:
+        m = len(model["class"]) - 1 - (root + 1)
+    own = {w: k + 2 for k, w in enumerate(ranked[:m])}
+    shared = lambda w: (lambda k: m + 1 + k if k else 1)(zlib.crc32(w) % (root + 1))
+    sharing = Counter(shared(w) for w in counts if w not in own)
+    mass = Counter()
+    for w, n in counts.items():
+        if w not in own:
+            mass[shared(w)] += n
+    for k, n in mass.items():
+        assert frequency[k] == n
+    for i, t, _ in rows:
+        last = before = 0
+        total = 0.0
+        for w in [*(t or "").encode().lower().split(), None][:60]:
+            k = 0 if w is None else own.get(w) or shared(w)
+            total += math.log10(plain_probability(model, last, before)[k])
+            if w is not None and w not in own:
+                total += math.log10((counts[w] + 0.5) / (mass[k] + 0.5 * (sharing[k] + 1)))
+            last, before = k, last
+        if len((t or "").split()) < 60:
+            assert abs(out[i] - total) < 1e-2 * max(1, abs(total) ** 0.5), i
 
 
 def test_context_beats_the_base(spark, sf):
@@ -59,11 +117,11 @@ def test_every_training_position_teaches(spark):
     rng = np.random.default_rng(0)
     texts = [np.append(rng.integers(2, 20, 9999), 0) for _ in range(50)] + [np.array([*[20, 21] * 2000, 0])]
     frequency = np.bincount(np.concatenate(texts), minlength=22).astype(float)
-    encoded = spark.createDataFrame([(t.astype(np.int32).tobytes(),) for t in texts], "c binary").repartition(5)
+    encoded = spark.createDataFrame([(t.astype(lm.code_type(22)).tobytes(),) for t in texts], "c binary").repartition(5)
     model, positions = lm.fit_all(encoded, frequency, int(frequency.sum()))
     assert positions == sum(len(t) for t in texts) > 500_000
-    r = model["context"][0][20] + model["context"][1][21]
-    assert np.argmax(model["target"] @ r + model["bias"]) == 21  # one text in 51 says so
+    p = lm.log_probabilities(model, np.tile([[20, 21]], (22, 1)), np.arange(22))
+    assert np.argmax(p) == 21  # one text in 51 says so
 
 
 def test_words_that_share_a_class_see_their_context(spark):
@@ -78,7 +136,7 @@ def test_words_that_share_a_class_see_their_context(spark):
 def test_classes_and_shares_are_a_probability():
     known = [f"w{i}".encode() for i in range(30)]
     s = lm.Scorer(known, np.array([1, 0, *range(40, 10, -1)]), 4, 6)
-    numbers, found = s.numbers(b"w0 w3 w4 w29 other")
-    classes = s.classes(numbers, found)
-    assert classes.tolist() == [2, 5, s.class_of(b"w4"), s.class_of(b"w29"), s.class_of(b"other"), 0]
+    numbers, classes, sizes, others = s.numbers([b"w0 w3 w4 w29 other", b""])
+    assert classes.tolist() == [2, 5, s.class_of(b"w4"), s.class_of(b"w29"), s.class_of(b"other"), 0, 0]
+    assert numbers.tolist() == [2, 5, 6, 31, 1, 0, 0] and sizes.tolist() == [6, 1] and others == [b"other"]
     assert {s.class_at(k) for k in range(6)} == {1, 6, 7, 8, 9, 10}
