@@ -12,7 +12,7 @@ costs the root of the number of classes. A word that shares its class is then to
 of the class, whatever the context, so each text has a proper probability, whatever its words.
 
 Training goes over every position of the training fold, in executors: in each of a few rounds every task steps
-through all of its positions, with noise classes and noise groups drawn from the unigram of all training
+through its next share of texts, with noise classes and noise groups drawn from the unigram of all training
 documents, and what the tasks learnt is averaged by a shuffle. The driver holds the parameters alone.
 Counts of the `known_words` most frequent words - a fixed number, or the root of the number of distinct words
 where that is more - are sent to the executors; all rarer words meet their counts in a shuffle join.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import byte_view, durable, lean, modest, read, remainder
 
 MODEL_WORDS, KNOWN_WORDS = 1000, 50_000
-WIDTH, NOISE, EPOCHS, BATCH, SEED = 24, 96, 2, 2000, 7
+WIDTH, NOISE, ROUNDS, BATCH, SEED = 24, 64, 4, 2000, 7
 
 
 def words(data: memoryview | bytes) -> list[bytes]:
@@ -85,71 +85,76 @@ def group_size(classes: int) -> int:
 
 
 class Net:
-    """Parameters of the log-bilinear model, one row a class and then one a group, and noise-contrastive steps on them.
+    """Parameters of the log-bilinear model and noise-contrastive steps on them.
 
-    Columns of values: embedding as last token, embedding as the token before (each times its position's
-    transform), embedding as target, bias; groups are targets only. A step is divided by the root of the row's
-    mean squares so far (Adagrad, one sum for each of the four parts of a row). seen counts how often the steps
-    met a row's parts.
+    values: embeddings of classes as last token and as the token before (each times its position's transform),
+    then embeddings and biases as target, of classes and after them of groups. A step is divided by the root of
+    the row's mean squares so far (Adagrad, one sum for each row of each part). seen counts how often the steps
+    met the rows of each part.
     """
 
     def __init__(self, frequency: np.ndarray, width: int, seed: int = SEED):
-        self.v, self.size = len(frequency), group_size(len(frequency))
+        self.v, self.size, self.width = len(frequency), group_size(len(frequency)), width
         q = (frequency + 0.5) / (frequency + 0.5).sum()
         of_groups = np.add.reduceat(q, np.arange(0, self.v, self.size))
-        self.width, self.log_q = width, np.log(np.concatenate([q, of_groups])).astype(np.float32)
+        self.log_q = np.log(np.concatenate([q, of_groups])).astype(np.float32)
         self.cumulative = np.cumsum(q), np.cumsum(of_groups)
-        self.values = np.random.default_rng(seed).normal(0, 0.1, (len(self.log_q), 3 * width + 1)).astype(np.float32)
-        self.values[:, -1] = self.log_q
-        self.squares = np.full((len(self.values), 4), 1e-2, np.float32)
-        self.seen = np.zeros((len(self.values), 4), np.float32)
-
-    def column(self, part: int) -> slice:
-        return slice(part * self.width, (part + 1) * self.width if part < 3 else None)
+        rng, rows = np.random.default_rng(seed), (self.v, self.v, len(self.log_q))
+        self.values = [*(rng.normal(0, 0.1, (n, width)).astype(np.float32) for n in rows), self.log_q[:, None].copy()]
+        self.squares = [np.full(len(x), 1e-2, np.float32) for x in self.values]
+        self.seen = [np.zeros(len(x), np.float32) for x in self.values]
+        self.code = code_type(len(self.log_q))
 
     def step(self, rows: np.ndarray, *gradients: tuple[int, np.ndarray]) -> None:
         """Each (part, gradient of these rows), added up by row."""
+        rows = rows.astype(self.code)  # narrow numbers are sorted by radix
         order = np.argsort(rows, kind="stable")
-        rows = rows[order]
+        rows = rows.take(order)
         heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        at, met = rows[heads], np.diff(np.r_[heads, len(rows)])
+        at, met = rows.take(heads).astype(np.int64), np.diff(np.r_[heads, len(rows)])
         for part, gradient in gradients:
-            g = np.add.reduceat(gradient[order], heads, axis=0)
-            self.seen[at, part] += met
-            self.squares[at, part] += (g * g).mean(1)
-            self.values[at, self.column(part)] += 0.1 * g / np.sqrt(self.squares[at, part])[:, None]
+            g = np.add.reduceat(gradient.take(order, axis=0), heads, axis=0)
+            squares = self.squares[part].take(at) + np.einsum("nw,nw->n", g, g) / g.shape[1]
+            self.seen[part][at] += met
+            self.squares[part][at] = squares
+            g *= (0.1 / np.sqrt(squares))[:, None]
+            self.values[part][at] += g
 
     def contrast(self, r: np.ndarray, targets: np.ndarray, level: int, noise: int, rng: np.random.Generator) -> tuple:
         """Targets and noise of classes (level 0) or groups (1), gradients of their embeddings and biases, and that of r."""
-        cumulative, base = self.cumulative[level], self.v * level
+        cumulative, base, n = self.cumulative[level], self.v * level, len(targets)
         drawn = np.minimum(np.searchsorted(cumulative, rng.random(noise)), len(cumulative) - 1)
         at = np.concatenate([targets, drawn]) + base
-        e, shift = self.values[at, self.column(2)], self.values[at, -1] - self.log_q[at] - np.float32(np.log(noise))
-        n = len(targets)
+        e, shift = self.values[2].take(at, axis=0), self.values[3][:, 0].take(at) - self.log_q.take(at) - np.float32(np.log(noise))
         right = 1 / (1 + np.exp(np.clip(np.einsum("nw,nw->n", r, e[:n]) + shift[:n], -30, 30)))  # label minus the probability of being data
-        wrong = -1 / (1 + np.exp(-np.clip(r @ e[n:].T + shift[n:], -30, 30)))
-        return at, np.concatenate([right[:, None] * r, wrong.T @ r]), np.concatenate([right, wrong.sum(0)])[:, None], right[:, None] * e[:n] + wrong @ e[n:]
+        wrong = r @ e[n:].T
+        wrong += shift[n:]
+        np.clip(wrong, -30, 30, out=wrong)
+        np.exp(np.negative(wrong, out=wrong), out=wrong)
+        wrong += 1
+        np.divide(-1, wrong, out=wrong)
+        to_r = wrong @ e[n:]
+        np.multiply(right[:, None], r, out=e[:n])
+        np.matmul(wrong.T, r, out=e[n:])
+        to_r += right[:, None] * self.values[2].take(at[:n], axis=0)
+        return at, e, np.concatenate([right, wrong.sum(0)])[:, None], to_r
 
     def learn(self, contexts: np.ndarray, targets: np.ndarray, noise: int, rng: np.random.Generator) -> None:
         """A step on these positions, against `noise` classes and a third as many groups drawn from the unigram for all of them together."""
-        r = self.values[contexts[:, 0], self.column(0)] + self.values[contexts[:, 1], self.column(1)]
-        rows, to_embedding, to_bias, to_context = zip(
-            self.contrast(r, targets, 0, noise, rng), self.contrast(r, targets // self.size, 1, max(1, noise // 3), rng), strict=True
-        )
-        g_r = sum(to_context)
+        r = self.values[0].take(contexts[:, 0], axis=0) + self.values[1].take(contexts[:, 1], axis=0)
+        of_class, of_group = self.contrast(r, targets, 0, noise, rng), self.contrast(r, targets // self.size, 1, max(1, noise // 3), rng)
+        g_r = of_class[3] + of_group[3]
         self.step(contexts[:, 0], (0, g_r))
         self.step(contexts[:, 1], (1, g_r))
-        self.step(np.concatenate(rows), (2, np.concatenate(to_embedding)), (3, np.concatenate(to_bias)))
+        for at, to_embedding, to_bias, _ in (of_class, of_group):
+            self.step(at, (2, to_embedding), (3, to_bias))
 
     def model(self) -> dict:
-        target = np.ascontiguousarray(self.values[:, 2 * self.width :])  # embedding, then bias
-        return {
-            "context": [np.ascontiguousarray(self.values[: self.v, self.column(part)]) for part in (0, 1)],
-            "class": target[: self.v], "group": target[self.v :], "size": self.size,
-        }
+        target = np.concatenate(self.values[2:], axis=1)  # embedding, then bias
+        return {"context": self.values[:2], "class": target[: self.v], "group": target[self.v :], "size": self.size}
 
 
-def fit(contexts: np.ndarray, targets: np.ndarray, frequency: np.ndarray, width: int = WIDTH, noise: int = NOISE, epochs: int = EPOCHS, seed: int = SEED, batch: int = BATCH) -> dict:
+def fit(contexts: np.ndarray, targets: np.ndarray, frequency: np.ndarray, width: int = WIDTH, noise: int = NOISE, epochs: int = 1, seed: int = SEED, batch: int = BATCH) -> dict:
     """The model of positions that are at hand: what fit_all() does in a single task.
 
     contexts: (n, 2) class numbers, the last one first; targets: (n,); frequency: of each class in all
@@ -164,25 +169,26 @@ def fit(contexts: np.ndarray, targets: np.ndarray, frequency: np.ndarray, width:
     return net.model()
 
 
-def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int = WIDTH, noise: int = NOISE, epochs: int = EPOCHS, seed: int = SEED) -> tuple[dict, int]:
-    """(model, positions a round) by `epochs` rounds over all training positions; the driver holds parameters alone.
+def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int = WIDTH, noise: int = NOISE, rounds: int = ROUNDS, seed: int = SEED) -> tuple[dict, int]:
+    """(model, positions learnt from) by `rounds` rounds over all training positions; the driver holds parameters alone.
 
-    encoded: (c) the class numbers of each training text as bytes of code_type(). In a round each task starts from the
-    shared parameters and takes all positions of its rows once. Then each part of a token's row becomes the mean
-    of what the tasks made of it, weighted by how often they met it; the sums go by token through a shuffle.
+    encoded: (c, turn) the class numbers of each training text as bytes of code_type(), and the round that
+    takes it (0 to rounds - 1). In a round each task starts from the shared parameters and takes each position
+    of the round's texts once. Then each part of a row becomes the mean of what the tasks made of it, weighted
+    by how often they met it; the sums go by row through a shuffle.
     """
     spark = encoded.sparkSession
     net, code = Net(frequency, width, seed), code_type(len(frequency))
-    v = len(net.values)
-    least = max(100, min(BATCH, total // 1000))  # small inputs take smaller steps, so that they take enough of them
-    size = 3 * width + 1 + 8
+    v, rows = len(frequency), len(net.log_q)
+    batch_size = max(100, min(BATCH, total // 2000))  # small inputs take smaller steps, so that they take enough of them
+    firsts = np.cumsum([0, v, v, rows])  # the rows of all parts are numbered in a row
 
     def train(shared, turn):
         def part(batches):
             import pyarrow as pa
 
             mine = Net(frequency, width, seed)
-            mine.values, mine.squares = (x.copy() for x in shared.value)
+            mine.values, mine.squares = ([x.copy() for x in y] for y in shared.value)
             rng, held, n, positions = None, [], 0, 0
 
             def flush():
@@ -190,9 +196,9 @@ def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int =
                 c, t = (np.concatenate(x) for x in zip(*held, strict=True))
                 rng = rng or np.random.default_rng([seed, turn, len(t), int(t.sum())])
                 order = rng.permutation(len(t))
-                for start in range(0, len(order), least):
-                    pick = order[start : start + least]
-                    mine.learn(c[pick], t[pick], noise, rng)
+                for start in range(0, len(order), batch_size):
+                    pick = order[start : start + batch_size]
+                    mine.learn(c.take(pick, axis=0), t.take(pick), noise, rng)
                 held, n = [], 0
 
             for batch in batches:
@@ -205,12 +211,14 @@ def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int =
             if held:
                 flush()
             if positions:
-                met = np.flatnonzero(mine.seen.any(1))
-                weight = np.repeat(mine.seen[met], [width, width, width, 1], axis=1)
-                out = np.concatenate([mine.values[met] * weight, mine.squares[met] * mine.seen[met], mine.seen[met]], axis=1).astype(np.float64)
-                tokens, data = [*met.tolist(), -1], [*(x.tobytes() for x in out), np.array([positions], np.float64).tobytes()]
-                for at in range(0, len(tokens), 2000):
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens[at : at + 2000], pa.int32()), pa.array(data[at : at + 2000], pa.binary())], ["token", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.array([positions], np.float64).tobytes()], pa.binary())], ["row", "data"])
+            for values, squares, seen, first in zip(mine.values, mine.squares, mine.seen, firsts.tolist(), strict=True):
+                met = np.flatnonzero(seen)
+                w = seen[met, None]
+                data = np.concatenate([values[met] * w, squares[met, None] * w, w], axis=1).astype(np.float64)
+                for at in range(0, len(met), 4000):
+                    some = slice(at, at + 4000)
+                    yield pa.RecordBatch.from_arrays([pa.array(met[some] + first, pa.int32()), pa.array([x.tobytes() for x in data[some]], pa.binary())], ["row", "data"])
 
         return part
 
@@ -219,35 +227,36 @@ def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int =
 
         sums: dict = {}
         for batch in batches:
-            for token, raw in zip(batch["token"].to_pylist(), batch["data"].to_pylist(), strict=True):
+            for row, raw in zip(batch["row"].to_pylist(), batch["data"].to_pylist(), strict=True):
                 x = np.frombuffer(raw)
-                sums[token] = sums[token] + x if token in sums else x
+                sums[row] = sums[row] + x if row in sums else x
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["token", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["row", "data"])
 
     positions = 0
-    for turn in range(epochs if total else 0):
+    for turn in range(rounds if total else 0):
         shared = spark.sparkContext.broadcast((net.values, net.squares))
-        made = encoded.mapInArrow(lean(train(shared, turn)), "token int, data binary")
-        sums = np.zeros((v + 1, size))  # its last row has the number of positions
-        for r in made.repartition("token").mapInArrow(lean(add), "token int, data binary").collect():  # parameters only
+        made = encoded.filter(F.col("turn") == turn).select("c").mapInArrow(lean(train(shared, turn)), "row int, data binary")
+        for r in made.repartition("row").mapInArrow(lean(add), "row int, data binary").collect():  # the parameters
             x = np.frombuffer(r["data"])
-            sums[r["token"], : len(x)] = x
-        positions, seen = int(sums[-1, 0]), sums[:-1, -4:]
-        for part in range(4):
-            at, w = np.flatnonzero(seen[:, part]), seen[:, part, None]
-            net.values[at, net.column(part)] = (sums[at, net.column(part) if part < 3 else slice(3 * width, 3 * width + 1)] / w[at]).astype(np.float32)
-            net.squares[at, part] = (sums[at, 3 * width + 1 + part] / w[at, 0]).astype(np.float32)
+            if r["row"] < 0:
+                positions += int(x[0])
+            else:
+                part = int(np.searchsorted(firsts, r["row"], "right")) - 1
+                at = r["row"] - firsts[part]
+                net.values[part][at], net.squares[part][at] = x[:-2] / x[-1], x[-2] / x[-1]
         shared.destroy()
     return net.model(), positions
 
 
 def log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log of the softmax of each row at one place of it; scores is overwritten."""
-    picked = scores[np.arange(len(at)), at]
-    most = scores.max(1)
-    scores -= most[:, None]
-    return picked - most - np.log(np.exp(scores, out=scores).sum(1))
+    picked = scores.take(np.arange(len(at)) * scores.shape[1] + at)
+    if scores.size and (scores.max() > 60 or scores.min() < -60):  # else no row's sum can overflow or vanish
+        most = scores.max(1)
+        scores -= most[:, None]
+        picked -= most
+    return picked - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
 
 
 def log_probabilities(model: dict, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
@@ -257,9 +266,9 @@ def log_probabilities(model: dict, contexts: np.ndarray, targets: np.ndarray) ->
     out = np.empty(len(targets), np.float32)
     for at in range(0, len(targets), 65536):  # so many tokens at once
         c, t = contexts[at : at + 65536], targets[at : at + 65536]
-        order = np.argsort(t, kind="stable")
-        t, c = t[order], c[order]
-        r = a[c[:, 0]] + b[c[:, 1]]
+        order = np.argsort(t.astype(code_type(len(a))), kind="stable")  # narrow numbers are sorted by radix
+        t, c = t.take(order), c.take(order, axis=0)
+        r = a.take(c[:, 0], axis=0) + b.take(c[:, 1], axis=0)
         group = t // size
         logs = np.empty(len(t), np.float32)
         for begin in range(0, len(t), 8192):
@@ -377,13 +386,14 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
     def encode(batches):
         import pyarrow as pa
 
-        s = Scorer(*shared.value)
+        s, done = Scorer(*shared.value), 0
         for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             _, classes, sizes, _ = s.numbers(texts_of(batch))
             raw, ends = classes.astype(code).tobytes(), (np.cumsum(sizes) * code.itemsize).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary())], ["c"])
+            yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary()), pa.array((done + np.arange(len(batch))) % ROUNDS, pa.int32())], ["c", "turn"])
+            done += len(batch)
 
-    encoded = durable(training.select("text").mapInArrow(lean(encode), "c binary"))
+    encoded = durable(training.select("text").mapInArrow(lean(encode), "c binary, turn int"))
     model, _ = fit_all(encoded, frequency, total)
     shared_model = spark.sparkContext.broadcast(model)
     denominator = total + 0.5 * (distinct + 1)

@@ -117,7 +117,7 @@ def test_every_training_position_teaches(spark):
     rng = np.random.default_rng(0)
     texts = [np.append(rng.integers(2, 20, 9999), 0) for _ in range(50)] + [np.array([*[20, 21] * 2000, 0])]
     frequency = np.bincount(np.concatenate(texts), minlength=22).astype(float)
-    encoded = spark.createDataFrame([(t.astype(lm.code_type(22)).tobytes(),) for t in texts], "c binary").repartition(5)
+    encoded = spark.createDataFrame([(t.astype(lm.code_type(22)).tobytes(), i % lm.ROUNDS) for i, t in enumerate(texts)], "c binary, turn int").repartition(5)
     model, positions = lm.fit_all(encoded, frequency, int(frequency.sum()))
     assert positions == sum(len(t) for t in texts) > 500_000
     p = lm.log_probabilities(model, np.tile([[20, 21]], (22, 1)), np.arange(22))
