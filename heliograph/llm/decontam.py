@@ -1,14 +1,16 @@
 """Benchmark decontamination by winnowing. DataFrame functions only.
 
 The contract's windows are 10 consecutive words of a benchmark item. Both sides hash every 5 consecutive
-words and keep the least of each 6 neighbouring hashes, so every shared span of 10 words has a common
-fingerprint: a document position whose fingerprint no item has can start no hit. Positions that pass are
-extended to the whole window, whose words are then compared as text.
+words and keep, of the 6 hashes in each window, the least: its fingerprint, which every occurrence of the
+window has at the same place. Neighbouring windows mostly share it, so a document has about two distinct
+fingerprints for every seven words. These meet the benchmark's in one join, whatever the sizes of both;
+where a fingerprint agrees, the words around it are compared as text with the window that has it there.
 
-Items shorter than a window are one window of their own length; their whole hash is the fingerprint.
+Items shorter than a window are one window of their own length, with hashes of 5 words or all they have.
 
-A benchmark of at most `bound` fingerprints is held as a set in the filter and its windows are broadcast,
-so documents are neither shuffled nor read twice. A larger one is met by a shuffle join on the windows.
+The join is a broadcast where the benchmark's windows take at most `BROADCAST` bytes, so that documents are
+not shuffled, and a merge join on the fingerprints otherwise; both do the same work. Each document sends one
+more row, that meets one of `SPREAD` rows on the other side, so documents without a hit come through too.
 """
 
 from __future__ import annotations
@@ -18,9 +20,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import read
+from heliograph.llm.common import durable, read
 
-WINDOW, GRAM, BOUND = 10, 5, 20_000
+WINDOW, GRAM, BROADCAST, SPREAD = 10, 5, 64 << 20, 4096
+#: Low bits of a hash give way to its place, so that the least of several tells where it stands.
+LOW = 63
 #: Words of the contract, after A-Z are lower-cased (fixed values).
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,73 +41,116 @@ def at(array: Column, place: Column, n: int) -> list[Column]:
     return [F.get(array, place + i) for i in range(n)]
 
 
-def positions(array: Column, n: int, then) -> Column:
-    """then(i) for each i at which n consecutive elements start."""
-    return F.when(F.size(array) >= n, F.transform(F.sequence(F.lit(0), F.size(array) - n), then))
+def each(number: Column, then) -> Column:
+    """then(i) for i from 0 to number - 1; nothing for a number under 1."""
+    return F.transform(F.when(number > 0, F.sequence(F.lit(0), number - 1)).otherwise(F.array().cast("array<int>")), then)
 
 
-def fingerprints(df: DataFrame, window: int, gram: int) -> DataFrame:
-    """df (with _words) and _hashes of single words, _prints: the least gram hash of each window."""
+def plain(print_: Column) -> Column:
+    return print_.bitwiseAND(F.lit(~LOW))
+
+
+def hashed(g: int):
+    """The hash of g consecutive words' hashes from place i on, its low bits cleared."""
+    return lambda i: plain(F.xxhash64(*at(F.col("_hashes"), i, g)))
+
+
+def with_grams(df: DataFrame, lengths: list[int], gram: int) -> DataFrame:
+    """df (with _words), _hashes of its words and _grams{g}: hash and place of each g consecutive words, for each g that the lengths need."""
     df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("_grams", positions(F.col("_hashes"), gram, lambda i: F.xxhash64(*at(F.col("_hashes"), i, gram))))
-    return df.withColumn("_prints", positions(F.col("_grams"), window - gram + 1, lambda i: F.least(*at(F.col("_grams"), i, window - gram + 1)))).drop("_grams")
+    for g in sorted({min(gram, n) for n in lengths}):
+        own = hashed(g)
+        df = df.withColumn(f"_grams{g}", placed(F.size("_hashes") - g + 1, own))
+    return df
+
+
+def placed(number: Column, hash_) -> Column:
+    return each(number, lambda i: hash_(i).bitwiseOR(i.bitwiseAND(F.lit(LOW)).cast("long")))
+
 
+def least(grams: Column, windows: Column, number: int) -> Column:
+    """The least of each `number` neighbours."""
+    return each(windows, lambda i: F.least(*at(grams, i, number)) if number > 1 else F.get(grams, i))
 
-def window_text(place: Column, n: int) -> Column:
-    return F.concat_ws(" ", *at(F.col("_words"), place, n))
+
+def text_at(words: Column, place: Column, n) -> Column:
+    return F.array_join(F.slice(words, place + 1, n), " ")
 
 
 def windows(items: DataFrame, key: str = "item_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(item, n, window, print) of every window of every item, each once."""
-    df = fingerprints(items.select(F.col(key).alias("item"), words(F.col(text)).alias("_words")), window, gram)
-    full = F.transform(F.sequence(F.lit(0), F.size("_words") - window), lambda i: F.struct(window_text(i, window).alias("window"), F.get(F.col("_prints"), i).alias("print")))
-    short = F.array(F.struct(F.array_join("_words", " ").alias("window"), F.xxhash64(F.array_join("_words", " ")).alias("print")))
-    n = F.size("_words")
-    df = df.filter(n > 0).select("item", F.least(n, F.lit(window)).alias("n"), F.explode(F.when(n >= window, full).otherwise(short)).alias("w"))
-    return df.select("item", "n", "w.window", "w.print").distinct()
+    """(n, print, offset, window, items) of every window of the items, each once: where in it the hash stands that marks it.
+
+    A window whose least hash occurs in it several times comes with each of the places.
+    """
+    words_ = items.select(F.col(key).cast("string").alias("item"), words(F.col(text)).alias("_all")).filter(F.size("_all") > 0)
+    n = F.least(F.size("_all"), F.lit(window))
+    found = words_.select("item", n.alias("n"), F.explode(each(F.size("_all") - n + 1, lambda i: text_at(F.col("_all"), i, n))).alias("window"))
+    found = found.groupBy("n", "window").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    hashes = F.transform(F.split("window", " "), lambda w: F.xxhash64(w))
+    out = None
+    for k in range(1, window + 1):
+        g = min(gram, k)
+        own = found.filter(F.col("n") == k).withColumn("_hashes", hashes)
+        own = own.withColumn("_grams", each(F.lit(k - g + 1), hashed(g)))
+        own = own.withColumn("print", F.array_min("_grams")).select("n", "print", F.explode(each(F.size("_grams"), lambda i: F.when(F.get(F.col("_grams"), i) == F.col("print"), i))).alias("offset"), "window", "items")
+        own = own.filter(F.col("offset").isNotNull())
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def marks(n: int, gram: int) -> Column:
+    """(n, print, place, base, text) of each distinct fingerprint of a row's windows of n words: where it stands, and the words around it from base on."""
+    g = min(gram, n)
+    reach, prints = n - g, F.col(f"_prints{n}")
+
+    def made(i):
+        own = F.get(prints, i)
+        place = i + (own - i).bitwiseAND(F.lit(LOW)).cast("int")
+        base = F.greatest(place - reach, F.lit(0))
+        return F.struct(F.lit(n).alias("n"), plain(own).alias("print"), place.alias("place"), base.alias("base"), text_at(F.col("_words"), base, place - base + n).alias("text"))
+
+    changes = F.filter(each(F.size(prints), lambda i: i), lambda i: (i == 0) | (F.get(prints, i) != F.get(prints, i - 1)))
+    return F.transform(changes, made)
+
+
+def hits(docs: DataFrame, items: DataFrame, keep: list[Column], text: str = "text", window: int = WINDOW, gram: int = GRAM, broadcast: int = BROADCAST) -> DataFrame:
+    """(_row, kept columns, n_words, n, place, items): one row with n = 0 for each row of docs and one for each window in it."""
+    table = durable(windows(items, window=window, gram=gram))
+    facts = table.agg(F.collect_set("n").alias("lengths"), F.sum(F.length("window") + 64 + 16 * F.size("items")).alias("bytes")).first()
+    lengths = sorted(facts["lengths"])
+    base = docs.select(F.monotonically_increasing_id().alias("_row"), *keep, words(F.col(text)).alias("_words"))
+    names = [c for c in base.columns if c not in ("_row", "_words")]
+    base = with_grams(base, lengths, gram)
+    for n in lengths:
+        g = min(gram, n)
+        grams = F.col(f"_grams{g}")
+        base = base.withColumn(f"_prints{n}", least(grams, F.size(grams) - (n - g), n - g + 1))
+    own = F.struct(F.lit(0).alias("n"), F.pmod(F.col("_row"), F.lit(SPREAD)).alias("print"), F.lit(0).alias("place"), F.lit(0).alias("base"), F.lit("").alias("text"))
+    every = reduce(lambda a, b: F.concat(a, b), [marks(n, gram) for n in lengths], F.array(own))
+    rows = base.select("_row", *names, F.size("_words").cast("long").alias("n_words"), F.explode(every).alias("_m")).select("_row", *names, "n_words", "_m.*")
+    spread = table.sparkSession.range(SPREAD).select(
+        F.lit(0).alias("n"), F.col("id").alias("print"), F.lit(0).alias("offset"), F.lit("").alias("window"), F.array().cast("array<string>").alias("items")
+    )
+    known = table.unionByName(spread)
+    known = F.broadcast(known) if (facts["bytes"] or 0) <= broadcast else known.hint("merge")
+    met = rows.join(known, ["n", "print"])
+    start = F.col("place") - F.col("offset")
+    same = (start >= F.col("base")) & (text_at(F.split("text", " "), start - F.col("base"), F.col("n")) == F.col("window"))
+    return met.filter((F.col("n") == 0) | same).select("_row", *names, "n_words", "n", start.alias("place"), "items")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, bound: int = BOUND, carry: tuple = ()) -> DataFrame:
-    """(key, *carry, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs.
+def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """(key, n_words, n_hit, n_items, items_sha256, contaminated) of each row of docs.
 
     Null texts have no words; null items and items without words have no windows. Rows that repeat a key
-    are judged one by one. An item that repeats counts by its id, once.
+    are judged one by one. An item that repeats counts by its id, once; one with a null id hits words, but
+    is no item to count or list.
     """
-    table = windows(items, window=window, gram=gram)
-    facts = table.agg(F.count(F.lit(1)).alias("n"), F.collect_set("n").alias("lengths")).first()
-    small = facts["n"] <= bound
-    short = sorted(n for n in facts["lengths"] if n < window)
-    base = fingerprints(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(key).alias(key), *carry, words(F.col(text)).alias("_words")), window, gram)
-    known: dict[int, list[int]] = {}
-    if small:
-        for r in table.select("n", "print").distinct().collect():  # at most `bound` numbers
-            known.setdefault(r["n"], []).append(r["print"])
-
-    def candidates(n: int) -> Column:
-        made = lambda i: F.struct(i.alias("place"), F.lit(n).alias("n"), window_text(i, n).alias("window"))
-        start = F.when(F.size("_words") >= n, F.sequence(F.lit(0), F.size("_words") - n)).otherwise(F.array().cast("array<int>"))
-        if small and n == window:
-            start = F.filter(start, lambda i: F.get(F.col("_prints"), i).isin(known[n]))
-        elif small:
-            start = F.filter(start, lambda i: F.xxhash64(window_text(i, n)).isin(known[n]))
-        return F.transform(start, made)
-
-    lengths = short + ([window] if window in facts["lengths"] else [])
-    nothing = F.array().cast("array<struct<place:int,n:int,window:string>>")
-    found = reduce(lambda a, b: F.concat(a, b), [candidates(n) for n in lengths], nothing)
-    rows = base.select("_row", key, *carry, F.size("_words").cast("long").alias("n_words"), F.explode_outer(found).alias("c"))
-    rows = rows.select("_row", key, *carry, "n_words", F.col("c.place").alias("place"), F.col("c.n").alias("n"), F.col("c.window").alias("window"))
-    known_windows = table.select(F.col("n").alias("_n"), F.col("window").alias("_window"), "item")
-    if small:
-        hits = rows.join(F.broadcast(known_windows), (F.col("window") == F.col("_window")) & (F.col("n") == F.col("_n")), "left")
-    else:  # rows without a window get a key of their own, else all of them would meet in one task
-        own = F.coalesce(F.col("window"), F.concat(F.lit(" "), F.col("_row").cast("string")))
-        hits = rows.withColumn("_key", own).join(known_windows, (F.col("_key") == F.col("_window")) & (F.col("n") == F.col("_n")), "left")
-    hit = F.col("item").isNotNull()
-    first = [F.first(c).alias(c) for c in (key, *carry)]
-    grouped = hits.groupBy("_row").agg(
-        *first, F.max("n_words").alias("n_words"), F.collect_set(F.when(hit, F.struct("place", "n"))).alias("_hits"), F.collect_set(F.col("item").cast("string")).alias("_items")
-    )
+    found = hits(docs, items, [F.col(key).alias(key)], text, **options)
+    grouped = found.groupBy("_row").agg(
+        F.first(key).alias(key), F.max("n_words").alias("n_words"), F.collect_set(F.when(F.col("n") > 0, F.struct("place", "n"))).alias("_hits"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("_items"),
+    )
     start = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("end"))
 
     def cover(a, h):
@@ -112,16 +159,22 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
     covered = F.aggregate(F.array_sort("_hits"), start, cover)["covered"].cast("long")
     return grouped.select(
-        key, *carry, "n_words", covered.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"), (covered > 0).alias("contaminated")
+        key, "n_words", covered.alias("n_hit"), F.size("_items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"), (covered > 0).alias("contaminated")
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without the rows that hold any window of an item, with the columns that docs has."""
-    names = docs.columns
-    kept = docs.select(F.struct(*names).alias("_doc"), F.col("doc_id").alias("_key"), F.col("text").alias("_scan"))
-    out = contaminated(kept, items, key="_key", text="_scan", carry=("_doc",), **options)
-    return out.filter(~F.col("contaminated")).select("_doc.*")
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs without the rows that hold any window of an item, with the columns that docs has.
+
+    A text decides for itself, so the texts that hold one are listed by 128 bits of their hashes and the rows
+    with such a text left out: no text goes through the search for hits but its own words. Null ids, null texts
+    and repeated rows are rows like others; with an empty benchmark all stay.
+    """
+    identity = [F.xxhash64(F.col(text), F.lit(k)) for k in (1, 2)]
+    found = hits(docs, items, [c.alias(f"_text{k}") for k, c in enumerate(identity)], text, **options)
+    listed = durable(found.filter(F.col("n") > 0).select("_text0", "_text1").distinct())
+    listed = F.broadcast(listed) if listed.count() * 64 <= options.get("broadcast", BROADCAST) else listed.hint("merge")
+    return docs.join(listed, (identity[0] == listed["_text0"]) & (identity[1] == listed["_text1"]), "left_anti")
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
