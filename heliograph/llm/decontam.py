@@ -41,9 +41,13 @@ def at(array: Column, place: Column, n: int) -> list[Column]:
     return [F.get(array, place + i) for i in range(n)]
 
 
+def indices(number: Column) -> Column:
+    """0 to number - 1; nothing for a number under 1."""
+    return F.when(number > 0, F.sequence(F.lit(0), number - 1)).otherwise(F.array().cast("array<int>"))
+
+
 def each(number: Column, then) -> Column:
-    """then(i) for i from 0 to number - 1; nothing for a number under 1."""
-    return F.transform(F.when(number > 0, F.sequence(F.lit(0), number - 1)).otherwise(F.array().cast("array<int>")), then)
+    return F.transform(indices(number), then)
 
 
 def plain(print_: Column) -> Column:
@@ -109,7 +113,7 @@ def marks(n: int, gram: int) -> Column:
         base = F.greatest(place - reach, F.lit(0))
         return F.struct(F.lit(n).alias("n"), plain(own).alias("print"), place.alias("place"), base.alias("base"), text_at(F.col("_words"), base, place - base + n).alias("text"))
 
-    changes = F.filter(each(F.size(prints), lambda i: i), lambda i: (i == 0) | (F.get(prints, i) != F.get(prints, i - 1)))
+    changes = F.filter(indices(F.size(prints)), lambda i: (i == 0) | (F.get(prints, i) != F.get(prints, i - 1)))
     return F.transform(changes, made)
 
 

@@ -3,9 +3,11 @@
 Each language has a variable-order tree of byte contexts (orders 3 to 0). A byte's code length comes from
 the longest context that the language has seen: with count c of n and d different successors it costs
 -log2(c / (n + d)); an unseen byte first costs the escape -log2(d / (n + d)) and is then coded in the next
-shorter context, down to a uniform code over the alphabet. The statistics are frozen after training, so a
-text's code length is a sum of table entries: the trees of all languages are flattened into one table with
-a row for each context that any language has, and a map from three bytes to their longest such context.
+shorter context, down to a uniform code over the 256 bytes. The statistics are frozen after training, so a
+text's code length is a sum of table entries. The trees of all languages are held in sorted sparse tables
+that have every context and successor of the sample: four bytes that some language has seen have their code
+lengths under all languages in a row; of others the escape of the context is added to what their last three
+bytes cost, and so on. The tables are bounded by the sample alone.
 
 Training reads whole texts of a bounded sample: about `sample_docs` of each language, chosen by a hash of
 the key, the same at every input size. Prediction reads every whole text.
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import byte_view, lean, modest, read, remainder, runs
 
-SAMPLE_DOCS, MAX_CONTEXTS, MAX_ALPHABET, ORDER = 1500, 8192, 160, 3
+SAMPLE_DOCS, ORDER = 1500, 3
 UNDETERMINED = "und"
 
 
@@ -46,52 +48,55 @@ def gram_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own)), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.int64())], ["lang", "gram", "n"])
 
 
+def place_of(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values stand in the sorted keys, and whether they do."""
+    if not len(keys):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at, keys[at] == values
+
+
 def flatten(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> dict:
-    """The model: languages, byte -> symbol, three symbols -> row, (row, symbol) -> bits of each language."""
+    """The model: languages, and for each of them the bits of bytes and of escapes.
+
+    four, bits4: all four bytes that a language has seen and their code lengths; three, bits3: the same of the
+    last three bytes of those; context, escape3: contexts of three bytes and the bits of leaving them; escape2:
+    of leaving a context of two bytes (0 where a language has not seen it); bits1: code lengths in a context of
+    one byte. Rows of bits have a column for each language.
+    """
     langs = sorted(counts)
-    seen = np.zeros(256, np.int64)
-    for keys, n in counts.values():
-        np.add.at(seen, keys & 255, n)
-    known = np.argsort(-seen, kind="stable")[:MAX_ALPHABET]
-    known = np.sort(known[seen[known] > 0])
-    symbol = np.full(256, len(known), np.int64)  # the last symbol stands for all other bytes
-    symbol[known] = np.arange(len(known))
-    a = len(known) + 1
-    contexts = np.zeros(a**3, np.int64)
-    grams = {}
-    for lang in langs:
-        keys, n = counts[lang]
-        s = [symbol[(keys >> shift) & 255] for shift in (24, 16, 8, 0)]
-        context = (s[0] * a + s[1]) * a + s[2]
-        grams[lang] = (context, s[3], n)
-        np.add.at(contexts, context, n)
-    listed = np.argsort(-contexts, kind="stable")[:MAX_CONTEXTS]
-    listed = np.sort(listed[contexts[listed] > 1])
-    rows = np.arange(a**3) % a**2  # by default the row of the last two symbols
-    rows[listed] = a**2 + np.arange(len(listed))
-    bits = np.zeros((a**2 + len(listed), a, len(langs)), np.float32)
-
-    def coded(count: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        n, d = count.sum(-1, keepdims=True), (count > 0).sum(-1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(count > 0, count / (n + d), d / (n + d) * shorter)
-        return np.where(n > 0, p, shorter)
+    grams = {lang: (keys.astype(np.uint32), n) for lang, (keys, n) in counts.items()}
+    four = np.unique(np.concatenate([g for g, _ in grams.values()]))
+    three, context = np.unique(four & np.uint32(0xFFFFFF)), np.unique(four >> np.uint32(8))
+    model = {"langs": langs, "four": four, "three": three, "context": context}
+    shapes = {"bits4": len(four), "bits3": len(three), "escape3": len(context), "escape2": 1 << 16, "bits1": 1 << 16}
+    model |= {name: np.zeros((rows, len(langs)), np.float32) for name, rows in shapes.items()}
+
+    def escape(c: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """n + d of each context, and the probability of leaving it (1 where it has not been seen)."""
+        n = np.bincount(of, c, size) + np.bincount(of, c > 0, size)
+        return n, np.where(n > 0, np.bincount(of, c > 0, size) / np.maximum(n, 1), 1.0)
 
     for j, lang in enumerate(langs):
-        context, x, n = grams[lang]
-        order2 = np.zeros((a * a, a))
-        np.add.at(order2, (context % a**2, x), n)
-        order1 = order2.reshape(a, a, a).sum(0)
-        p0 = coded(order1.sum(0), np.full(a, 1 / a))
-        p1 = coded(order1, np.broadcast_to(p0, (a, a)))
-        p2 = coded(order2, np.tile(p1, (a, 1)))
-        order3 = np.zeros((len(listed), a))
-        place = np.searchsorted(listed, context)
-        hit = (place < len(listed)) & (listed[np.minimum(place, len(listed) - 1)] == context) if len(listed) else np.zeros(len(context), bool)
-        np.add.at(order3, (place[hit], x[hit]), n[hit])
-        bits[: a * a, :, j] = -np.log2(p2)
-        bits[a * a :, :, j] = -np.log2(coded(order3, p2[listed % a**2]))
-    return {"langs": langs, "symbol": symbol.astype(np.int32), "a": a, "rows": rows.astype(np.int32), "bits": bits.reshape(-1, len(langs))}
+        keys, n = grams[lang]
+        c0 = np.bincount(keys & 255, n, 256)
+        p0 = np.where(c0 > 0, c0, (c0 > 0).sum() / 256) / (c0.sum() + (c0 > 0).sum())
+        c1 = np.bincount(keys & 0xFFFF, n, 1 << 16)
+        before = np.arange(1 << 16) >> 8
+        whole, leave = escape(c1, before, 256)
+        p1 = np.where(c1 > 0, c1 / np.maximum(whole[before], 1), leave[before] * np.tile(p0, 256))
+        c2 = np.bincount(np.searchsorted(three, keys & np.uint32(0xFFFFFF)), n, len(three))
+        before = (three >> 8).astype(np.int64)
+        whole, leave = escape(c2, before, 1 << 16)
+        model["escape2"][:, j] = -np.log2(leave)
+        p2 = np.where(c2 > 0, c2 / np.maximum(whole[before], 1), leave[before] * p1[three & 0xFFFF])
+        c3 = np.bincount(np.searchsorted(four, keys), n, len(four))
+        before = np.searchsorted(context, four >> np.uint32(8))
+        whole, leave = escape(c3, before, len(context))
+        model["escape3"][:, j] = -np.log2(leave)
+        p3 = np.where(c3 > 0, c3 / np.maximum(whole[before], 1), leave[before] * p2[np.searchsorted(three, four & np.uint32(0xFFFFFF))])
+        model["bits1"][:, j], model["bits3"][:, j], model["bits4"][:, j] = -np.log2(p1), -np.log2(p2), -np.log2(p3)
+    return model
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
@@ -114,35 +119,52 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict | None:
     return flatten(counts) if counts else None
 
 
+def bits_of(model: dict, grams: np.ndarray) -> np.ndarray:
+    """Bits of the last of each four bytes after the other three, under each language (columns)."""
+    at, seen = place_of(model["four"], grams)
+    out = model["bits4"].take(at, axis=0) if len(model["four"]) else np.zeros((len(grams), len(model["langs"])), np.float32)
+    new = np.flatnonzero(~seen)
+    if len(new):
+        rest = grams[new]
+        last = (rest & np.uint32(0xFFFFFF)).astype(np.uint32)
+        at, seen = place_of(model["three"], last)
+        shorter = model["escape2"][last >> 8] + model["bits1"][last & 0xFFFF]
+        shorter[seen] = model["bits3"][at[seen]]
+        at, seen = place_of(model["context"], rest >> np.uint32(8))
+        shorter[seen] += model["escape3"][at[seen]]
+        out[new] = shorter
+    return out
+
+
 def code_lengths(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text (rows) under each language (columns)."""
-    a, out = model["a"], np.zeros((len(offsets) - 1, len(model["langs"])))
-    pad = model["symbol"][10]
+    out = np.zeros((len(offsets) - 1, len(model["langs"])))
     for start, stop in runs(offsets, 1 << 18):
         o = offsets[start : stop + 1] - offsets[start]
-        s = model["symbol"][data[offsets[start] : offsets[stop]]]
-        before = [np.concatenate([np.full(k, pad, np.int32), s])[: len(s)] for k in (1, 2, 3)]
-        heads = o[:-1][o[1:] > o[:-1]]
-        for k, b in zip((1, 2, 3), before, strict=True):
-            for step in range(k):  # a text's first bytes have line ends before them, not the text before
-                at = heads + step
-                b[at[at < len(s)]] = pad
-            # positions past a short text's end belong to the next one, whose own heads are set as well
-        context = model["rows"][(before[2] * a + before[1]) * a + before[0]]
-        cost = model["bits"][context.astype(np.int64) * a + s]
         filled = np.flatnonzero(o[1:] > o[:-1])
-        if len(filled):
-            out[start + filled] = np.add.reduceat(cost, o[:-1][filled], axis=0, dtype=np.float64)
+        for part in range(0, int(o[-1]), 1 << 20):  # a text longer than a run goes by parts
+            b = data[offsets[start] + part : offsets[start] + min(int(o[-1]), part + (1 << 20))].astype(np.uint32)
+            early = data[offsets[start] + max(0, part - ORDER) : offsets[start] + part].astype(np.uint32)
+            padded = np.concatenate([np.full(ORDER - len(early), 10, np.uint32), early, b])
+            before = [padded[ORDER - k : len(padded) - k].copy() for k in (1, 2, 3)]
+            heads = o[:-1][filled] - part
+            for k, x in zip((1, 2, 3), before, strict=True):
+                for step in range(k):  # a text's first bytes have line ends before them, not the text before
+                    at = heads + step
+                    x[at[(at >= 0) & (at < len(x))]] = 10
+            cost = bits_of(model, (before[2] << np.uint32(24)) | (before[1] << np.uint32(16)) | (before[0] << np.uint32(8)) | b)
+            inside = np.flatnonzero((o[1:][filled] > part) & (heads < len(b)))
+            out[start + filled[inside]] += np.add.reduceat(cost, np.maximum(heads[inside], 0), axis=0, dtype=np.float64)
     return out
 
 
 def identify(df: DataFrame, model: dict | None, text: str = "text") -> DataFrame:
     """df with lang_pred, score (0 to 1) and bits_per_byte, read from the whole text alone.
 
-    lang_pred is the language of the shortest code; `und` if the text is null or has no letter, or if there
+    lang_pred is the language of the shortest code, the first by name of several; `und` if the text is null or has no letter, or if there
     is no model. score is the share of that language in the posterior over all languages, with each code
     length divided by the square root of the text's length in bytes; 0 for `und`. Columns of those three
-    names in df are replaced; others pass unchanged.
+    names in df are replaced; others pass unchanged. Each row is judged alone, however often it comes.
     """
     df = df.drop("lang_pred", "score", "bits_per_byte")
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
