@@ -1,38 +1,50 @@
 """Secrets: fixed patterns, and a battery of randomness tests over encoded tokens. DataFrame functions only.
 
-A candidate is a run of 20 or more characters of an encoding that holds a letter and a digit. Its encoding
-is the narrowest alphabet that covers it: hexadecimal (16), base32 (32), lower-case alphanumeric (36),
-alphanumeric (62) or base64 (64). Three tests ask whether it is uniform noise over that alphabet:
+A candidate is a run of 20 or more characters of an encoding that holds a letter and a digit, or of 20 or
+more letters. Its encoding is the narrowest alphabet that covers it: hexadecimal (16), base32 (32),
+lower-case alphanumeric (36), alphanumeric (62) or base64 (64). Three tests ask whether it is uniform noise
+over that alphabet:
 
 * chi-squared: the sum of squared symbol counts against its exact mean and variance under uniformity;
-* runs: Wald-Wolfowitz over the symbols of the alphabet's upper and lower half;
+* runs: Wald-Wolfowitz over the symbols from the token's own median on and those below it;
 * serial correlation of neighbouring symbols at lag one.
 
 Their standardised values together (the first only where it is too uneven) must not reject noise at ALPHA.
 Conversely, the chi-squared value is held against what an ordinary word of that length would show, whose
 symbols repeat as letters do. The chance of so even a token among words is its p-value; Benjamini-Hochberg
-at RATE over the candidates of a document, weighted by their lengths since long tokens tell more, says
-which are found. A document's result depends on itself alone, so nothing is shuffled.
+at RATE over the candidates of all rows, weighted by their lengths since long tokens tell more, says which
+are found. The cut comes from counts of weighted p-values by classes of a sixteenth of an e-fold, each
+class taken at its upper end: a few thousand numbers, whatever the corpus.
+
+Each step of the battery is linear in the token (one sort apart), as what a step names is computed once.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import read
+from heliograph.llm.common import durable, read
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A failing run is a maximal run that is too short, so its length can stand in the pattern.
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+|[A-Za-z]{20,}+(?![0-9+/_-]))={0,2}"
 #: The symbols in order (fixed values); the last two pairs are the two ways of writing base64.
 SYMBOLS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_"
 #: Per encoding: its pattern, its number of symbols, the chance that two symbols of an ordinary word agree.
 ENCODINGS = (("hex", "^(?:[0-9a-f]+|[0-9A-F]+)$", 16, 0.15), ("base32", "^[A-Z2-7]+$", 32, 0.066), ("base36", "^[a-z0-9]+$", 36, 0.066), ("base62", "^[A-Za-z0-9]+$", 62, 0.06), ("base64", "", 64, 0.06))
 ALPHA, RATE = 0.001, 0.05
-CHUNK = 256
+#: Classes of p-values in an e-fold; elements that are added up at a time.
+CLASSES, CHUNK = 16, 256
+
+
+def let(value: Column, then) -> Column:
+    """then(value), with the value computed once however often it is named."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def running(values: Column) -> Column:
@@ -55,13 +67,20 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """
     nothing = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    lengths = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda p, m: (F.length(p) + F.length(m)).cast("long"))
-    ends = F.zip_with(running(lengths), lengths, lambda a, b: a + b)
     values = matches if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    whole = F.arrays_zip(ends.alias("e"), matches.alias("m"), values.alias("v"))
-    made = F.transform(whole, lambda x: F.struct((x["e"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["v"].alias("value")))
-    return F.when(text.rlike(pattern), made).otherwise(nothing)
+
+    def lengths(x):
+        return F.struct(x["m"].alias("m"), x["v"].alias("v"), F.zip_with(F.slice(x["b"], 1, F.size(x["m"])), x["m"], lambda p, m: (F.length(p) + F.length(m)).cast("long")).alias("l"))
+
+    def places(x):
+        ends = F.zip_with(running(x["l"]), x["l"], lambda a, b: a + b)
+        return F.transform(F.arrays_zip(ends.alias("e"), x["m"].alias("m"), x["v"].alias("v")), one)
+
+    def one(x):
+        return F.struct((x["e"] - F.length(x["m"])).alias("start"), F.lit(kind).alias("kind"), x["e"].alias("end"), x["v"].alias("value"))
+
+    found = F.struct(matches.alias("m"), values.alias("v"), F.split(text, pattern, -1).alias("b"))
+    return F.when(text.rlike(pattern), let(found, lambda x: let(lengths(x), places))).otherwise(nothing)
 
 
 def normal_cdf(z: Column) -> Column:
@@ -78,30 +97,49 @@ def by_encoding(token: Column, value) -> Column:
     return out
 
 
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, c: a + c)
+
+
+def neighbours(values: Column, both) -> Column:
+    """both(a, b) of each element and the next."""
+    return F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values)), both)
+
+
 def battery(token: Column) -> Column:
     """(n, noise, word) of a token: its length, and its p-values as noise and as an ordinary word."""
 
-    def first(t):
-        symbols = F.split(t, "")
-        codes = F.transform(F.slice(symbols, 1, F.length(t)), lambda c: F.instr(F.lit(SYMBOLS), c).cast("double"))
+    def symbols(t):
+        codes = F.transform(F.slice(F.split(t, ""), 1, F.length(t)), lambda c: F.instr(F.lit(SYMBOLS), c).cast("double"))
         return F.struct(F.length(t).cast("double").alias("n"), codes.alias("codes"), by_encoding(t, lambda e: float(e[2])).alias("k"), by_encoding(t, lambda e: e[3]).alias("same"))
 
-    def second(x):
-        codes, n = x["codes"], x["n"]
-        zero = F.lit(0.0)
-        squares = F.aggregate(F.array_distinct(codes), zero, lambda a, c: a + F.pow(F.size(F.filter(codes, lambda y: y == c)).cast("double"), F.lit(2.0)))
-        total = F.aggregate(codes, zero, lambda a, c: a + c)
-        power = F.aggregate(codes, zero, lambda a, c: a + c * c)
-        lag = F.aggregate(F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes)), lambda a, b: a * b), zero, lambda a, c: a + c)
-        ends = F.element_at(codes, 1) + F.element_at(codes, -1)
-        half = F.array_sort(codes)
-        middle = F.element_at(half, (F.size(codes) / 2).cast("int") + 1)
-        high = F.transform(codes, lambda c: (c >= middle).cast("int"))
-        changes = F.aggregate(F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high)), lambda a, b: (a != b).cast("double")), zero, lambda a, c: a + c)
-        highs = F.aggregate(high, zero, lambda a, c: a + c.cast("double"))
-        return F.struct(n.alias("n"), x["k"].alias("k"), x["same"].alias("same"), squares.alias("squares"), total.alias("total"), power.alias("power"), lag.alias("lag"), ends.alias("ends"), changes.alias("changes"), highs.alias("highs"))
-
-    def third(x):
+    def ordered(x):
+        return F.struct(*[x[c].alias(c) for c in ("n", "k", "same", "codes")], F.array_sort(x["codes"]).alias("sorted"))
+
+    def counted(x):
+        # the j-th of equal symbols adds 2 j - 1, so c of them add their square
+        start = F.struct(F.lit(-1.0).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+
+        def more(a, c):
+            run = F.when(a["last"] == c, a["run"] + 1.0).otherwise(F.lit(1.0))
+            return F.struct(c.alias("last"), run.alias("run"), (a["sum"] + 2.0 * run - 1.0).alias("sum"))
+
+        codes = x["codes"]
+        middle = F.element_at(x["sorted"], (x["n"] / 2).cast("int") + 1)
+        return F.struct(
+            *[x[c].alias(c) for c in ("n", "k", "same", "codes")], F.aggregate(x["sorted"], start, more)["sum"].alias("squares"), middle.alias("middle"), total(codes).alias("total"),
+            total(F.transform(codes, lambda c: c * c)).alias("power"), total(neighbours(codes, lambda a, b: a * b)).alias("lag"), (F.element_at(codes, 1) + F.element_at(codes, -1)).alias("ends"),
+        )
+
+    def halved(x):
+        names = ("n", "k", "same", "squares", "total", "power", "lag", "ends")
+        return F.struct(*[x[c].alias(c) for c in names], F.transform(x["codes"], lambda c: (c >= x["middle"]).cast("double")).alias("high"))
+
+    def switched(x):
+        names = ("n", "k", "same", "squares", "total", "power", "lag", "ends")
+        return F.struct(*[x[c].alias(c) for c in names], total(neighbours(x["high"], lambda a, b: (a != b).cast("double"))).alias("changes"), total(x["high"]).alias("highs"))
+
+    def judged(x):
         n, k, one = x["n"], x["k"], F.lit(1.0)
         chi = x["squares"] * k / n - n
         even = (chi - (k - one)) / F.sqrt(F.lit(2.0) * (k - one) * (n - one) / n)
@@ -120,26 +158,34 @@ def battery(token: Column) -> Column:
         word = normal_cdf((chi - ordinary) / F.sqrt(F.lit(2.0) * (k - one) + F.lit(4.0) * n * excess))
         return F.struct(n.alias("n"), noise.alias("noise"), word.alias("word"))
 
-    # each step is the element of a one-row array, so that what it names is computed once
-    return F.element_at(F.transform(F.transform(F.transform(F.array(F.rtrim(token, F.lit("="))), first), second), third), 1)
+    def chain(x, *steps):
+        return let(x, (lambda y: chain(steps[0](y), *steps[1:])) if len(steps) > 1 else steps[0])
+
+    return chain(F.rtrim(token, F.lit("=")), symbols, ordered, counted, halved, switched, judged)
+
 
+def tested(found: Column) -> Column:
+    """The candidate spans with their lengths, whether they pass as noise, and the class of their p-value over their length."""
 
-def discoveries(found: Column) -> Column:
-    """Those of the candidate spans, with their battery, that noise explains and words do not."""
-    tested = F.transform(found, lambda s: F.struct(s.alias("span"), battery(s["value"]).alias("b")))
+    def one(x):
+        weighed = F.ceil(F.log(F.greatest(x["b"]["word"] / x["b"]["n"], F.lit(1e-300))) * CLASSES).cast("int")
+        s = x["s"]
+        return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), x["b"]["n"].alias("n"), (x["b"]["noise"] >= ALPHA).alias("noise"), weighed.alias("class"))
 
-    def decide(tested):
-        number = F.size(tested).cast("double")
-        mean = F.aggregate(tested, F.lit(0.0), lambda a, t: a + t["b"]["n"]) / number
-        weighted = F.transform(tested, lambda t: F.struct((t["b"]["word"] * mean / t["b"]["n"]).alias("p"), t["b"]["noise"].alias("noise"), t["span"].alias("span")))
-        return F.struct(F.array_sort(weighted).alias("w"), number.alias("m"))
+    return F.transform(F.transform(found, lambda s: F.struct(s.alias("s"), battery(s["value"]).alias("b"))), one)
 
-    def keep(x):
-        passing = F.filter(F.transform(x["w"], lambda t, i: F.when(t["p"] <= (i + 1) / x["m"] * RATE, t["p"])), lambda p: p.isNotNull())
-        return F.struct(x["w"].alias("w"), F.coalesce(F.array_max(passing), F.lit(-1.0)).alias("cut"))
 
-    kept = F.element_at(F.transform(F.transform(F.array(tested), decide), keep), 1)
-    return F.transform(F.element_at(F.transform(F.array(kept), lambda x: F.filter(x["w"], lambda t: (t["p"] <= x["cut"]) & (t["noise"] >= ALPHA))), 1), lambda t: t["span"])
+def highest_class(rows: DataFrame) -> int | None:
+    """The last class of weighted p-values that the false-discovery rate lets through, of all rows' _tested; none: None."""
+    classes = rows.select(F.explode("_tested").alias("t")).groupBy("t.class").agg(F.count(F.lit(1)).alias("c"), F.sum("t.n").alias("n"))
+    classes = sorted(classes.collect(), key=lambda r: r["class"])  # as many rows as there are classes
+    number, length = sum(r["c"] for r in classes), sum(r["n"] for r in classes)
+    best, below = None, 0
+    for r in classes:
+        below += r["c"]
+        if math.exp(r["class"] / CLASSES) * length / number <= RATE * below / number:
+            best = r["class"]
+    return best
 
 
 def written(found: Column) -> Column:
@@ -151,25 +197,26 @@ def written(found: Column) -> Column:
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts, digest and spans of each row's whole text; a null text counts as empty, repeated rows are scanned each.
 
-    The base kinds are found by their patterns alone. Spans of kind random come from the battery and are
-    left out where they overlap one of the base kinds.
+    The base kinds are found by their patterns alone. Spans of kind random come from the battery, with one
+    rate of false discoveries over all rows of df, and are left out where they overlap one of the base kinds.
+    Texts are read once; what is kept of them in between (spans and p-values) is written as a checkpoint.
     """
     base_text = F.coalesce(F.col(text), F.lit(""))
     df = df.select(F.col(key).alias(key), base_text.alias("_text"))
     t = F.col("_text")
+    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
     df = df.select(
-        key,
-        F.filter(spans(t, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= 12).alias("_assign"),
-        spans(t, ACCESS, 1).alias("_access"), spans(t, HEX, 2).alias("_hex"), spans(t, CANDIDATE, 3).alias("_candidates"),
+        key, bare(F.filter(spans(t, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= 12)).alias("_assign"),
+        bare(spans(t, ACCESS, 1)).alias("_access"), bare(spans(t, HEX, 2)).alias("_hex"), tested(spans(t, CANDIDATE, 3)).alias("_tested"),
     )
-    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
-    random = F.when(F.size("_candidates") > 0, discoveries(F.col("_candidates"))).otherwise(none)
-    df = df.select(key, "_assign", "_access", "_hex", bare(random).alias("_random"), F.concat(bare(F.col("_assign")), bare(F.col("_access")), bare(F.col("_hex"))).alias("_base"))
-    clear = F.when(F.size("_random") > 0, F.filter("_random", lambda r: ~F.exists(F.col("_base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))).otherwise(F.col("_random"))
+    df = durable(df)
+    top = highest_class(df)
+    df = df.select(key, "_assign", "_access", "_hex", F.concat("_assign", "_access", "_hex").alias("_base"), F.filter("_tested", lambda s: s["noise"] & (s["class"] <= F.lit(top))).alias("_random"))
+    clear = F.filter("_random", lambda r: ~F.exists(F.col("_base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    df = df.select(key, "_assign", "_access", "_hex", "_base", bare(clear).alias("_clear"))
     return df.select(
         key, F.size("_assign").cast("long").alias("n_assign"), F.size("_access").cast("long").alias("n_access"), F.size("_hex").cast("long").alias("n_hex"),
-        F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.concat("_base", clear)).alias("spans"), F.size(clear).cast("long").alias("n_random"),
+        F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.concat("_base", "_clear")).alias("spans"), F.size("_clear").cast("long").alias("n_random"),
     )
 
 

@@ -1,7 +1,11 @@
 import base64
 import hashlib
+import math
 import random
 import re
+import string
+import time
+from collections import Counter
 
 from heliograph.llm import secrets
 from tests.llm.cases import documents, empty, frame
@@ -45,6 +49,83 @@ def test_battery_tells_noise_from_words(spark):
     assert sum(found[i] for i in range(40, 80)) == 0
 
 
+RUN = re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{20,})={0,2}")
+
+
+def cdf(z):
+    z = max(min(z, 12.0), -12.0)
+    return 1 / (1 + math.exp(-1.5976 * z - 0.07056 * z**3))
+
+
+def plain_battery(token):
+    """(n, noise, word) straight from the definitions."""
+    n = len(token)
+    k, same = next((k, same) for _, p, k, same in secrets.ENCODINGS if re.search(p, token))
+    codes = [secrets.SYMBOLS.index(c) + 1 for c in token]
+    chi = sum(c * c for c in Counter(codes).values()) * k / n - n
+    even = (chi - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    mean = sum(codes) / n
+    spread = sum((c - mean) ** 2 for c in codes)
+    serial = (sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / spread + 1 / n) * math.sqrt(n) if spread > 1e-9 else 12.0
+    middle = sorted(codes)[n // 2]
+    high = [c >= middle for c in codes]
+    expected = 2 * sum(high) * (n - sum(high)) / n + 1
+    variance = (expected - 1) * (expected - 2) / (n - 1)
+    runs = (1 + sum(a != b for a, b in zip(high, high[1:])) - expected) / math.sqrt(max(variance, 1e-9)) if variance > 0 else 12.0
+    together = max(even, 0) ** 2 + runs**2 + serial**2
+    noise = 1 - cdf((math.cbrt(together / 3) - (1 - 2 / 27)) / math.sqrt(2 / 27))
+    excess = k * same - 1
+    word = cdf((chi - (k - 1) - (n - 1) * excess) / math.sqrt(2 * (k - 1) + 4 * n * excess))
+    return n, noise, word
+
+
+def plain_random(rows):
+    """The added spans of all rows by the definition."""
+    found = []
+    for i, (_, text, _) in enumerate(rows):
+        for m in RUN.finditer(text or ""):
+            if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1]) or m[1].isalpha():
+                found.append((i, m.start(), m.end(), *plain_battery(m[1])))
+    mean = sum(f[3] for f in found) / len(found)
+    # p-values over length go up to the end of their sixteenth of an e-fold
+    weighed = [math.exp(math.ceil(math.log(max(f[5] / f[3], 1e-300)) * 16) / 16) * mean for f in found]
+    cut = max((w for w in weighed if w <= 0.05 * sum(x <= w for x in weighed) / len(found)), default=-1)
+    out = {}
+    for f, w in zip(found, weighed):
+        base = [tuple(map(int, s.split(":")[1:])) for s in brute(rows[f[0]][1]).split(",") if s]
+        if w <= cut and f[4] >= 0.001 and not any(a < f[2] and f[1] < b for a, b in base):
+            out.setdefault(f[0], []).append(f"random:{f[1]}:{f[2]}")
+    return out
+
+
+def tokens(rng, n):
+    alphabets = [string.ascii_letters, string.ascii_letters + string.digits + "+/", "0123456789ABCDEF", string.ascii_lowercase + string.digits, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_uppercase, "abcd1"]
+    return ["".join(rng.choice(alphabets[i % 7]) for _ in range(rng.randrange(18, 90))) + "=" * rng.randrange(3) for i in range(n)]
+
+
+def test_added_spans_against_the_definitions(spark):
+    rng = random.Random(8)
+    drawn = tokens(rng, 200)
+    rows = [(i, " ".join(rng.choice([*drawn, "house", "un-mot-compose-et-long-1", "password=abcdefghijkl"]) for _ in range(8)), None) for i in range(80)] + documents()
+    expected = plain_random(rows)
+    out = secrets.scan(frame(spark, rows)).collect()
+    got = {i: [s for s in r.spans.split(",") if s.startswith("random")] for i, r in enumerate(out) if r.n_random}
+    assert got == expected and len(got) > 30
+    assert all(r.n_random == len(expected.get(i, [])) for i, r in enumerate(out))
+
+
+def test_letters_alone_are_found_and_long_tokens_take_their_length(spark):
+    rng = random.Random(9)
+    mixed = ["".join(rng.choice(string.ascii_letters) for _ in range(32)) for _ in range(100)]
+    out = secrets.scan(frame(spark, [(i, f"key {t} end", None) for i, t in enumerate(mixed)])).collect()
+    assert sum(r.n_random for r in out) >= 90
+    token = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(2_000_000))
+    secrets.scan(frame(spark, [(1, token[:1000], None)])).collect()
+    began = time.time()
+    (row,) = secrets.scan(frame(spark, [(1, "data:" + token, None)])).collect()
+    assert row.n_random == 1 and time.time() - began < 60
+
+
 def test_running_sums(spark):
     from pyspark.sql import functions as F
 
