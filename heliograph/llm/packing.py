@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import durable, lean, modest, read
 
 CAPACITY, END = 1024, 2
+#: What a sequence holds besides its tokens - documents and attention cost, each as much as CAPACITY tokens can come to,
+#: so that neither asks for more sequences - and the weights of tokens, documents and cost in the choice of a bin.
+LIMITS = {"most_docs": CAPACITY, "most_cost": CAPACITY * CAPACITY, "weights": (1.0, 1.0, 1.0)}
 #: Documents encoded together.
 SOME = 512
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -273,7 +276,7 @@ def local_ranks(batches):
 
 
 def pack(cut: DataFrame, capacity: int = CAPACITY, **limits) -> DataFrame:
-    """cut (columns of pieces(), ranked or not) with sequence_id and offset.
+    """cut (columns of pieces(), ranked or not) with sequence_id and offset; further columns of cut do not pass.
 
     Full pieces are sequences of their own (negative numbers); all others share the bins of plan(), whose
     limits may be given. An empty table stays empty.
@@ -309,5 +312,5 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, **limits) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All `documents` packed into sequences of at most 1024 ids; only the token capacity binds here."""
-    return pack(pieces(read(spark, sf_dir, "documents"), ranked=True))
+    """All `documents` packed into sequences of at most 1024 ids under LIMITS."""
+    return pack(pieces(read(spark, sf_dir, "documents"), ranked=True), **LIMITS)

@@ -47,6 +47,14 @@ def test_round_trip(spark):
     assert len(out) == sum(-(-len(ids_of(t)) // 1024) for _, t, _ in rows)
     assert number <= -(-sum(r.length for r in out) // 1024) + 2
     assert packing.pack(packing.pieces(empty(spark))).collect() == []
+    limited = packing.pack(packing.pieces(frame(spark, rows), ranked=True), **packing.LIMITS).collect()
+    assert check(limited, [(i, t) for i, t, _ in rows]) <= number
+    few = packing.pack(packing.pieces(frame(spark, rows), ranked=True), most_docs=20, most_cost=300_000, weights=(1.0, 1.0, 1.0)).collect()
+    assert check(few, [(i, t) for i, t, _ in rows]) > number
+    sequences = {}
+    for r in few:
+        sequences.setdefault(r.sequence_id, []).append(r.length)
+    assert all(len(s) <= 20 and (len(s) == 1 or sum(x * x for x in s) <= 300_000) for s in sequences.values())
 
 
 def test_repeated_rows(spark):
