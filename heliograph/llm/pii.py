@@ -18,15 +18,23 @@ from heliograph.llm.common import lean, modest, read, sha256_hex
 #: Kinds in the order of the contract, then the added ones (fixed values).
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: Words that support a kind when they stand within WINDOW characters (fixed values).
+#: Whole words that support a kind when they stand within WINDOW characters (fixed values).
 CONTEXT = {
-    "email": ("mail", "contact", "write to"),
-    "ip": ("ip", "address", "host", "server"),
+    "email": ("mail", "e-mail", "email", "mailto", "contact", "write to"),
+    "ip": ("ip", "ipv4", "address", "host", "server"),
     "card": ("card", "credit", "visa", "payment"),
-    "phone": ("phone", "tel", "call", "mobile"),
+    "phone": ("phone", "telephone", "tel", "call", "mobile", "fax"),
     "iban": ("iban", "account", "bank", "konto"),
     "ssn": ("ssn", "social security", "security number"),
 }
+#: Characters of an IBAN by country (fixed values).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27,
+    "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 #: Score of a bare match, gain of a passed checksum, gain of a context word; least score of an added kind.
 BARE = {"email": 0.8, "ip": 0.6, "card": 0.4, "phone": 0.5, "iban": 0.3, "ssn": 0.3}
 CHECKED, NEAR, KEEP, WINDOW = 0.4, 0.3, 0.55, 40
@@ -35,7 +43,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?= ?[A-Z0-9])")
+IBAN_REST = {n: re.compile(r"(?: ?[A-Z0-9]){%d}(?![A-Za-z0-9])" % (n - 4)) for n in set(IBAN_LENGTHS.values())}
+NEARBY = {name: re.compile(r"(?<![^\W_])(?:%s)(?![^\W_])" % "|".join(map(re.escape, words)), re.IGNORECASE) for name, words in CONTEXT.items()}
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
 
@@ -88,9 +98,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def added_spans(text: str) -> list[tuple[int, int, int]]:
     found = []
     if DIGIT.search(text):
+        last = 0
         for m in IBAN.finditer(text):
-            if mod97(m.group().replace(" ", "")):
-                found.append((m.start(), 4, m.end()))
+            rest = IBAN_REST[IBAN_LENGTHS[m[1]]].match(text, m.end()) if m[1] in IBAN_LENGTHS and m.start() >= last else None
+            if rest and mod97((m[0] + rest[0]).replace(" ", "")):
+                last = rest.end()
+                found.append((m.start(), 4, last))
         if "-" in text:
             found += [(m.start(), 5, m.end()) for m in SSN.finditer(text)]
     return found
@@ -99,8 +112,11 @@ def added_spans(text: str) -> list[tuple[int, int, int]]:
 def score(text: str, start: int, kind: int, end: int) -> float:
     """0 to 1: the pattern's own weight, more for a passed checksum, more for a context word close by."""
     name = KINDS[kind]
-    near = (text[max(0, start - WINDOW) : start] + " " + text[end : end + WINDOW]).lower()
-    value = BARE[name] + CHECKED * (name in ("card", "iban")) + NEAR * any(w in near for w in CONTEXT[name])
+
+    def near(begin: int, stop: int) -> bool:  # a word must end by stop; what follows it is seen, so that parts of words do not count
+        return any(m.end() <= stop for m in NEARBY[name].finditer(text, max(0, begin), stop + 1))
+
+    value = BARE[name] + CHECKED * (name in ("card", "iban")) + NEAR * (near(start - WINDOW, start) or near(end, min(len(text), end + WINDOW)))
     return min(1.0, value)
 
 
@@ -169,7 +185,11 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def redacted(df: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
-    """df with each text's spans replaced and, where df has that column, its length in characters brought up to date."""
+    """df with each text's spans replaced and, where df has that column, its length in characters brought up to date.
+
+    Null texts stay null, with a null length. Rows pass one by one, however often they come, and other columns
+    pass unchanged whatever their names.
+    """
     names = df.columns
 
     def part(batches):

@@ -42,6 +42,22 @@ def test_checksums_and_context():
     assert pii.find("call +1 555 010 9999")[0][3] > pii.find("code +1 555 010 9999")[0][3]
 
 
+def test_iban_ends_where_its_country_says():
+    cut = lambda text: [text[a:b] for a, k, b, _ in pii.find(text) if pii.KINDS[k] == "iban"]
+    assert cut("IBAN GB82 WEST 1234 5698 7654 32 IS MINE") == ["GB82 WEST 1234 5698 7654 32"]
+    assert cut("GB82WEST12345698765432 OK") == ["GB82WEST12345698765432"]
+    assert cut("DE89 3704 0044 0532 0130 00 EUR 500, NO93 8601 1117 947.") == ["DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"]
+    assert cut("GB82WEST12345698765432OK ZZ82WEST12345698765432 GB82") == []
+
+
+def test_context_is_whole_words():
+    value = lambda text: next(s[3] for s in pii.find(text))
+    assert value("the ship sailed 10.0.0.1") == value("the sailed 10.0.0.1") < value("the ip is 10.0.0.1") == value("10.0.0.1 (IP)")
+    assert value("ship" + " " * 38 + "10.0.0.1") == value("10.0.0.1")  # the window begins inside a word
+    assert value("10.0.0.1 " + "x" * 36 + " hosting") == value("10.0.0.1")  # and ends inside one
+    assert value("ip_address 10.0.0.1") > value("10.0.0.1")
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.cc now", "en"), (2, None, "en"), (3, "clean", None), (4, "+4111 1111 1111 1111 x", None)]
     out = {r.doc_id: r for r in pii.redacted(frame(spark, rows)).collect()}
