@@ -1,15 +1,16 @@
 """Exact top-k inner-product search by norm-bucketed retrieval.
 
-Vectors are dealt by length into range partitions, and each Arrow batch of a partition, sorted from the
-longest down, is one bucket of nearly equal lengths. A query's k-th best score so far, divided by its own
+Vectors are dealt by length into range partitions, and each `BUCKET` vectors of a partition, sorted from the
+longest down, are one bucket of nearly equal lengths. A query's k-th best score so far, divided by its own
 length and by the bucket's longest length, is the cosine that a vector of the bucket must reach. From that
 local threshold each query picks its pruning in each bucket: none left (threshold over 1: the bucket is
 skipped), coordinates (high threshold: a few of the query's largest coordinates bound those of any
 partner), or length (low threshold: only the bucket's longest vectors can reach the score). All survivors
 are verified by exact integer products.
 
-Queries go in blocks of at most `block` rows, so what is broadcast has a fixed bound; the number of passes,
-not the size of a broadcast, grows with the queries.
+Queries go in blocks of about `block` rows. Where there are several, each is searched, its results written and
+its broadcast released before the next, so the driver and the executors hold one block at a time; the number
+of passes, not the size of a broadcast, grows with the queries.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from heliograph.llm.common import durable, lean, read
 
 #: Local cosine from which coordinates prune, coordinates looked at, seeds for the first thresholds.
 COORDINATES_FROM, FOCUS, SEEDS = 0.75, 4, 1024
+#: Vectors of a bucket.
+BUCKET = 4096
 
 
 def quantised(df: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -120,16 +123,29 @@ def by_dimension(keys: list, vectors: list) -> dict[int, tuple[np.ndarray, np.nd
     return {d: (np.array(a, np.int64), np.array(b, np.int64).reshape(len(a), d)) for d, (a, b) in found.items()}
 
 
+def buckets(batches, size: int = BUCKET):
+    """(keys, vectors) of each `size` rows in order, whatever the batches hold."""
+    keys, vectors = [], []
+    for batch in batches:
+        keys += batch["key"].to_pylist()
+        vectors += batch["v"].to_pylist()
+        while len(keys) >= size:
+            yield keys[:size], vectors[:size]
+            keys, vectors = keys[size:], vectors[size:]
+    if keys:
+        yield keys, vectors
+
+
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = 16384) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest integer products of each query, ties to the smaller key.
 
     candidates, queries: (key, v, norm) as from quantised(). A candidate with the query's own key is left
     out; only vectors of the same number of components are compared. Rows that repeat a key: each candidate
-    row counts; of queries with one key, the smallest vector is asked. Queries with fewer than k partners
-    get all they have; empty tables give no rows.
+    row counts, and queries with one key share their k places, whatever row asks. Queries with fewer than k
+    partners get all they have; empty tables give no rows.
     """
     spark = candidates.sparkSession
-    queries = queries.groupBy("key").agg(F.min("v").alias("v"))
+    queries = queries.select("key", "v")
     n = queries.count()
     blocks = max(1, -(-n // block))
     if blocks > 1:
@@ -141,7 +157,7 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = 16
     seeds = by_dimension([r.key for r in seeds], [r.v for r in seeds])
     found = None
     for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).collect()
+        rows = queries.filter(F.pmod(F.xxhash64("key", "v"), F.lit(blocks)) == b).collect()
         asked = {}
         for d, (ids, q) in by_dimension([r.key for r in rows], [r.v for r in rows]).items():
             least = np.full(len(ids), np.iinfo(np.int64).min)
@@ -159,8 +175,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = 16
             import pyarrow as pa
 
             state = {d: (q, np.sqrt((q.astype(np.float64) ** 2).sum(1)), Best(ids, k, least)) for d, (ids, q, least) in shared.value.items()}
-            for batch in batches:
-                for d, (keys, v) in by_dimension(batch["key"].to_pylist(), batch["v"].to_pylist()).items():
+            for keys, vectors in buckets(batches):
+                for d, (keys, v) in by_dimension(keys, vectors).items():
                     if d in state:
                         norms = np.sqrt((v.astype(np.float64) ** 2).sum(1))
                         rank = np.argsort(-norms, kind="stable")
@@ -170,6 +186,9 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, block: int = 16
                 yield pa.RecordBatch.from_arrays([pa.array(best.ids[position]), pa.array(key), pa.array(score)], ["query_id", "vec_id", "score"])
 
         some = ranged.mapInArrow(lean(part), "query_id long, vec_id long, score long")
+        if blocks > 1:
+            some = durable(some)
+            shared.destroy()
         found = some if found is None else found.unionByName(some)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -12,10 +12,8 @@ def table(spark, rows):
 def brute(rows, k=5):
     ok = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
-    for i, q in sorted({i: q for i, q in sorted(ok, reverse=True)}.items()):
-        if i % 50:
-            continue
-        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ok if j != i and len(v) == len(q))[:k]
+    for i in {i for i, _ in ok if i % 50 == 0}:
+        scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for own, q in ok if own == i for j, v in ok if j != i and len(v) == len(q))[:k]
         out |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)}
     return out
 
@@ -31,6 +29,7 @@ def test_against_brute_force(spark):
     rows = [(i, [rng.gauss(0, 0.2) * (1 + i % 4) for _ in range(8)]) for i in range(400)]
     rows += [(i, rows[50][1]) for i in range(400, 450)]  # ties
     rows += [(500, None), (550, [None] * 8), (600, [float("nan")] * 8), (650, [0.0] * 8), (700, [1.0] * 3), (701, [2.0] * 3), (None, [1.0] * 8), (750, []), (800, [-1.0] * 8)]
+    rows += [(50, [0.3] * 8), (50, rows[50][1]), (100, [0.5] * 3), (7, rows[7][1])]  # repeated queries and candidates
     expected = brute(rows)
     assert run(spark, rows) == expected
     assert run(spark, rows, block=3) == expected
