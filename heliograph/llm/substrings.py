@@ -5,15 +5,16 @@ windows of one trigger lie side by side; the bytes they cover are a phrase. Neig
 SPAN - 1 bytes, so every window lies in exactly one phrase, and equal windows have equal triggers at equal
 places. The distinct phrases are the dictionary, far smaller than the text where it repeats itself.
 
-1. Dictionary: phrases are dealt by their trigger and grouped. An occurrence of a phrase that a smaller
-   document has goes as a whole. What is left are phrases that share a trigger with a different phrase.
-2. Order within the dictionary: the SPAN-byte prefixes of the suffixes of those phrases alone are dealt by
-   their hash and grouped; equal prefixes are neighbours in corpus order, and all but the smallest
-   document's go. (The groups, not the order between them, decide what goes, so hashes are sorted in the
-   place of bytes.)
+1. Parse: each document is the sequence of its phrases. Equal phrases are put together by their hashes; the
+   first of them in corpus order is the dictionary's, and those of larger documents go as a whole. No window
+   spans two phrases, so the parse needs no order of its own: what repeats in it is found phrase by phrase.
+2. Dictionary: the phrases that share a trigger with a different phrase of another document are sent as bytes,
+   dealt by their trigger. The suffixes of a slot's phrases are sorted by their first SPAN bytes: ranks of
+   8-byte words, extended word by word, with a suffix left out once nothing else begins as it does. Equal
+   prefixes are neighbours in that order, compared byte for byte, and all but the smallest document's go.
 3. Each document takes what both steps found and writes its remaining bytes.
 
-Rows travel packed: sorted hash parts and document numbers as bytes, one row for each slot and flush of
+Rows travel packed: sorted hash parts, phrases and document numbers as bytes, one row for each slot and flush of
 text. Both the text of a slot and that of a flush are the root of what the corpus holds times BLOB, within
 bounds, so packed rows keep about that size at any scale. Copies within a flush are settled before the
 shuffle, so a passage that a third of all documents hold comes to its slot once for each flush.
@@ -31,10 +32,14 @@ from heliograph.llm.common import byte_view, durable, lean, read, release, runs,
 from heliograph.llm.shingles import _BASE, _BYTE, _INVERSE, _U, mix, powers
 
 SPAN, GRAM = 50, 20
+#: Bytes of the words whose ranks are extended to SPAN, and where the words of a prefix begin after the first (they may overlap).
+WORD, NEXT = 8, (8, 16, 24, 32, 40, 42)
+#: Bytes of dictionary whose suffixes are sorted at a time, in whole triggers.
+SORTED = 1 << 22
 #: Bytes hashed at a time, bytes of a packed row that are aimed at, least and most bytes of text of a slot.
 RUN, BLOB, LEAST, MOST = 1 << 20, 40_000, 1 << 20, 1 << 27
 PLACE = _U((1 << 28) - 1)
-TEXT, PHRASE, SPANS, DUPLICATE, OPEN, WINDOW, GONE = range(7)
+TEXT, PHRASE, SPANS, DUPLICATE, OPEN, SPELLED, GONE = range(7)
 SCHEMA = "slot int, kind int, blob binary"
 
 
@@ -303,36 +308,46 @@ def texts(blob: bytes):
         yield docs[a:b], bases[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
+def taken(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of data, joined."""
+    ends = np.cumsum(sizes)
+    return data[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def spelled(to: np.ndarray, trigger: np.ndarray, place: np.ndarray, sizes: np.ndarray, doc: np.ndarray, data: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Packed rows of phrases with their bytes, by slot and trigger."""
+    order = np.lexsort((trigger, to))
+    data = taken(data, (np.cumsum(sizes) - sizes)[order], sizes[order])
+    ends, out = np.r_[0, np.cumsum(sizes[order])], []
+    for a, b in stretches(to[order]):
+        rows = order[a:b]
+        out.append((int(to[rows[0]]), SPELLED, pack(*documents_in(doc[rows]), trigger[rows], places(place[rows]), sizes[rows].astype(np.uint8), data[ends[a] : ends[b]])))
+    return out
+
+
 def suffixes(number: int, size: int):
-    """Home slots to rows of windows of open phrases by their hashes, and to spans of duplicate phrases.
+    """Home slots to rows of open phrases by their triggers, and to spans of duplicate phrases.
 
     What a slot's texts give is gathered until it comes from `size` bytes of text or the slot ends.
     """
 
-    def settled(spans: list, windows: list):
+    def settled(spans: list, opened: list):
         rows = []
         if spans:
             lo, more, doc = (np.concatenate(x) for x in zip(*spans, strict=True))
             rows += dealt(home(doc, number), SPANS, places(lo), more, doc=doc)
-        if windows:
-            w, place, doc = (np.concatenate(x) for x in zip(*windows, strict=True))
-            order, _, least = smaller_first(w, doc)
-            late = order[doc[order] > least]
-            rows += dealt(home(doc[late], number), GONE, places(place[late]), doc=doc[late])
-            first = order[doc[order] == least]  # sorted by hash
-            to = (mix(w[first]) % _U(number)).astype(np.int64)
-            low, high = narrow(w[first] >> _U(8), 24)
-            rows += dealt(to, WINDOW, low, high, places(place[first]), doc=doc[first])
+        if opened:
+            rows += spelled(*(np.concatenate(x) for x in zip(*opened, strict=True)))
         if rows:
             yield batch_of(rows)
 
     def part(batches):
         trail = Trail()
-        last, spans, windows, seen = None, [], [], 0
+        last, spans, opened, seen = None, [], [], 0
         for slot, small, blob in by_slot(batches):
             if blob is None or seen > size:
-                yield from settled(spans, windows)
-                spans, windows, seen = [], [], 0
+                yield from settled(spans, opened)
+                spans, opened, seen = [], [], 0
             if blob is None:
                 continue
             if slot != last:
@@ -352,27 +367,63 @@ def suffixes(number: int, size: int):
                 late = within(key, flags[DUPLICATE])
                 spans.append(((lo + shift)[late], (hi - lo)[late].astype(np.uint8), doc[late]))
                 open_ = np.flatnonzero(within(key, flags[OPEN]) & ~late)
-                many = (hi - lo + 1)[open_]
-                start = np.repeat(lo[open_] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
-                windows.append((trail.stretch(sums, start, start + SPAN), start + np.repeat(shift[open_], many), np.repeat(doc[open_], many)))
-        yield from settled(spans, windows)
+                sizes = (hi - lo + SPAN)[open_]
+                opened.append((((h[open_] >> _U(32)) % _U(number)).astype(np.int64), (h[open_] & _U(0xFFFFFFFF)).astype(np.uint32), (lo + shift)[open_], sizes, doc[open_], taken(data, lo[open_], sizes)))
+        yield from settled(spans, opened)
 
     return part
 
 
+def equal_prefixes(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rank, phrase, offset) of the suffixes of at least SPAN bytes whose first SPAN bytes others have too, ranks in the order of the bytes.
+
+    data: the phrases of these sizes in a row. Of a suffix that nothing else begins like, the rank is not worked out.
+    """
+    words = np.zeros(len(data), np.uint64)
+    padded = np.concatenate([data, np.zeros(WORD, np.uint8)])
+    for k in range(WORD):
+        words = words << _U(8) | padded[k : k + len(data)]
+    rank_of = np.unique(words, return_inverse=True)[1]
+    starts, many = np.cumsum(sizes) - sizes, sizes - SPAN + 1
+    phrase = np.repeat(np.arange(len(sizes)), many)
+    place = np.repeat(starts - np.cumsum(many) + many, many) + np.arange(many.sum())
+    rank = rank_of[place]
+    for step in (0, *NEXT):
+        key = rank.astype(np.uint64) << _U(32) | rank_of[place + step].astype(np.uint64)
+        _, rank, counts = np.unique(key, return_inverse=True, return_counts=True)
+        several = counts[rank] > 1
+        rank, place, phrase = rank[several], place[several], phrase[several]
+    return rank, phrase, place - starts[phrase]
+
+
 def prefixes(number: int):
-    """Window rows of a slot to those that a smaller document has, by document."""
+    """Open phrases of a slot to the windows in them that a smaller document has, by document."""
 
     def part(batches):
         for _, small, _ in by_slot(batches):
-            if WINDOW in small:
-                doc, low, high, place = columns(small[WINDOW])
-                w = low.astype(np.uint64) | high.astype(np.uint64) << _U(32)
-                order, _, least = smaller_first(w, doc)
-                late = order[doc[order] > least]
-                rows = dealt(home(doc[late], number), GONE, places(place[late]), doc=doc[late])
-                if rows:
-                    yield batch_of(rows)
+            if SPELLED not in small:
+                continue
+            doc, trigger, place, sizes, data = columns(small[SPELLED])
+            sizes = sizes.astype(np.int64)
+            order = np.argsort(trigger, kind="stable")
+            starts = np.cumsum(sizes) - sizes
+            trigger, ends = trigger[order], np.cumsum(sizes[order])
+            heads = np.flatnonzero(np.r_[True, trigger[1:] != trigger[:-1]])
+            rows, a = [], 0
+            while a < len(order):  # whole triggers, SORTED bytes of phrases at a time
+                full = np.searchsorted(ends, (ends[a - 1] if a else 0) + SORTED, "right")
+                b = int(heads[np.searchsorted(heads, full, "right") - 1]) if full < len(order) else len(order)
+                if b <= a:  # a trigger that is larger goes at once
+                    after = np.searchsorted(heads, a, "right")
+                    b = int(heads[after]) if after < len(heads) else len(order)
+                some, a = order[a:b], b
+                rank, phrase, offset = equal_prefixes(taken(data, starts[some], sizes[some]), sizes[some])
+                own, at = doc[some][phrase], place[some][phrase].astype(np.int64) + offset
+                by, _, least = smaller_first(rank, own)
+                late = by[own[by] > least]
+                rows += dealt(home(own[late], number), GONE, places(at[late]), doc=own[late])
+            if rows:
+                yield batch_of(rows)
 
     return part
 

@@ -69,3 +69,44 @@ def test_packed_arrays():
     a, b = np.array([1, 2**40, 5], np.uint64), np.zeros(0, np.uint16)
     x, y = substrings.unpack(substrings.pack(a, b))
     assert x.tolist() == a.tolist() and len(y) == 0
+
+
+def test_suffix_order_of_phrases():
+    rng = np.random.default_rng(3)
+    for letters in (2, 250):
+        phrases = [rng.integers(0, letters, rng.integers(50, 81)).astype(np.uint8) for _ in range(60)]
+        phrases += [np.concatenate([rng.integers(0, letters, 9).astype(np.uint8), p[:60]])[:80] for p in phrases[:20]] + phrases[20:25]
+        sizes = np.array([len(p) for p in phrases])
+        rank, phrase, offset = substrings.equal_prefixes(np.concatenate(phrases), sizes)
+        windows = {}
+        for i, p in enumerate(phrases):
+            for k in range(len(p) - 49):
+                windows.setdefault(p[k : k + 50].tobytes(), []).append((i, k))
+        shared = sorted(w for w, where in windows.items() if len(where) > 1)
+        got = {}
+        for r, i, k in zip(rank.tolist(), phrase.tolist(), offset.tolist()):
+            got.setdefault(r, []).append((i, k))
+        assert [sorted(got[r]) for r in sorted(got)] == [windows[w] for w in shared] and shared
+
+
+@pytest.mark.parametrize("sorted_bytes", [1, 200, 1 << 22])
+def test_triggers_in_parts(spark, monkeypatch, sorted_bytes):
+    monkeypatch.setattr(substrings, "SORTED", sorted_bytes)
+    step = substrings.prefixes(1)
+    rng = np.random.default_rng(5)
+    phrases, triggers = [], []
+    for t in range(6):
+        core = rng.integers(0, 256, 60).astype(np.uint8)
+        for _ in range(5):
+            phrases.append(np.concatenate([core, rng.integers(0, 256, 10).astype(np.uint8)]))
+            triggers.append(t)
+    n = len(phrases)
+    doc = np.arange(n) % 7 + 10
+    rows = substrings.spelled(np.zeros(n, np.int64), np.array(triggers, np.uint32), np.arange(n) * 100, np.array([len(p) for p in phrases]), doc, np.concatenate(phrases))
+    out = [x for b in step([substrings.batch_of(rows)]) for x in zip(b["kind"].to_pylist(), b["blob"].to_pylist())]
+    got = sorted((int(d), int(p)) for _, blob in out for d, p in zip(*substrings.columns([blob])))
+    expected = []
+    for i in range(n):
+        if any(doc[j] < doc[i] for j in range(n) if triggers[j] == triggers[i]):
+            expected += [(int(doc[i]), i * 100 + k) for k in range(11)]
+    assert got == sorted(expected) and {k for k, _ in out} == {substrings.GONE}
