@@ -9,24 +9,30 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from heliograph.llm import decontam, langid, neardup, packing, pii
 from heliograph.llm.common import read
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts and texts without a letter go. Trained as the query of operator 2."""
+    """Documents with a language: null texts and texts without a letter go; a null lang becomes the predicted one.
+
+    Trained as the query of operator 2, so where no row has a lang nothing can be told and nothing stays.
+    Rows are judged one by one, also those with a null or repeated id.
+    """
     found = langid.identify(docs, langid.trained_on(docs))
-    return found.filter(found["lang_pred"] != langid.UNDETERMINED).select(docs.columns)
+    found = found.filter(found["lang_pred"] != langid.UNDETERMINED)
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, 0.8), the one with the smallest doc_id."""
+    """One document of each group of near copies (5-word shingles, 0.8), the one with the smallest doc_id; rows with a null id stay."""
     return neardup.deduplicated(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no 10-word window of the benchmark."""
+    """Documents that hold no 10-word window of the benchmark, whatever their ids."""
     return decontam.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -36,8 +42,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 ids."""
-    return packing.pack(packing.pieces(docs, ranked=True))
+    """Sequences of at most 1024 ids under the limits of operator 8's query; each row gives its pieces, also those with a null id."""
+    return packing.pack(packing.pieces(docs, ranked=True), **packing.LIMITS)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("pack", pack)]
