@@ -140,6 +140,9 @@ class Builder:
     # ---- results -----------------------------------------------------------------------------------------
 
     def df(self) -> DataFrame:
+        """The result; of a cached query, the one that is kept until a write to its tables."""
+        if self.query.cached and self.planner.results is not None:
+            return self.planner.results.get(self.query)
         return self.planner.plan(self.query)
 
     def list(self) -> list[Row]:
@@ -172,8 +175,14 @@ class Builder:
 class Database:
     """Entry point: from_("orders").where(col("o_totalprice").gt(1000)).df()."""
 
-    def __init__(self, catalog, strict: bool = False):
-        self.catalog, self.planner = catalog, Planner(catalog, strict)
+    #: What the guard against too many rows is set to where one is wanted.
+    MAX_CARDINALITY = 1_000_000
+
+    def __init__(self, catalog, strict: bool = False, max_cardinality: int | None = None):
+        from heliograph.results import ResultCache
+
+        self.catalog, self.planner = catalog, Planner(catalog, strict, max_cardinality)
+        self.planner.results = ResultCache(self.planner)
 
     def from_(self, entity: str) -> Builder:
         return Builder(self.planner, Query(entity))
@@ -199,6 +208,33 @@ class Database:
         return row.asDict(recursive=True) if row else None
 
 
+    def related(self, entity: str, identifier: Any, relationship: str) -> DataFrame:
+        """The rows that one row is related to, looked up now: hydration of a relationship that a query left out."""
+        schema = self.catalog.schema(entity)
+        r = schema.relationship(relationship)
+        if r is None:
+            raise KeyError(f"{entity} has no {relationship}")
+        own = self.catalog.table(entity)
+        target = self.catalog.table(r.target)
+        keys = own.filter(own[schema.identifier] == identifier).select(own[r.local].alias("_key"))
+        if r.link:
+            table, mine, other = r.link
+            links = self.catalog.table(table)
+            keys = links.join(keys, links[mine] == keys["_key"], "left_semi").select(links[other].alias("_key"))
+        return target.join(keys, target[r.remote] == keys["_key"], "left_semi")
+
+    def hydrated(self, entity: str, identifier: Any, *relationships: str) -> dict | None:
+        """A row as a map, with the given relationships (all of them if none is given): one map or none of a to-one relationship, a list of a to-many one."""
+        out = self.map_of(entity, identifier)
+        if out is None:
+            return None
+        schema = self.catalog.schema(entity)
+        for key in relationships or [r.name for r in schema.relationships]:
+            rows = [row.asDict(recursive=True) for row in self.related(entity, identifier, key).toLocalIterator()]
+            out[key] = rows if schema.relationship(key).many else rows[0] if rows else None
+        return out
+
+
 class _Selected:
     def __init__(self, database: Database, selections: tuple[str, ...]):
         self.database, self.selections = database, selections

@@ -52,7 +52,7 @@ def scalar(name: str, x: Column, kind: T.DataType, arguments: tuple[str, ...]) -
 
 
 #: Text forms of dates that inputs may have, tried in order (fixed values).
-DATE_FORMS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy")
+DATE_FORMS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "MM/dd/yyyy hh:mm:ss a z", "MM/dd/yyyy hh:mm:ss a", "MM/dd/yyyy HH:mm", "dd MMM yyyy HH:mm", "dd MMM yyyy")
 
 
 def parsed_date(text: Column, forms: tuple[str, ...] = DATE_FORMS) -> Column:

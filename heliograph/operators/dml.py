@@ -13,8 +13,19 @@ from heliograph.schema import EntitySchema
 
 
 def upsert(table: DataFrame, rows: DataFrame, schema: EntitySchema) -> DataFrame:
-    """table with rows inserted, or put in the place of those with the same identifier; of rows that repeat one, one stays."""
-    rows = rows.dropDuplicates([schema.identifier])
+    """table with rows inserted, or put in the place of those with the same identifier; of rows that repeat one, the last one stays."""
+    return replaced(table, last_of(rows.withColumn("_order", F.monotonically_increasing_id()), schema.identifier, "_order"), schema)
+
+
+def last_of(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows that repeat a key the last by order, as an aggregate; the order itself is left out."""
+    rest = [c for c in rows.columns if c not in (key, order)]
+    whole = F.struct(F.lit(1).alias("_"), *[F.col(f"`{c}`") for c in rest])
+    return rows.groupBy(key).agg(F.max_by(whole, order).alias("_r")).select(key, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def replaced(table: DataFrame, rows: DataFrame, schema: EntitySchema) -> DataFrame:
+    """table with rows, each of an identifier of its own, put in or in the place of those with theirs."""
     return table.join(rows.select(schema.identifier), schema.identifier, "left_anti").select(table.columns).unionByName(rows.select(table.columns))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
 TOKEN = r"[\p{L}\p{N}_]+"
+#: The same for lower-cased ASCII texts, several times faster.
+PLAIN_TOKEN = r"[a-z0-9_]+"
 PART = re.compile(r'\s*(?:(?P<phrase>[+-]?"[^"]*")|(?P<open>\()|(?P<close>\))|(?P<word>[^\s()"]+))')
 
 
@@ -43,7 +45,9 @@ class Node:
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    text = F.lower(F.coalesce(text, F.lit("")))
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_, F.regexp_extract_all(text, F.lit(PLAIN_TOKEN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
 
 
 def words_of(text: str) -> tuple[str, ...]:

@@ -10,9 +10,15 @@ LEVELS = {"INT8": 127, "INT4": 7}
 
 def normalised(x: Column) -> Column:
     """x by its length, as array<double>; a vector of length 0 stays as it is."""
-    x = F.transform(x, lambda c: c.cast("double"))
-    length = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, c: a + c * c))
-    return F.when(length > 0, F.transform(x, lambda c: c / length)).otherwise(x)
+
+    def divided(s):  # the length is computed once a vector, not once a component
+        return F.when(s["length"] > 0, F.transform(s["x"], lambda c: c.cast("double") / s["length"])).otherwise(F.transform(s["x"], lambda c: c.cast("double")))
+
+    return F.element_at(F.transform(F.array(F.struct(x.alias("x"), length_of(x).alias("length"))), divided), 1)
+
+
+def length_of(x: Column) -> Column:
+    return F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
 
 
 def quantised(x: Column, kind: str) -> Column:
@@ -22,7 +28,7 @@ def quantised(x: Column, kind: str) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: (p * q).cast("double")), F.lit(0.0), lambda s, c: s + c)
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, c: s + c)
 
 
 def cosine(x: Column, query: list[float], quantization: str = "NONE") -> Column:
@@ -31,7 +37,9 @@ def cosine(x: Column, query: list[float], quantization: str = "NONE") -> Column:
     unit = [float(c) / length if length else float(c) for c in query]
     same = F.size(x) == len(unit)
     if quantization == "NONE":
-        score = dot(normalised(x), F.array(*[F.lit(c) for c in unit]))
+        size = length_of(x)
+        product = dot(x, F.array(*[F.lit(c) for c in unit]))
+        score = F.when(size > 0, product / size).otherwise(product)
     else:
         level = LEVELS[quantization]
         whole = [int(max(-1.0, min(1.0, c)) * level + (0.5 if c >= 0 else -0.5)) for c in unit]

@@ -31,10 +31,12 @@ def name(column: str) -> Column:
 
 
 class Planner:
-    """strict: literals decide the type of a comparison, see predicates.as_literal."""
+    """strict: literals decide the type of a comparison, see predicates.as_literal. max_cardinality: the most rows
+    that a query may match if it says nothing itself; None: any number. results: where cached queries are kept."""
 
-    def __init__(self, catalog: Catalog, strict: bool = False):
+    def __init__(self, catalog: Catalog, strict: bool = False, max_cardinality: int | None = None):
         self.catalog, self.strict, self._fresh = catalog, strict, count()
+        self.max_cardinality, self.results = max_cardinality, None
 
     def fresh(self, kind: str) -> str:
         return f"__{kind}{next(self._fresh)}"
@@ -271,8 +273,9 @@ class Planner:
         df, schema = self.source(query)
         df, rest = self.search_first(df, query, schema)
         df = self.where(df, schema, rest)
-        if query.max_cardinality is not None and len(df.limit(query.max_cardinality + 1).take(query.max_cardinality + 1)) > query.max_cardinality:
-            raise MaxCardinalityExceeded(f"{query.entity}: more than {query.max_cardinality} rows")
+        most = query.max_cardinality if query.max_cardinality is not None else self.max_cardinality
+        if most is not None and df.limit(most + 1).count() > most:  # counted in place, no row comes to the driver
+            raise MaxCardinalityExceeded(f"{query.entity}: more than {most} rows")
         return df, schema
 
     def plan(self, query: Query) -> DataFrame:
@@ -290,9 +293,13 @@ class Planner:
             df, x, _, _ = self.expression(df, schema, o.expression)
             orders.append((x, o.ascending))
         if query.distinct and query.selections:
+            # of rows that are one after the projection, each order takes the value that comes first in it
             keys = [self.fresh("o") for _ in orders]
-            df = df.select(*[x.alias(s) for s, x in columns.items()], *[x.alias(k) for k, (x, _) in zip(keys, orders, strict=True)])
-            df = df.dropDuplicates(list(columns))
+            df = df.select(*[x.alias(s) for s, x in columns.items()], *[F.struct(x.alias("v")).alias(k) for k, (x, _) in zip(keys, orders, strict=True)])
+            if keys:
+                df = df.groupBy(*[name(s) for s in columns]).agg(*[(F.min if up else F.max)(name(k))["v"].alias(k) for k, (_, up) in zip(keys, orders, strict=True)])
+            else:
+                df = df.distinct()
             return self.paged(df, [(name(k), up) for k, (_, up) in zip(keys, orders, strict=True)], list(columns), query)
         if not orders and SCORE in df.columns:
             orders = [(name(SCORE), False), (name(schema.identifier), True)]

@@ -71,8 +71,15 @@ class EntitySchema:
     indexes: tuple[Index, ...] = ()
     computed: dict[str, Callable[[], Column]] = field(default_factory=dict, hash=False)
     searchable: bool = False
+    #: Called with the rows of a change; those before it (but before_remove) give back the rows to go on with.
     before_save: tuple[Callable[[DataFrame], DataFrame], ...] = ()
     after_save: tuple[Callable[[DataFrame], None], ...] = ()
+    before_insert: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+    after_insert: tuple[Callable[[DataFrame], None], ...] = ()
+    before_update: tuple[Callable[[DataFrame], DataFrame], ...] = ()
+    after_update: tuple[Callable[[DataFrame], None], ...] = ()
+    before_remove: tuple[Callable[[DataFrame], None], ...] = ()
+    after_remove: tuple[Callable[[DataFrame], None], ...] = ()
 
     def __post_init__(self):
         names = [a.name for a in self.attributes]

@@ -169,3 +169,66 @@ def test_live_events(spark, tmp_path):
     table = spark.createDataFrame([(9, 80), (1, 20)], "id long, value int")
     both = live.snapshot_and_deltas(table, changes, F.col("value") > 50, "id").collect()
     assert ("snapshot", 9) in [(r.event, r.id) for r in both]
+
+
+def test_last_row_wins_and_callbacks(spark, store):
+    seen = []
+    tell = lambda kind: lambda frame: seen.append((kind, sorted(r.id for r in frame.collect()))) or frame
+    store.declare(BOX.with_(before_insert=(tell("before insert"),), after_insert=(tell("after insert"),), before_update=(tell("before update"),), after_update=(tell("after update"),), before_remove=(tell("before remove"),), after_remove=(tell("after remove"),)))
+    assert store.save("box", [{"id": 1, "label": "a"}, {"id": 1, "label": "b"}, {"id": 2, "label": "c"}, {"id": 1, "label": "d"}]) == 4
+    assert rows(store, "box") == [(1, "d"), (2, "c")]
+    store.save("box", [{"id": 2, "label": "x"}, {"id": 3, "label": "y"}])
+    store.remove("box", [3])
+    assert seen == [
+        ("before insert", [1, 2]), ("before update", []), ("after insert", [1, 2]), ("after update", []),
+        ("before insert", [3]), ("before update", [2]), ("after insert", [3]), ("after update", [2]), ("before remove", [3]), ("after remove", [3]),
+    ]
+
+
+def test_generated_texts_are_the_same_everywhere(spark, tmp_path):
+    note = EntitySchema("note", (Attribute("id", T.StringType()), Attribute("text", T.StringType())), "id", "UUID")
+    store = Warehouse(spark, str(tmp_path / "n"), journal=True)
+    store.declare(note)
+    store.save("note", [{"text": str(i)} for i in range(20)])
+    logged = {r.pk for r in store.journal.read().collect()}
+    assert logged == {r[0] for r in rows(store, "note")} and len(logged) == 20
+
+
+def test_cascades_go_down_and_stop_at_cycles(spark, tmp_path):
+    link = lambda name, target, cascade="ALL": Relationship(name, "ONE_TO_MANY", target, "id", "up", cascade=cascade)
+    columns = (Attribute("id", T.LongType(), False), Attribute("up", T.LongType()))
+    store = Warehouse(spark, str(tmp_path / "c"))
+    for schema in (EntitySchema("a", columns, "id", relationships=(link("bs", "b"),)), EntitySchema("b", columns, "id", relationships=(link("cs", "c"),)), EntitySchema("c", columns, "id", relationships=(link("as", "a"), link("kept", "b", "SAVE")))):
+        store.declare(schema)
+    for name in "abc":
+        store.save(name, [{"id": i, "up": i % 3} for i in range(9)])
+    assert store.remove_with("a", [1]) == {"a": 1, "bs": 3, "bs.cs": 3}
+    assert [r[0] for r in rows(store, "b")] == [0, 2, 3, 5, 6, 8]
+
+
+def test_cached_results_follow_writes(store):
+    store.save("box", [{"id": 1, "label": "a"}])
+    query = store.from_("box").cache()
+    assert query.df() is query.df() and query.count() == 1
+    store.save("box", [{"id": 2, "label": "b"}])
+    assert query.df().count() == 2
+
+
+def test_hydration_and_guard(spark, store):
+    from heliograph.plans.planner import MaxCardinalityExceeded
+
+    store.save("box", [{"id": 1, "label": "a"}, {"id": 2, "label": "b"}])
+    store.save("item", [{"id": i, "name": "n", "box": 1} for i in (5, 6)])
+    assert sorted(r["id"] for r in store.hydrated("box", 1)["items"]) == [5, 6] and store.hydrated("box", 2)["items"] == []
+    assert store.hydrated("item", 5, "parent")["parent"] == {"id": 1, "label": "a"} and store.hydrated("box", 9) is None
+    store.planner.max_cardinality = 1
+    with pytest.raises(MaxCardinalityExceeded):
+        store.from_("box").list()
+    assert len(store.from_("box").max_cardinality(2).list()) == 2
+
+
+def test_distinct_in_order(spark, store):
+    store.save("item", [{"id": i, "name": "xyz"[i % 3], "box": None if i == 4 else 20 - i} for i in range(1, 10)])
+    names = lambda order: [r[0] for r in store.select("name").from_("item").distinct().order_by(order).list()]
+    assert names("box") == ["y", "x", "z"]  # the null at 4 is lowest, then 11 at 9, 12 at 8
+    assert names(desc("box")) == ["y", "z", "x"]
