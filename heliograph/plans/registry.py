@@ -20,6 +20,7 @@ from heliograph.plans.ir import Order, Query
 from heliograph.plans.planner import MaxCardinalityExceeded
 from heliograph.plans.tables import DECLARED, SPARSE, database
 from heliograph.schema import Attribute
+from heliograph.sources.indexes import TextIndex, VectorIndex
 from heliograph.sources.journal import latest
 from heliograph.sources.warehouse import Warehouse
 from heliograph.streaming import live
@@ -345,11 +346,16 @@ add("x09_parse_dates", lambda d: d.select("o_orderkey", "format(o_orderdate, 'MM
 # ---- writes, in a warehouse of its own ---------------------------------------------------------------------
 
 
+def _folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under the one that the session names for shared files."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def _store(d: Database, names: tuple[str, ...], journal: bool = False, **changes: dict) -> Warehouse:
-    """A new warehouse with these tables, under the folder that the session names for shared files."""
+    """A new warehouse with these tables."""
     spark = d.catalog.table(names[0]).sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    store = Warehouse(spark, f"{root.rstrip('/')}/store-{uuid.uuid4().hex}", journal)
+    store = Warehouse(spark, _folder(spark, "store"), journal)
     for name in names:
         schema = d.catalog.schema(name)
         store.declare(schema.with_(computed={}, **changes.get(name, {})))
@@ -467,6 +473,30 @@ def _maintained(d: Database) -> DataFrame:
 add("r09_cache_after_write", _maintained, "SELECT n_regionkey, count(*) AS n FROM nation WHERE n_nationkey >= 10 GROUP BY 1", "n_regionkey", "n")
 
 
+def _indexed(d: Database, query: str) -> DataFrame:
+    table = d.catalog.table("documents")
+    index = TextIndex(table.sparkSession, _folder(table.sparkSession, "postings")).build(table, "doc_id", F.col("text"))
+    return index.search(query).select(F.col("key").alias("doc_id"), F.round("__score__", 6).alias("score"))
+
+
+add("f01_postings", lambda d: _indexed(d, " ".join(WORDS)), f"WITH {bm25_sql(WORDS, 'documents', 'doc_id', 'text')} SELECT k AS doc_id, round(score, 6) AS score FROM s")
+
+
+def _recall(d: Database) -> DataFrame:
+    """Whether the index finds nine of ten of the ten nearest of every 50th vector."""
+    table = d.catalog.table("embeddings")
+    index = VectorIndex(table.sparkSession, _folder(table.sparkSession, "cells")).build(table, "vec_id", "embedding")
+    found = wanted = 0
+    for row in table.filter(F.col("vec_id") % 50 == 0).orderBy("vec_id").limit(8).collect():  # a measure of the index, not a result
+        exact = {r.vec_id for r in vector.nearest(table, "embedding", row.embedding, 10, "vec_id").collect()}
+        found, wanted = found + len(exact & {r.key for r in index.search(row.embedding, 10).collect()}), wanted + len(exact)
+    indexed = table.sparkSession.read.parquet(f"{index.path}/cells").count()
+    return _one(d, reached=found >= 0.9 * wanted, n=indexed)
+
+
+add("v02_vector_index", _recall, "SELECT true AS reached, count(*) AS n FROM embeddings")
+
+
 # ---- ways of consuming --------------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from heliograph.operators import fulltext, vector
@@ -33,3 +34,37 @@ def test_vectors(spark):
     assert [r.id for r in vector.nearest(df, "v", [1.0, 0.0], 5, "id", minimum_score=0.5).collect()] == [1, 3]
     near = vector.nearest(df, "v", [1.0, 0.1], 2, "id", quantization="INT8").collect()
     assert abs(near[0]["__score__"] - top[0]["__score__"]) < 0.02
+
+
+@pytest.mark.parametrize("query", ["the house", "the AND house", "+hous* -the", "house OR NOT light", "nothing_here", "th? light", "-the", ""])
+def test_postings_answer_as_the_texts_do(spark, tmp_path, query):
+    from heliograph.sources.indexes import TextIndex
+
+    words = "the house light houses water Été été a_b 12".split()
+    rows = [(i, " ".join(words[(i * 7 + k * k) % 9] for k in range(i % 11))) for i in range(60)] + [(100, None), (101, ""), (None, "the house"), (102, "the " * 50)]
+    df = spark.createDataFrame(rows, "id long, text string")
+    index = TextIndex(spark, str(tmp_path / "i")).build(df, "id", F.col("text"), 4)
+    expected = {r.id: round(r["__score__"], 9) for r in fulltext.search(df, F.col("text"), query).collect()}
+    assert {r.key: round(r["__score__"], 9) for r in index.search(query).collect()} == expected
+    with pytest.raises(ValueError):
+        index.search('"the house"')
+
+
+def test_vector_cells(spark, tmp_path):
+    import numpy as np
+
+    from heliograph.sources.indexes import VectorIndex
+
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(12, 16))
+    points = [(i, [float(x) for x in middles[i % 12] + rng.normal(0, 0.4, 16)]) for i in range(1200)]
+    df = spark.createDataFrame([*points, (5000, None), (5001, [1.0] * 3), (5002, [0.0] * 16)], "id long, v array<float>")
+    index = VectorIndex(spark, str(tmp_path / "v")).build(df, "id", "v")
+    assert spark.read.parquet(f"{index.path}/cells").count() == 1201
+    found = 0
+    for i in range(0, 200, 20):
+        exact = {r.id for r in vector.nearest(df, "v", points[i][1], 10, "id").collect()}
+        found += len(exact & {r.key for r in index.search(points[i][1], 10).collect()})
+    assert found >= 90
+    whole = index.search(points[3][1], 10, probes=10_000).collect()
+    assert {r.key for r in whole} == {r.id for r in vector.nearest(df, "v", points[3][1], 10, "id").collect()}
