@@ -59,9 +59,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`."""
-    folder, docs = shared_folder(spark), read(spark, sf_dir, "documents")
+    """All stages over `documents`; once a stage is written, what the one before it wrote goes."""
+    folder, docs, before = shared_folder(spark), read(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        path = f"{folder}/{k}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            at = spark._jvm.org.apache.hadoop.fs.Path(before)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        before = path
     return docs
