@@ -256,6 +256,10 @@ st AS (SELECT lang, count(*) AS n, avg(dl) AS mean, count(*) FILTER (WHERE f > 0
 SELECT doc_id, round(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score FROM f JOIN st USING (lang) WHERE f > 0""")
 add("f06_search_all", lambda d: fulltext.search_all({n: (d.catalog.table(n), d.catalog.schema(n).identifier) for n in DECLARED if n != "sparse"}, "nation_7 thing 3").select("entity", "id"), None)
 
+_SEARCHABLE = {"documents": ("doc_id", "concat_ws(' ', doc_id, text, lang, source, n_chars)"), "pages": ("page_id", "concat_ws(' ', page_id, url, html)"), "benchmark": ("item_id", "concat_ws(' ', item_id, text)")}
+_HITS = " UNION ALL ".join(f"SELECT * FROM (WITH {bm25_sql(['house'], n, k, t)} SELECT '{n}' AS entity, CAST(k AS VARCHAR) AS id, score FROM s)" for n, (k, t) in _SEARCHABLE.items())
+add("f06_search_searchable", lambda d: fulltext.search_all({n: (d.catalog.table(n), k) for n, (k, _) in _SEARCHABLE.items()}, "house").select("entity", "id", F.round("score", 6).alias("score")), f"SELECT entity, id, round(score, 6) AS score FROM ({_HITS}) ORDER BY round(score, 9) DESC, entity, id LIMIT 100")
+
 # ---- changes ---------------------------------------------------------------------------------------------
 
 add("d01_update_result", lambda d: dml.updated(d.planner, Query("orders", criteria=col("o_totalprice").gt(450000.0) & col("customer.c_mktsegment").eq("BUILDING"), updates={"o_orderstatus": "X"}))[0].select("o_orderkey", "o_orderstatus"), "SELECT o_orderkey, CASE WHEN o_totalprice > 450000 AND c_mktsegment = 'BUILDING' THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders LEFT JOIN customer ON c_custkey = o_custkey")
@@ -388,6 +392,13 @@ def _cascade_string(d: Database) -> DataFrame:
     return store.read("nation").select("n_nationkey", "n_regionkey")
 
 
+def _cascade_string_delete(d: Database) -> DataFrame:
+    store = _store(d, ("region", "nation"))
+    store.remove_cascading("region", [1, 3], "nations:nation(n_regionkey, r_regionkey)")
+    return store.read("nation").select("n_nationkey").unionByName(store.read("region").select((F.col("r_regionkey") - 100).alias("n_nationkey")))
+
+
+add("d08_cascade_string_delete", _cascade_string_delete, "SELECT n_nationkey FROM nation WHERE n_regionkey NOT IN (1, 3) UNION ALL SELECT r_regionkey - 100 FROM region WHERE r_regionkey NOT IN (1, 3)")
 add("d08_cascade_string", _cascade_string, "SELECT n_nationkey, n_regionkey FROM nation UNION ALL SELECT n_nationkey + 100, n_regionkey + 10 FROM nation")
 
 
@@ -513,6 +524,12 @@ def _mapped(d: Database) -> DataFrame:
     return d.catalog.table("nation").sparkSession.createDataFrame(seen, "n_nationkey long, region string")
 
 
+def _parallel_pages(d: Database) -> DataFrame:
+    found = []
+    results.for_each_page(d.planner, Query("customer", selections=("c_custkey",), page_size=300), lambda rows: found.extend((r.c_custkey,) for r in rows))
+    return d.catalog.table("customer").sparkSession.createDataFrame(found, "c_custkey long")
+
+
 def _in_parallel(d: Database) -> DataFrame:
     total = d.catalog.table("orders").sparkSession.sparkContext.accumulator(0)
     results.for_each_parallel(d.select("o_orderkey").from_("orders").df(), lambda row: total.add(row.o_orderkey))
@@ -528,6 +545,7 @@ add("r01_stream_early_stop", _streamed, "SELECT o_orderkey FROM orders ORDER BY
 add("r02_map_stream", _mapped, "SELECT n_nationkey, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
 add("r03_list_with_limit", lambda d: d.catalog.table("orders").sparkSession.createDataFrame([tuple(r) for r in d.select("o_orderkey").from_("orders").order_by("o_orderkey").limit(33).list()], "o_orderkey long"), "SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 33")
 add("r05_parallel_stream", _in_parallel, "SELECT CAST(sum(o_orderkey) AS BIGINT) AS total FROM orders")
+add("r14_parallel_pages", _parallel_pages, "SELECT c_custkey FROM customer")
 add("r14_all_pages", _all_pages, "SELECT c_custkey, c_acctbal FROM customer")
 
 

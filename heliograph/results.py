@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import base64
 import json
-from collections import OrderedDict
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -58,14 +59,34 @@ def page(planner: Planner, query: Query) -> tuple[list[Row], str | None]:
     return rows[:size], token
 
 
-def pages(planner: Planner, query: Query) -> Iterator[list[Row]]:
-    token = query.next_page
-    while True:
-        rows, token = page(planner, query.with_(next_page=token))
-        if rows:
-            yield rows
-        if token is None:
-            return
+def pages(planner: Planner, query: Query, prefetch: bool = True) -> Iterator[list[Row]]:
+    """All pages in order; prefetch: the next one is worked out while the caller has the last."""
+    with ThreadPoolExecutor(1) as ahead:
+        waiting = ahead.submit(page, planner, query)
+        while waiting is not None:
+            rows, token = waiting.result()
+            following = query.with_(next_page=token)
+            waiting = ahead.submit(page, planner, following) if token is not None and prefetch else None
+            if rows:
+                yield rows
+            if token is not None and not prefetch:
+                waiting = ahead.submit(page, planner, following)
+
+
+def for_each_page(planner: Planner, query: Query, action: Callable[[list[Row]], Any], workers: int = 4) -> int:
+    """Call action with each page, several pages at a time, until one returns False; how many pages were begun."""
+    begun, running = 0, deque()
+    with ThreadPoolExecutor(workers) as pool:
+        for rows in pages(planner, query):
+            running.append(pool.submit(action, rows))
+            begun += 1
+            if len(running) >= workers and running.popleft().result() is False:
+                break
+            if any(r.done() and r.result() is False for r in running):
+                break
+        for r in running:
+            r.result()
+    return begun
 
 
 def for_each(df: DataFrame, action: Callable[[Row], Any]) -> int:

@@ -92,6 +92,11 @@ class Warehouse(Database):
             self._write(schema, self.spark.createDataFrame([], schema.struct()))
         return schema
 
+    def validate(self, schema: EntitySchema) -> dict:
+        """What declaring the schema would change; of a table that is not there, all of it is new. Nothing is written."""
+        revisions = self.history(schema.name)
+        return difference(revisions[-1] if revisions else schema.with_(attributes=(schema.attribute(schema.identifier),), partition=None, relationships=(), indexes=()), schema)
+
     def history(self, name: str) -> list[EntitySchema]:
         return [from_json(r) for r in json.loads(self.files.read(f"{self.root}/{name}/_schema.json") or "[]")]
 
@@ -275,6 +280,19 @@ class Warehouse(Database):
             done[c.attribute] = self.save(c.type, frame)
         return done
 
+    def remove_cascading(self, name: str, identifiers: list, instructions: str) -> dict[str, int]:
+        """Remove rows and, by instructions like `items:Item(order_id, id)`, the rows of that type whose target field holds the source field of one of them."""
+        schema = self.catalog.schema(name)
+        rows = self.read(name).filter(F.col(schema.identifier).isin(*identifiers))
+        done: dict[str, int] = {}
+        for c in cascades(instructions):
+            below = self.catalog.schema(c.type)
+            sources = rows.select(F.col(c.source).alias("_source")).distinct()
+            ids = self.read(c.type).join(sources, F.col(c.target) == F.col("_source"), "left_semi").select(below.identifier)
+            done[c.attribute] = self.remove(c.type, ids)
+        done[name] = self.remove(name, identifiers)
+        return done
+
     def remove_with(self, name: str, identifiers: list) -> dict[str, int]:
         """Remove rows, rows they are related to where the relationship cascades deletes, rows those are related to, and so on.
 

@@ -232,3 +232,23 @@ def test_distinct_in_order(spark, store):
     names = lambda order: [r[0] for r in store.select("name").from_("item").distinct().order_by(order).list()]
     assert names("box") == ["y", "x", "z"]  # the null at 4 is lowest, then 11 at 9, 12 at 8
     assert names(desc("box")) == ["y", "z", "x"]
+
+
+def test_pages_side_by_side(store):
+    store.save("item", [{"id": i, "name": "n"} for i in range(1, 24)])
+    query = Query("item", selections=("id",), page_size=4)
+    assert [[r.id for r in p] for p in results.pages(store.planner, query)] == [[r.id for r in p] for p in results.pages(store.planner, query, prefetch=False)]
+    seen = []
+    assert results.for_each_page(store.planner, query, lambda rows: seen.extend(r.id for r in rows)) == 6
+    assert sorted(seen) == list(range(1, 24))
+    assert results.for_each_page(store.planner, query, lambda rows: False, workers=1) < 6
+
+
+def test_validation_and_cascade_string_deletes(spark, store):
+    assert not any(store.validate(BOX).values())
+    assert any(store.validate(BOX.with_(attributes=(*BOX.attributes, Attribute("more", T.LongType())))).values()) and len(store.history("box")) == 1
+    assert any(store.validate(BOX.with_(name="other")).values())
+    store.save("box", [{"id": 1}, {"id": 2}])
+    store.save("item", [{"id": i, "name": "n", "box": 1 + i % 2} for i in range(5, 10)])
+    assert store.remove_cascading("box", [2], "items:item(box, id)") == {"items": 3, "box": 1}
+    assert [r[0] for r in rows(store)] == [6, 8]
