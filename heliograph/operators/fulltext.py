@@ -18,9 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-TOKEN = r"[\p{L}\p{N}_]+"
-#: The same for lower-cased ASCII texts, several times faster.
-PLAIN_TOKEN = r"[a-z0-9_]+"
+#: Letters, digits and underscores of lower-cased texts, the common ones first, which nearly halves the time; of ASCII texts.
+TOKEN, PLAIN_TOKEN = r"[a-z0-9_\p{L}\p{N}]+", r"[a-z0-9_]+"
 PART = re.compile(r'\s*(?:(?P<phrase>[+-]?"[^"]*")|(?P<open>\()|(?P<close>\))|(?P<word>[^\s()"]+))')
 
 
@@ -171,18 +170,26 @@ def search(df: DataFrame, text: Column, query: str, minimum_score: float | None
     """
     node = parsed(query)
     scoring, every = terms(node), all_terms(node)
-    # the first step computes token arrays; each later one refers to its columns more than once or through
-    # an aggregate, so that the arrays are computed once a row
-    counted = df.withColumn("_tokens", tokens(text))
-    counted = counted.withColumns({f"_tf{i}": frequency(F.col("_tokens"), t) for i, t in enumerate(every)} | {"_n": F.size("_tokens")}).drop("_tokens")
+
+    def frequencies(rows: DataFrame) -> DataFrame:
+        # the first step computes token arrays; each later one refers to its columns more than once or through
+        # an aggregate, so that the arrays are computed once a row
+        rows = rows.withColumn("_tokens", tokens(text))
+        return rows.withColumns({f"_tf{i}": frequency(F.col("_tokens"), t) for i, t in enumerate(every)} | {"_n": F.size("_tokens")}).drop("_tokens")
+
+    counted, hopeful = frequencies(df), df
+    if scoring and not any(t.pattern for t in scoring):
+        # whatever matches holds a scoring term, so only texts with such a string are cut into tokens again
+        plain_text = F.lower(F.coalesce(text, F.lit("")))
+        hopeful = df.filter(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [plain_text.contains(w) for w in t.words]) for t in scoring]))
     measures = [F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean")] + [F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(every))]
     if partition:
         stats = counted.groupBy(F.col(partition).alias("_p")).agg(*measures)
-        joined = counted.join(stats, F.col(partition).eqNullSafe(F.col("_p"))).drop("_p")
+        joined = frequencies(hopeful).join(stats, F.col(partition).eqNullSafe(F.col("_p"))).drop("_p")
         figure = F.col
     else:
         row = counted.agg(*measures).first().asDict()
-        joined = counted
+        joined = frequencies(hopeful)
         figure = lambda name: F.lit(float(row[name] or 0))
     score = F.lit(0.0)
     for i, t in enumerate(every):

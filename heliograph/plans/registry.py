@@ -257,8 +257,8 @@ SELECT doc_id, round(ln(1 + (n - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0
 add("f06_search_all", lambda d: fulltext.search_all({n: (d.catalog.table(n), d.catalog.schema(n).identifier) for n in DECLARED if n != "sparse"}, "nation_7 thing 3").select("entity", "id"), None)
 
 _SEARCHABLE = {"documents": ("doc_id", "concat_ws(' ', doc_id, text, lang, source, n_chars)"), "pages": ("page_id", "concat_ws(' ', page_id, url, html)"), "benchmark": ("item_id", "concat_ws(' ', item_id, text)")}
-_HITS = " UNION ALL ".join(f"SELECT * FROM (WITH {bm25_sql(['house'], n, k, t)} SELECT '{n}' AS entity, CAST(k AS VARCHAR) AS id, score FROM s)" for n, (k, t) in _SEARCHABLE.items())
-add("f06_search_searchable", lambda d: fulltext.search_all({n: (d.catalog.table(n), k) for n, (k, _) in _SEARCHABLE.items()}, "house").select("entity", "id", F.round("score", 6).alias("score")), f"SELECT entity, id, round(score, 6) AS score FROM ({_HITS}) ORDER BY round(score, 9) DESC, entity, id LIMIT 100")
+_HITS = " UNION ALL ".join(f"SELECT * FROM (WITH {bm25_sql(['thing'], n, k, t)} SELECT '{n}' AS entity, CAST(k AS VARCHAR) AS id, score FROM s)" for n, (k, t) in _SEARCHABLE.items())
+add("f06_search_searchable", lambda d: fulltext.search_all({n: (d.catalog.table(n), k) for n, (k, _) in _SEARCHABLE.items()}, "thing").select("entity", "id", F.round("score", 6).alias("score")), f"SELECT entity, id, round(score, 6) AS score FROM ({_HITS}) ORDER BY round(score, 9) DESC, entity, id LIMIT 100")
 
 # ---- changes ---------------------------------------------------------------------------------------------
 
