@@ -1,4 +1,9 @@
-"""A warehouse of Parquet tables. Each write makes a new version and then moves the table's pointer to it."""
+"""A warehouse of Parquet tables. Each write makes files beside the old ones and then a commit that names what counts.
+
+A commit lists the folder of each partition value (of a table without partitions, its one folder), so a change
+rewrites the partitions that it touches and takes the others over. Commits are numbered; of two writers that
+begin with the same one, the first to finish wins and the other is told so.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +13,10 @@ from collections.abc import Iterable
 from functools import reduce
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heliograph.builder import Database
 from heliograph.operators import dml
@@ -51,6 +57,24 @@ class Files:
             fs.delete(p, False)
             fs.rename(aside, p)
 
+    def create(self, path: str, text: str) -> bool:
+        """Written aside, then renamed; False if the file is there already. As atomic as the store's own rename."""
+        aside, fs = self._at(f"{path}.{uuid.uuid4().hex}")
+        out = fs.create(aside, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration())
+        how = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        how[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.NONE
+        try:
+            context.rename(aside, self._at(path)[0], how)
+        except Py4JJavaError as error:
+            fs.delete(aside, False)
+            if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+                return False
+            raise
+        return True
+
     def names(self, path: str) -> list[str]:
         p, fs = self._at(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
@@ -60,6 +84,10 @@ class Files:
         fs.delete(p, True)
 
 
+class Conflict(RuntimeError):
+    """Another writer changed the table first; what this one wrote is gone."""
+
+
 class Warehouse(Database):
     """Tables under a folder: saved, changed, deleted, journaled, cloned. Never the only reader's job to lock: a
     reader keeps the version it began with."""
@@ -103,36 +131,77 @@ class Warehouse(Database):
     # ---- tables ------------------------------------------------------------------------------------------
 
     def _version(self, name: str) -> int:
-        return int(self.files.read(f"{self.root}/{name}/_current") or 0)
+        """The number of the table's last commit; 0 before the first."""
+        return max((int(n[:-5]) for n in self.files.names(f"{self.root}/{name}/_commits") if n.endswith(".json") and n[:-5].isdigit()), default=0)
+
+    def _commit(self, name: str, version: int) -> dict:
+        """What a commit holds: the revision it was written under, and the folder of each partition value."""
+        text = self.files.read(f"{self.root}/{name}/_commits/{version}.json") if version else None
+        return json.loads(text) if text else {"revision": 0, "folders": {}}
 
-    def read(self, name: str) -> DataFrame:
-        """The current version in the current declaration: columns it lacks are null, surplus ones are left out."""
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        """The current version, or an earlier one, in the current declaration: columns it lacks are null, surplus ones are left out."""
         schema = self.catalog.schema(name)
-        try:
-            df = self.spark.read.parquet(f"{self.root}/{name}/v{self._version(name)}")
-        except AnalysisException as error:
-            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
-                raise
-            df = self.spark.createDataFrame([], schema.struct())  # a partitioned table without a row has no file
-        return evolved(df, schema)
-
-    def _write(self, schema: EntitySchema, df: DataFrame) -> None:
-        version = self._version(schema.name) + 1
+        folders = self._commit(name, self._version(name) if version is None else version)["folders"]
+        if not folders:
+            return self.spark.createDataFrame([], schema.struct())
+        paths = [f"{self.root}/{name}/{folder}/{part}".rstrip("/") for part, folder in folders.items()]
+        reader = self.spark.read.option("basePath", f"{self.root}/{name}")
+        if schema.partition:  # its values are names of folders: 007 is to stay a text where it is declared as one
+            stored, kind = reader.parquet(paths[0]).schema, schema.attribute(schema.partition).type
+            reader = reader.schema(T.StructType([T.StructField(f.name, kind) if f.name == schema.partition else f for f in stored if f.name != "v" or schema.attribute("v")]))
+        return evolved(reader.parquet(*paths), schema)
+
+    def _write(self, schema: EntitySchema, df: DataFrame, since: int | None = None, touched: DataFrame | None = None) -> None:
+        """Make df the table's content. since: the version it was made from, which must still be the last one.
+
+        touched: the values of the partition in which df differs from that version (one column, as often as
+        may be); only these are written. They are as many as the table has partitions at most. A table
+        without a partition, or of an earlier revision, is written whole.
+        """
+        name, part = schema.name, schema.partition
+        since = self._version(name) if since is None else since
+        before, revision = self._commit(name, since), len(self.history(name))
+        kept: dict[str, str] = {}
+        if part and touched is not None and before["revision"] == revision:
+            values = [r[0] for r in touched.select(F.col(touched.columns[0]).alias("v")).distinct().collect()]
+            within = F.col(part).isin(*[v for v in values if v is not None])
+            if None in values or "" in values:  # these share a folder
+                within = F.coalesce(within, F.lit(False)) | F.col(part).isNull() | (F.col(part).cast("string") == "")
+            df = df.filter(within)
+            texts = [r[0] for r in self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", schema.attribute(part).type)])).select(F.col("v").cast("string")).collect()]
+            path_of = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+            gone = {path_of(part, text) for text in texts}
+            kept = {k: v for k, v in before["folders"].items() if k not in gone}
         layout = [i.attribute for i in schema.indexes if i.kind == "ORDERED"] or [schema.identifier]
-        if schema.partition:
-            df = df.repartition(schema.partition, F.pmod(F.xxhash64(schema.identifier), F.lit(16)))
+        if part:
+            df = df.hint("rebalance", part)  # files of even size, however large a value's share is
         writer = df.sortWithinPartitions(*layout).write  # min and max of the files' parts then tell ranges apart
-        if schema.partition:
-            writer = writer.partitionBy(schema.partition)
-        writer.parquet(f"{self.root}/{schema.name}/v{version}")
-        self.files.write(f"{self.root}/{schema.name}/_current", str(version))
-        self.planner.results.written(schema.name)
+        if part:
+            writer = writer.partitionBy(part)
+        folder = f"v={since + 1}-{uuid.uuid4().hex}"
+        writer.parquet(f"{self.root}/{name}/{folder}")
+        made = [n for n in self.files.names(f"{self.root}/{name}/{folder}") if n.startswith(f"{part}=")] if part else [""]
+        commit = {"revision": revision, "folders": kept | dict.fromkeys(made, folder)}
+        if not self.files.create(f"{self.root}/{name}/_commits/{since + 1}.json", json.dumps(commit)):
+            self.files.delete(f"{self.root}/{name}/{folder}")
+            raise Conflict(f"{name} has changed since version {since}")
+        self.planner.results.written(name)
 
     def vacuum(self, name: str) -> None:
-        """Drop all versions but the current one."""
-        for folder in self.files.names(f"{self.root}/{name}"):
-            if folder.startswith("v") and folder != f"v{self._version(name)}":
-                self.files.delete(f"{self.root}/{name}/{folder}")
+        """Drop all versions but the current one, and what unfinished writes left; no write may be under way."""
+        at, version = f"{self.root}/{name}", self._version(name)
+        folders = self._commit(name, version)["folders"]
+        for folder in self.files.names(at):
+            if folder.startswith("v=") and folder not in folders.values():
+                self.files.delete(f"{at}/{folder}")
+            elif folder.startswith("v=") and self.catalog.schema(name).partition:
+                for part in self.files.names(f"{at}/{folder}"):
+                    if "=" in part and folders.get(part) != folder:
+                        self.files.delete(f"{at}/{folder}/{part}")
+        for commit in self.files.names(f"{at}/_commits"):
+            if commit != f"{version}.json":
+                self.files.delete(f"{at}/_commits/{commit}")
 
     # ---- rows --------------------------------------------------------------------------------------------
 
@@ -144,7 +213,8 @@ class Warehouse(Database):
         rows = evolved(rows, schema)
         for hook in schema.before_save:
             rows = hook(rows)
-        table = self.read(name)
+        since = self._version(name)
+        table = self.read(name, since)
         rows = dml.with_identifiers(table, rows, schema)
         # written aside: what a hook, a generator of identifiers or a source gives is computed once, whatever is lost later
         aside = f"{self.root}/_aside/{uuid.uuid4().hex}"
@@ -165,7 +235,11 @@ class Warehouse(Database):
                 raise ValueError(f"{name}: " + "; ".join(f"{p['problem']} in {p['rows']} rows" for p in problems))
             if self.journal:
                 self.journal.append(schema, "SAVE", rows)
-            self._write(schema, dml.replaced(table, rows, schema))
+            touched = None
+            if schema.partition:
+                old = table.join(rows.select(schema.identifier), schema.identifier, "left_semi")
+                touched = rows.select(schema.partition).unionByName(old.select(schema.partition))
+            self._write(schema, dml.replaced(table, rows, schema), since, touched)
             for hook in schema.after_insert:
                 hook(fresh)
             for hook in schema.after_update:
@@ -185,41 +259,45 @@ class Warehouse(Database):
         schema = self.catalog.schema(name)
         kind = schema.attribute(schema.identifier).type.simpleString()
         keys = identifiers if isinstance(identifiers, DataFrame) else self.spark.createDataFrame([(i,) for i in identifiers], f"{schema.identifier} {kind}")
-        table = self.read(name)
+        since = self._version(name)
+        table = self.read(name, since)
         gone = table.join(keys.select(schema.identifier), schema.identifier, "left_semi")
         number = gone.count()
         for hook in schema.before_remove:
             hook(gone)
         if self.journal:
             self.journal.append(schema, "DELETE", gone)
-        self._write(schema, dml.without(table, keys, schema.identifier))
+        self._write(schema, dml.without(table, keys, schema.identifier), since, gone.select(schema.partition) if schema.partition else None)
         for hook in schema.after_remove:
             hook(gone)
         return number
 
     def update(self, query: Query) -> int:
         """Set the query's literals in the rows it matches; how many."""
-        schema = self.catalog.schema(query.entity)
+        schema, since = self.catalog.schema(query.entity), self._version(query.entity)
         df, number = dml.updated(self.planner, query)
         changed = number.first()["n"]
         if changed:
+            table, hit = dml.targets(self.planner, query)
+            hits = table.filter(hit)
+            rows = hits.select(*[F.lit(query.updates[c]).cast(t).alias(c) if c in query.updates else F.col(c) for c, t in ((a.name, a.type) for a in schema.attributes)])
             if self.journal:
-                table, hit = dml.targets(self.planner, query)
-                rows = table.filter(hit).select(*[F.lit(query.updates[c]).cast(t).alias(c) if c in query.updates else F.col(c) for c, t in ((a.name, a.type) for a in schema.attributes)])
                 self.journal.append(schema, "SAVE", rows)
-            self._write(schema, df)
+            touched = hits.select(schema.partition).unionByName(rows.select(schema.partition)) if schema.partition else None
+            self._write(schema, df, since, touched)
         return changed
 
     def delete(self, query: Query) -> int:
         """Remove the rows that the query matches; how many. Without a condition, the table is truncated."""
-        schema = self.catalog.schema(query.entity)
+        schema, since = self.catalog.schema(query.entity), self._version(query.entity)
         df, number = dml.deleted(self.planner, query)
         gone = number.first()["n"]
         if gone:
+            table, hit = dml.targets(self.planner, query)
+            hits = table.filter(hit)
             if self.journal:
-                table, hit = dml.targets(self.planner, query)
-                self.journal.append(schema, "DELETE", table.filter(hit))
-            self._write(schema, df)
+                self.journal.append(schema, "DELETE", hits)
+            self._write(schema, df, since, hits.select(schema.partition) if schema.partition else None)
         return gone
 
     def truncate(self, name: str, partition: Any = None) -> int:
@@ -352,8 +430,6 @@ class Warehouse(Database):
 
 def _loose(schema: EntitySchema):
     """The schema's columns, all of which may be null until the rules are checked."""
-    from pyspark.sql import types as T
-
     return T.StructType([T.StructField(a.name, a.type, True) for a in schema.attributes])
 
 

@@ -8,7 +8,7 @@ from heliograph.plans.ir import Order, Query
 from heliograph.plans.parse import call, cascades, query_of
 from heliograph.schema import Attribute, EntitySchema, Index, Relationship, difference
 from heliograph.sources.journal import Journal
-from heliograph.sources.warehouse import Warehouse
+from heliograph.sources.warehouse import Conflict, Warehouse
 from heliograph.streaming import live
 
 ITEM = EntitySchema("item", (Attribute("id", T.LongType()), Attribute("name", T.StringType(), size=5), Attribute("kind", T.StringType(), values=("a", "b")), Attribute("box", T.LongType())), "id", "SEQUENCE", indexes=(Index("name"),), relationships=(Relationship("parent", "MANY_TO_ONE", "box", "box", "id", cascade="SAVE"),))
@@ -252,3 +252,50 @@ def test_validation_and_cascade_string_deletes(spark, store):
     store.save("item", [{"id": i, "name": "n", "box": 1 + i % 2} for i in range(5, 10)])
     assert store.remove_cascading("box", [2], "items:item(box, id)") == {"items": 3, "box": 1}
     assert [r[0] for r in rows(store)] == [6, 8]
+
+
+PARTED = EntitySchema("parted", (Attribute("id", T.LongType()), Attribute("area", T.StringType()), Attribute("n", T.LongType())), "id", partition="area")
+
+
+def test_a_change_rewrites_the_partitions_it_touches(spark, tmp_path):
+    store = Warehouse(spark, str(tmp_path / "w"))
+    store.declare(PARTED)
+    assert rows(store, "parted") == []
+    store.save("parted", [{"id": i, "area": ("007", "b/=c", None)[i % 3], "n": i} for i in range(9)])
+
+    def folders():
+        return store._commit("parted", store._version("parted"))["folders"]
+
+    first = folders()
+    assert len(first) == 3 and set(store.read("parted").select("area").distinct().toPandas()["area"].map(str)) == {"007", "b/=c", "None"}
+    store.save("parted", [{"id": 0, "area": "new", "n": 100}])  # leaves 007 for a partition of its own
+    second = folders()
+    assert [k for k in first if second.get(k) != first[k]] == ["area=007"] and len(second) == 4
+    assert store.read("parted").count() == 9
+    assert store.update(Query("parted", criteria=col("id").eq(4), updates={"n": -4})) == 1
+    assert store.update(Query("parted", criteria=col("id").eq(5), updates={"area": "007"})) == 1
+    assert store.delete(Query("parted", criteria=col("id").eq(8))) == 1
+    store.save("parted", [{"id": 20, "area": "", "n": 20}])
+    store.remove("parted", [0])
+    third = folders()
+    assert "area=new" not in third
+    want = [(1, "b/=c", 1), (2, None, 2), (3, "007", 3), (4, "b/=c", -4), (5, "007", 5), (6, "007", 6), (7, "b/=c", 7), (20, None, 20)]
+    assert rows(store, "parted") == want
+    store.vacuum("parted")
+    assert rows(store, "parted") == want and rows(Warehouse(spark, store.root), "parted") == want
+    store.declare(PARTED.with_(attributes=(*PARTED.attributes, Attribute("more", T.StringType()))))
+    store.save("parted", [{"id": 3, "area": "007", "n": 3, "more": "x"}])  # a new revision writes all of it
+    assert len(set(folders().values())) == 1
+    assert [r[0] for r in rows(store, "parted") if r[3]] == [3] and len(rows(store, "parted")) == 8
+    assert store.truncate("parted") == 8 and rows(store, "parted") == []
+
+
+def test_of_two_writers_the_first_wins(store):
+    store.save("item", [{"id": 1, "name": "x"}])
+    since, mine = store._version("item"), store.read("item")
+    store.save("item", [{"id": 2, "name": "y"}])
+    with pytest.raises(Conflict):
+        store._write(ITEM, mine, since)
+    assert [r[0] for r in rows(store)] == [1, 2]
+    store.vacuum("item")
+    assert len(store.files.names(f"{store.root}/item")) == 3  # the schema, the commits, one folder of rows
