@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heliograph.llm import chat, decontam, langid, lm, neardup, packing, pii, secrets, substrings, topk
+from heliograph.llm import bases, chat, decontam, langid, lm, neardup, packing, pii, secrets, substrings, topk
 
 
 def queries() -> dict:
@@ -17,7 +17,7 @@ def queries() -> dict:
         "op8_packing": packing.op8_packing,
         "op9_lm_scores": lm.op9_lm_scores,
         "op10_pii": pii.op10_pii,
-    }
+    } | bases.queries()
 
 
 def oracle_sql() -> dict:
@@ -27,4 +27,4 @@ def oracle_sql() -> dict:
         "op5_near_duplicates": neardup.OP5_SQL,
         "op6_repeats": substrings.OP6_SQL,
         "op7_decontaminate": decontam.OP7_SQL,
-    }
+    } | bases.oracle_sql()
