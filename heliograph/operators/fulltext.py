@@ -43,8 +43,12 @@ class Node:
     must_not: tuple = ()
 
 
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 def tokens(text: Column) -> Column:
-    text = F.lower(F.coalesce(text, F.lit("")))
+    """Tokens of a lower-cased text."""
     ascii_ = F.octet_length(text) == F.char_length(text)
     return F.when(ascii_, F.regexp_extract_all(text, F.lit(PLAIN_TOKEN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
 
@@ -120,12 +124,22 @@ def wildcard(word: str) -> str:
     return "^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in word) + "$"
 
 
-def frequency(words: Column, term: Term) -> Column:
-    """How often the term stands in the token array."""
+def holds(text: Column, term: Term) -> Column:
+    """Whether the lower-cased text has each of the term's words as a string, as every text with the term has."""
+    return reduce(lambda a, b: a & b, [text.contains(w) for w in term.words])
+
+
+def frequency(text: Column, words: Column, term: Term) -> Column:
+    """How often the term stands in the token array of the lower-cased text; only texts that can have it are gone through."""
+    return counted(words, term) if term.pattern else F.when(holds(text, term), counted(words, term)).otherwise(F.lit(0))
+
+
+def counted(words: Column, term: Term) -> Column:
     if len(term.words) == 1:
         w = term.words[0]
-        test = (lambda t: t.rlike(wildcard(w))) if term.pattern else (lambda t: t == w)
-        return F.size(F.filter(words, test))
+        if term.pattern:
+            return F.size(F.filter(words, lambda t: t.rlike(wildcard(w))))
+        return F.size(words) - F.size(F.array_remove(words, w))  # compiled, unlike a lambda
     # the lambdas name nothing but their own arguments, so the tokens are never computed once an element
     def equal(w: str) -> Column:
         return F.transform(words, lambda t: t == w)
@@ -172,23 +186,22 @@ def search(df: DataFrame, text: Column, query: str, minimum_score: float | None
     scoring, every = terms(node), all_terms(node)
 
     def frequencies(rows: DataFrame) -> DataFrame:
-        # the first step computes token arrays; each later one refers to its columns more than once or through
-        # an aggregate, so that the arrays are computed once a row
-        rows = rows.withColumn("_tokens", tokens(text))
-        return rows.withColumns({f"_tf{i}": frequency(F.col("_tokens"), t) for i, t in enumerate(every)} | {"_n": F.size("_tokens")}).drop("_tokens")
+        # as output of a generator the frequencies can't be substituted into a filter further down, so tokens are cut once a row
+        rows = rows.withColumn("__text", lowered(text)).withColumn("__tokens", tokens(F.col("__text")))
+        figures = [frequency(F.col("__text"), F.col("__tokens"), t).alias(f"_tf{i}") for i, t in enumerate(every)]
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(F.struct(*figures, F.size("__tokens").alias("_n")))))
 
-    counted, hopeful = frequencies(df), df
+    whole, hopeful = frequencies(df), df
     if scoring and not any(t.pattern for t in scoring):
         # whatever matches holds a scoring term, so only texts with such a string are cut into tokens again
-        plain_text = F.lower(F.coalesce(text, F.lit("")))
-        hopeful = df.filter(reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [plain_text.contains(w) for w in t.words]) for t in scoring]))
+        hopeful = df.filter(reduce(lambda a, b: a | b, [holds(lowered(text), t) for t in scoring]))
     measures = [F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean")] + [F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(every))]
     if partition:
-        stats = counted.groupBy(F.col(partition).alias("_p")).agg(*measures)
+        stats = whole.groupBy(F.col(partition).alias("_p")).agg(*measures)
         joined = frequencies(hopeful).join(stats, F.col(partition).eqNullSafe(F.col("_p"))).drop("_p")
         figure = F.col
     else:
-        row = counted.agg(*measures).first().asDict()
+        row = whole.agg(*measures).first().asDict()
         joined = frequencies(hopeful)
         figure = lambda name: F.lit(float(row[name] or 0))
     score = F.lit(0.0)

@@ -24,7 +24,7 @@ class TextIndex:
 
     def build(self, df: DataFrame, key: str, text, buckets: int = 64) -> TextIndex:
         """Index every row of df. A null text has no terms, but counts as a row, as in a search without an index."""
-        rows = df.select(F.col(key).alias("key"), fulltext.tokens(text).alias("_tokens"))
+        rows = df.select(F.col(key).alias("key"), fulltext.tokens(fulltext.lowered(text)).alias("_tokens"))
         terms = rows.select("key", F.size("_tokens").alias("n"), F.explode("_tokens").alias("term"))
         postings = terms.groupBy("term", "key").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("n").alias("n"))
         postings = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
