@@ -80,6 +80,8 @@ class EntitySchema:
     after_update: tuple[Callable[[DataFrame], None], ...] = ()
     before_remove: tuple[Callable[[DataFrame], None], ...] = ()
     after_remove: tuple[Callable[[DataFrame], None], ...] = ()
+    #: Of a table without a partition: into how many files' folders its identifiers are dealt, so that a change rewrites only some.
+    buckets: int = 1
 
     def __post_init__(self):
         names = [a.name for a in self.attributes]
@@ -89,6 +91,8 @@ class EntitySchema:
             raise ValueError(f"{self.name}: the identifier {self.identifier} is no attribute")
         if self.partition and self.partition not in names:
             raise ValueError(f"{self.name}: the partition {self.partition} is no attribute")
+        if self.buckets < 1 or self.buckets > 1 and self.partition:
+            raise ValueError(f"{self.name}: buckets are one or more, of a table without a partition")
         if self.generator not in GENERATORS:
             raise ValueError(f"{self.name}: unknown generator {self.generator}")
         kind = self.attribute(self.identifier).type
@@ -196,7 +200,7 @@ def difference(old: EntitySchema, new: EntitySchema) -> dict[str, list[str]]:
 def to_json(schema: EntitySchema) -> dict:
     """A plain description that can be kept as a revision; computed members and hooks are code and stay out."""
     return {
-        "name": schema.name, "identifier": schema.identifier, "generator": schema.generator, "partition": schema.partition, "searchable": schema.searchable,
+        "name": schema.name, "identifier": schema.identifier, "generator": schema.generator, "partition": schema.partition, "buckets": schema.buckets, "searchable": schema.searchable,
         "attributes": [{"name": a.name, "type": a.type.simpleString(), "nullable": a.nullable, "size": a.size, "values": list(a.values) if a.values else None} for a in schema.attributes],
         "relationships": [{**r.__dict__, "link": list(r.link) if r.link else None} for r in schema.relationships],
         "indexes": [dict(i.__dict__) for i in schema.indexes],
@@ -206,7 +210,7 @@ def to_json(schema: EntitySchema) -> dict:
 def from_json(data: dict) -> EntitySchema:
     attributes = tuple(Attribute(a["name"], T._parse_datatype_string(a["type"]), a["nullable"], a["size"], tuple(a["values"]) if a["values"] else None) for a in data["attributes"])
     relationships = tuple(Relationship(**{**r, "link": tuple(r["link"]) if r["link"] else None}) for r in data["relationships"])
-    return EntitySchema(data["name"], attributes, data["identifier"], data["generator"], data["partition"], relationships, tuple(Index(**i) for i in data["indexes"]), searchable=data["searchable"])
+    return EntitySchema(data["name"], attributes, data["identifier"], data["generator"], data["partition"], relationships, tuple(Index(**i) for i in data["indexes"]), searchable=data["searchable"], buckets=data.get("buckets", 1))
 
 
 def evolved(df: DataFrame, schema: EntitySchema) -> DataFrame:

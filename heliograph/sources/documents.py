@@ -18,6 +18,7 @@ DOCUMENT = EntitySchema(
     (Attribute("documentId", T.StringType(), False), Attribute("path", T.StringType()), Attribute("created", T.TimestampType()), Attribute("updated", T.TimestampType()), Attribute("mimeType", T.StringType()), Attribute("content", T.BinaryType())),
     "documentId",
     "UUID",
+    buckets=64,  # a document saved or deleted rewrites one of them
 )
 
 

@@ -1,7 +1,7 @@
 """A warehouse of Parquet tables. Each write makes files beside the old ones and then a commit that names what counts.
 
-A commit lists the folder of each partition value (of a table without partitions, its one folder), so a change
-rewrites the partitions that it touches and takes the others over. Commits are numbered; of two writers that
+A commit lists the folder of each partition value or bucket of identifiers (of a table without either, its one
+folder), so a change rewrites the parts that it touches and takes the others over. Commits are numbered; of two writers that
 begin with the same one, the first to finish wins and the other is told so.
 """
 
@@ -14,7 +14,7 @@ from functools import reduce
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,8 +110,8 @@ class Warehouse(Database):
         path = f"{self.root}/{schema.name}/_schema.json"
         revisions = json.loads(self.files.read(path) or "[]")
         if revisions:
-            change = difference(from_json(revisions[-1]), schema)
-            if not any(change.values()):
+            last = from_json(revisions[-1])
+            if not any(difference(last, schema).values()) and (last.partition, last.buckets) == (schema.partition, schema.buckets):
                 self._bind(schema)
                 return schema
         self.files.write(path, json.dumps([*revisions, to_json(schema)]))
@@ -139,10 +139,14 @@ class Warehouse(Database):
         text = self.files.read(f"{self.root}/{name}/_commits/{version}.json") if version else None
         return json.loads(text) if text else {"revision": 0, "folders": {}}
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
-        """The current version, or an earlier one, in the current declaration: columns it lacks are null, surplus ones are left out."""
+    def read(self, name: str, version: int | None = None, only: set[str] | None = None) -> DataFrame:
+        """The current version, or an earlier one, in the current declaration: columns it lacks are null, surplus ones are left out.
+
+        only: the parts to read, by their names in the commit.
+        """
         schema = self.catalog.schema(name)
         folders = self._commit(name, self._version(name) if version is None else version)["folders"]
+        folders = {part: folder for part, folder in folders.items() if only is None or part in only}
         if not folders:
             return self.spark.createDataFrame([], schema.struct())
         paths = [f"{self.root}/{name}/{folder}/{part}".rstrip("/") for part, folder in folders.items()]
@@ -152,27 +156,46 @@ class Warehouse(Database):
             reader = reader.schema(T.StructType([T.StructField(f.name, kind) if f.name == schema.partition else f for f in stored if f.name != "v" or schema.attribute("v")]))
         return evolved(reader.parquet(*paths), schema)
 
-    def _write(self, schema: EntitySchema, df: DataFrame, since: int | None = None, touched: DataFrame | None = None) -> None:
+    def _part(self, schema: EntitySchema) -> tuple[str | None, Column | None]:
+        """What a table is divided by: its partition, else buckets of its identifiers, else nothing."""
+        if schema.partition:
+            return schema.partition, F.col(schema.partition)
+        if schema.buckets > 1:
+            return "_bucket", F.pmod(F.xxhash64(schema.identifier), F.lit(schema.buckets)).cast("int")
+        return None, None
+
+    def _touched(self, schema: EntitySchema, since: int, *frames: DataFrame) -> list | None:
+        """The parts that rows belong to, as many as the table has at most; None for a table that must be written whole."""
+        part, place = self._part(schema)
+        if part is None or self._commit(schema.name, since)["revision"] != len(self.history(schema.name)):
+            return None
+        return [r[0] for r in reduce(DataFrame.unionByName, [f.select(place.alias("v")) for f in frames]).distinct().collect()]
+
+    def _names(self, schema: EntitySchema, values: list) -> set[str]:
+        """The names of parts' folders."""
+        part, _ = self._part(schema)
+        kind = schema.attribute(part).type if schema.partition else T.IntegerType()
+        texts = self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", kind)])).select(F.col("v").cast("string")).collect()
+        path_of = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+        return {path_of(part, r[0]) for r in texts}
+
+    def _write(self, schema: EntitySchema, df: DataFrame, since: int | None = None, values: list | None = None) -> None:
         """Make df the table's content. since: the version it was made from, which must still be the last one.
 
-        touched: the values of the partition in which df differs from that version (one column, as often as
-        may be); only these are written. They are as many as the table has partitions at most. A table
-        without a partition, or of an earlier revision, is written whole.
+        values: the parts in which df differs from that version, by _touched(); only these are written.
         """
-        name, part = schema.name, schema.partition
+        name = schema.name
+        part, place = self._part(schema)
         since = self._version(name) if since is None else since
-        before, revision = self._commit(name, since), len(self.history(name))
         kept: dict[str, str] = {}
-        if part and touched is not None and before["revision"] == revision:
-            values = [r[0] for r in touched.select(F.col(touched.columns[0]).alias("v")).distinct().collect()]
+        if part and not schema.partition:
+            df = df.withColumn(part, place)
+        if values is not None:
             within = F.col(part).isin(*[v for v in values if v is not None])
             if None in values or "" in values:  # these share a folder
                 within = F.coalesce(within, F.lit(False)) | F.col(part).isNull() | (F.col(part).cast("string") == "")
-            df = df.filter(within)
-            texts = [r[0] for r in self.spark.createDataFrame([(v,) for v in values], T.StructType([T.StructField("v", schema.attribute(part).type)])).select(F.col("v").cast("string")).collect()]
-            path_of = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
-            gone = {path_of(part, text) for text in texts}
-            kept = {k: v for k, v in before["folders"].items() if k not in gone}
+            df, gone = df.filter(within), self._names(schema, values)
+            kept = {k: v for k, v in self._commit(name, since)["folders"].items() if k not in gone}
         layout = [i.attribute for i in schema.indexes if i.kind == "ORDERED"] or [schema.identifier]
         if part:
             df = df.hint("rebalance", part)  # files of even size, however large a value's share is
@@ -182,7 +205,7 @@ class Warehouse(Database):
         folder = f"v={since + 1}-{uuid.uuid4().hex}"
         writer.parquet(f"{self.root}/{name}/{folder}")
         made = [n for n in self.files.names(f"{self.root}/{name}/{folder}") if n.startswith(f"{part}=")] if part else [""]
-        commit = {"revision": revision, "folders": kept | dict.fromkeys(made, folder)}
+        commit = {"revision": len(self.history(name)), "folders": kept | dict.fromkeys(made, folder)}
         if not self.files.create(f"{self.root}/{name}/_commits/{since + 1}.json", json.dumps(commit)):
             self.files.delete(f"{self.root}/{name}/{folder}")
             raise Conflict(f"{name} has changed since version {since}")
@@ -195,7 +218,7 @@ class Warehouse(Database):
         for folder in self.files.names(at):
             if folder.startswith("v=") and folder not in folders.values():
                 self.files.delete(f"{at}/{folder}")
-            elif folder.startswith("v=") and self.catalog.schema(name).partition:
+            elif folder.startswith("v="):
                 for part in self.files.names(f"{at}/{folder}"):
                     if "=" in part and folders.get(part) != folder:
                         self.files.delete(f"{at}/{folder}/{part}")
@@ -235,11 +258,12 @@ class Warehouse(Database):
                 raise ValueError(f"{name}: " + "; ".join(f"{p['problem']} in {p['rows']} rows" for p in problems))
             if self.journal:
                 self.journal.append(schema, "SAVE", rows)
-            touched = None
-            if schema.partition:
-                old = table.join(rows.select(schema.identifier), schema.identifier, "left_semi")
-                touched = rows.select(schema.partition).unionByName(old.select(schema.partition))
-            self._write(schema, dml.replaced(table, rows, schema), since, touched)
+            # a row may come from another partition, but never from another bucket
+            old = [table.join(rows.select(schema.identifier), schema.identifier, "left_semi")] if schema.partition else []
+            values = self._touched(schema, since, rows, *old)
+            if values is not None:
+                table = self.read(name, since, self._names(schema, values))
+            self._write(schema, dml.replaced(table, rows, schema), since, values)
             for hook in schema.after_insert:
                 hook(fresh)
             for hook in schema.after_update:
@@ -267,7 +291,10 @@ class Warehouse(Database):
             hook(gone)
         if self.journal:
             self.journal.append(schema, "DELETE", gone)
-        self._write(schema, dml.without(table, keys, schema.identifier), since, gone.select(schema.partition) if schema.partition else None)
+        values = self._touched(schema, since, gone)
+        if values is not None:
+            table = self.read(name, since, self._names(schema, values))
+        self._write(schema, dml.without(table, keys, schema.identifier), since, values)
         for hook in schema.after_remove:
             hook(gone)
         return number
@@ -283,8 +310,7 @@ class Warehouse(Database):
             rows = hits.select(*[F.lit(query.updates[c]).cast(t).alias(c) if c in query.updates else F.col(c) for c, t in ((a.name, a.type) for a in schema.attributes)])
             if self.journal:
                 self.journal.append(schema, "SAVE", rows)
-            touched = hits.select(schema.partition).unionByName(rows.select(schema.partition)) if schema.partition else None
-            self._write(schema, df, since, touched)
+            self._write(schema, df, since, self._touched(schema, since, hits.select(rows.columns), rows))
         return changed
 
     def delete(self, query: Query) -> int:
@@ -297,7 +323,7 @@ class Warehouse(Database):
             hits = table.filter(hit)
             if self.journal:
                 self.journal.append(schema, "DELETE", hits)
-            self._write(schema, df, since, hits.select(schema.partition) if schema.partition else None)
+            self._write(schema, df, since, self._touched(schema, since, hits))
         return gone
 
     def truncate(self, name: str, partition: Any = None) -> int:

@@ -299,3 +299,32 @@ def test_of_two_writers_the_first_wins(store):
     assert [r[0] for r in rows(store)] == [1, 2]
     store.vacuum("item")
     assert len(store.files.names(f"{store.root}/item")) == 3  # the schema, the commits, one folder of rows
+
+
+def test_a_change_rewrites_the_buckets_it_touches(spark, tmp_path):
+    store = Warehouse(spark, str(tmp_path / "w"))
+    plain = EntitySchema("dealt", (Attribute("id", T.LongType()), Attribute("n", T.LongType())), "id")
+    dealt = plain.with_(buckets=8)
+    store.declare(dealt)
+    store.save("dealt", [{"id": i, "n": i} for i in range(100)])
+
+    def folders():
+        return store._commit("dealt", store._version("dealt"))["folders"]
+
+    first = folders()
+    assert len(first) == 8 and store.read("dealt").columns == ["id", "n"]
+    store.save("dealt", [{"id": 5, "n": -5}, {"id": 5, "n": -6}])
+    second = folders()
+    assert len([k for k in first if second[k] != first[k]]) == 1
+    store.remove("dealt", [7])
+    assert store.update(Query("dealt", criteria=col("id").eq(9), updates={"n": 0})) == 1
+    assert store.delete(Query("dealt", criteria=col("id").eq(11))) == 1
+    want = [(i, {5: -6, 9: 0}.get(i, i)) for i in range(100) if i not in (7, 11)]
+    assert rows(store, "dealt") == want
+    store.vacuum("dealt")
+    assert rows(Warehouse(spark, store.root), "dealt") == want
+    for schema in (plain, dealt.with_(buckets=3), plain):  # dealt anew: the next write is of the whole table
+        store.declare(schema)
+        assert rows(store, "dealt") == want
+        store.save("dealt", [{"id": 5, "n": -6}])
+        assert len(folders()) == schema.buckets and rows(store, "dealt") == want
