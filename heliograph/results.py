@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
@@ -39,10 +40,10 @@ def after(df: DataFrame, keys: list[tuple[str, bool]], values: list) -> DataFram
     return df.filter(condition)
 
 
-def page(planner: Planner, query: Query) -> tuple[list[Row], str | None]:
-    """One page and the token of the next one. A page starts after a key, so late pages cost no more than early ones.
+def ordered(planner: Planner, query: Query) -> tuple[DataFrame, list[tuple[str, bool]]]:
+    """All rows of the query in the order of its pages, and that order: the query's, then the identifier.
 
-    Order is the query's, then the identifier; the query must select what it orders by.
+    The query must select what it orders by. Rows up to its next_page are left out.
     """
     schema = planner.catalog.schema(query.entity)
     orders = query.order_by if any(o.expression == schema.identifier for o in query.order_by) else (*query.order_by, Order(schema.identifier))
@@ -52,25 +53,33 @@ def page(planner: Planner, query: Query) -> tuple[list[Row], str | None]:
     keys = [(o.expression, o.ascending) for o in orders]
     if query.next_page:
         df = after(df, keys, values_of(query.next_page))
+    return df.orderBy(*[F.col(f"`{n}`").asc_nulls_first() if up else F.col(f"`{n}`").desc_nulls_last() for n, up in keys]), keys
+
+
+def page(planner: Planner, query: Query) -> tuple[list[Row], str | None]:
+    """One page and the token of the next one. A page starts after a key, so late pages cost no more than early ones."""
+    rows, keys = ordered(planner, query)
     size = query.page_size or 100
-    ordered = df.orderBy(*[F.col(f"`{n}`").asc_nulls_first() if up else F.col(f"`{n}`").desc_nulls_last() for n, up in keys])
-    rows = ordered.limit(size + 1).collect()
+    rows = rows.limit(size + 1).collect()
     token = token_of([rows[size - 1][n] for n, _ in keys]) if len(rows) > size else None
     return rows[:size], token
 
 
 def pages(planner: Planner, query: Query, prefetch: bool = True) -> Iterator[list[Row]]:
-    """All pages in order; prefetch: the next one is worked out while the caller has the last."""
+    """All pages in order, cut from one sort of the rows; prefetch: the next one is worked out while the caller has the last.
+
+    The driver holds a partition of the sorted rows at a time, two with prefetch.
+    """
+    rows = ordered(planner, query)[0].toLocalIterator(prefetchPartitions=prefetch)
+    taken = lambda: list(itertools.islice(rows, query.page_size or 100))
     with ThreadPoolExecutor(1) as ahead:
-        waiting = ahead.submit(page, planner, query)
-        while waiting is not None:
-            rows, token = waiting.result()
-            following = query.with_(next_page=token)
-            waiting = ahead.submit(page, planner, following) if token is not None and prefetch else None
-            if rows:
-                yield rows
-            if token is not None and not prefetch:
-                waiting = ahead.submit(page, planner, following)
+        waiting = ahead.submit(taken)
+        while found := waiting.result():
+            if prefetch:
+                waiting = ahead.submit(taken)
+            yield found
+            if not prefetch:
+                waiting = ahead.submit(taken)
 
 
 def for_each_page(planner: Planner, query: Query, action: Callable[[list[Row]], Any], workers: int = 4) -> int:

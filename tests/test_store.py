@@ -244,6 +244,19 @@ def test_pages_side_by_side(store):
     assert results.for_each_page(store.planner, query, lambda rows: False, workers=1) < 6
 
 
+def test_pages_are_cut_from_one_sort(spark, store, monkeypatch):
+    """However many pages: one plan; and rows that repeat an identifier are lost at no page's end."""
+    store.save("item", [{"id": i, "name": "n"} for i in range(1, 24)])
+    read, planned = store.planner.plan, []
+    monkeypatch.setattr(store.planner, "plan", lambda query: planned.append(query) or read(query).unionByName(read(query)))
+    query = Query("item", selections=("id",), page_size=3)
+    found = [[r.id for r in p] for p in results.pages(store.planner, query)]
+    assert [i for p in found for i in p] == sorted([*range(1, 24)] * 2) and [len(p) for p in found] == [3] * 15 + [1]
+    assert len(planned) == 1
+    _, token = results.page(store.planner, query.with_(page_size=4))
+    assert [r.id for p in results.pages(store.planner, query.with_(next_page=token)) for r in p] == sorted([*range(3, 24)] * 2)
+
+
 def test_validation_and_cascade_string_deletes(spark, store):
     assert not any(store.validate(BOX).values())
     assert any(store.validate(BOX.with_(attributes=(*BOX.attributes, Attribute("more", T.LongType())))).values()) and len(store.history("box")) == 1
