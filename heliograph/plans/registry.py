@@ -524,10 +524,22 @@ def _mapped(d: Database) -> DataFrame:
     return d.catalog.table("nation").sparkSession.createDataFrame(seen, "n_nationkey long, region string")
 
 
+def _columns(d: Database, pages: list[tuple], schema: str) -> DataFrame:
+    """Pages, each as Arrow columns, back as a table: the driver holds a few bytes a value, not an object."""
+    import pyarrow as pa
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [pa.int64() if c.endswith(" long") else pa.float64() for c in schema.split(", ")]
+    whole = pa.table([pa.chunked_array(x, kind) for x, kind in zip(zip(*pages, strict=True), kinds, strict=True)] if pages else [pa.array([], kind) for kind in kinds], names)
+    return d.catalog.table("customer").sparkSession.createDataFrame(whole.combine_chunks(), schema)
+
+
 def _parallel_pages(d: Database) -> DataFrame:
+    import pyarrow as pa
+
     found = []
-    results.for_each_page(d.planner, Query("customer", selections=("c_custkey",), page_size=300), lambda rows: found.extend((r.c_custkey,) for r in rows))
-    return d.catalog.table("customer").sparkSession.createDataFrame(found, "c_custkey long")
+    results.for_each_page(d.planner, Query("customer", selections=("c_custkey",), page_size=300), lambda rows: found.append((pa.array([r.c_custkey for r in rows], pa.int64()),)))
+    return _columns(d, found, "c_custkey long")
 
 
 def _in_parallel(d: Database) -> DataFrame:
@@ -537,8 +549,11 @@ def _in_parallel(d: Database) -> DataFrame:
 
 
 def _all_pages(d: Database) -> DataFrame:
-    found = [tuple(r)[:2] for page in results.pages(d.planner, Query("customer", selections=("c_custkey", "c_acctbal"), order_by=(Order("c_acctbal", False),), page_size=400)) for r in page]
-    return d.catalog.table("customer").sparkSession.createDataFrame(found, "c_custkey long, c_acctbal double")
+    import pyarrow as pa
+
+    query = Query("customer", selections=("c_custkey", "c_acctbal"), order_by=(Order("c_acctbal", False),), page_size=400)
+    found = [(pa.array([r.c_custkey for r in page], pa.int64()), pa.array([r.c_acctbal for r in page], pa.float64())) for page in results.pages(d.planner, query)]
+    return _columns(d, found, "c_custkey long, c_acctbal double")
 
 
 add("r01_stream_early_stop", _streamed, "SELECT o_orderkey FROM orders ORDER BY 1 DESC LIMIT 75")

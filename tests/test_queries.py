@@ -1,6 +1,7 @@
 import pytest
 
 from heliograph.builder import asc, avg, col, count_, desc, max_, median, min_, percentile, sum_
+from heliograph.plans import registry
 from heliograph.plans.planner import MaxCardinalityExceeded
 from tests.fixtures import database, moment
 
@@ -129,3 +130,22 @@ def test_filters_reach_the_scan(spark, sf):
     df = tables(spark, sf).select("o_orderkey").from_("orders").where(col("o_totalprice").gt(1000.0) & col("o_orderstatus").neq("F")).df()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(o_totalprice,1000.0)" in plan and "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double>" in plan
+
+
+@pytest.mark.parametrize("key", ["r14_all_pages", "r14_parallel_pages"])
+def test_page_queries_read_their_table_once(spark, monkeypatch, key):
+    from heliograph.plans.planner import Planner
+
+    read, planned = Planner.plan, []
+    monkeypatch.setattr(Planner, "plan", lambda self, query: planned.append(query) or read(self, query))
+    found = registry.QUERIES[key](spark, "/root/testdata/sf0.01")
+    assert found.count() == 1500 and len(planned) == 1
+
+
+def test_pages_as_columns(spark, sf):
+    import pyarrow as pa
+
+    d = registry.database(spark, sf)
+    some = [(pa.array([1, None], pa.int64()), pa.array([None, 2.5], pa.float64())), (pa.array([3], pa.int64()), pa.array([0.5], pa.float64()))]
+    assert [tuple(r) for r in registry._columns(d, some, "k long, v double").collect()] == [(1, None), (None, 2.5), (3, 0.5)]
+    assert registry._columns(d, [], "k long, v double").collect() == []
