@@ -25,7 +25,7 @@ def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and smoothed unigram score; the score to six decimals, as sums of doubles differ beyond."""
-    found = lm.op9_lm_scores(spark, sf_dir)
+    found = lm.fold_scores(spark, sf_dir, neural=False)  # as the operator's query, but for the training of its model
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 6).alias("base_score"))
 
 

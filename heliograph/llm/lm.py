@@ -349,12 +349,13 @@ def texts_of(batch) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model_words: int = MODEL_WORDS, known_words: int = KNOWN_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model_words: int = MODEL_WORDS, known_words: int = KNOWN_WORDS, neural: bool = True) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of each row of docs (columns key, text).
 
     training: (key, text) of the training fold. Null texts count as empty: one token, the end. Rows that repeat
     a key are scored one by one, and come out as often as they went in. With an empty training fold every
-    token is unknown and the model knows its end alone.
+    token is unknown and the model knows its end alone. Without `neural` no model is trained and score is left
+    out; the other columns come from the same counts and the same pass.
     """
     spark = docs.sparkSession
     modest(spark)
@@ -393,15 +394,15 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
             yield pa.RecordBatch.from_arrays([pa.array([raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.binary()), pa.array((done + np.arange(len(batch))) % ROUNDS, pa.int32())], ["c", "turn"])
             done += len(batch)
 
-    encoded = durable(training.select("text").mapInArrow(lean(encode), "c binary, turn int"))
-    model, _ = fit_all(encoded, frequency, total)
-    shared_model = spark.sparkContext.broadcast(model)
+    if neural:
+        encoded = durable(training.select("text").mapInArrow(lean(encode), "c binary, turn int"))
+        shared_model = spark.sparkContext.broadcast(fit_all(encoded, frequency, total)[0])
     denominator = total + 0.5 * (distinct + 1)
 
     def part(batches):
         import pyarrow as pa
 
-        s, net = Scorer(*shared.value), shared_model.value
+        s, net = Scorer(*shared.value), shared_model.value if neural else None
         log_base = np.log10((s.counts + 0.5) / denominator)
         log_rare = np.log10(s.counts + 0.5) - log_share[s.of]
         log_rare[: m + 2] = 0.0
@@ -413,7 +414,7 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
         for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             numbers, classes, sizes, others = s.numbers(texts_of(batch))
             starts = np.cumsum(sizes) - sizes
-            logs = log_probabilities(net, contexts_of(classes, sizes), classes) / np.log(10) + log_rare[numbers]
+            logs = log_probabilities(net, contexts_of(classes, sizes), classes) / np.log(10) + log_rare[numbers] if neural else np.zeros(len(numbers))
             each = lambda x, starts=starts: np.add.reduceat(x, starts)
             main = [batch["_row"], batch["key"], pa.array(sizes), pa.array(each(have[numbers].astype(np.int64))), pa.array(each(log_base[numbers])), pa.array(each(logs.astype(np.float64)))]
             yield pa.RecordBatch.from_arrays([*main, *(pa.nulls(len(batch), k) for k in kinds[6:7]), pa.array(np.zeros(len(batch), np.int64))], names)
@@ -444,14 +445,19 @@ def score_texts(docs: DataFrame, training: DataFrame, key: str = "doc_id", model
         F.when(is_word, tf * F.log10((count + 0.5) / F.lit(denominator))).otherwise(F.col("base")).alias("base"),
         F.when(is_word, F.col("model") + tf * F.log10(count + 0.5)).otherwise(F.col("model")).alias("model"),
     )
-    return joined.groupBy("_row").agg(
+    scored = joined.groupBy("_row").agg(
         F.max("key").alias(key), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         F.sum("base").alias("base_score"), F.sum("model").alias("score"),
     ).drop("_row")
+    return scored if neural else scored.drop("score")
 
 
-def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fold_scores(spark: SparkSession, sf_dir: str, neural: bool = True) -> DataFrame:
     """All `documents` scored by what the fold crc32(doc_id as text) mod 5 <> 1 teaches (a null id: not used)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    scores = score_texts(docs, docs.filter(remainder("doc_id", 5) != 1))
+    scores = score_texts(docs, docs.filter(remainder("doc_id", 5) != 1), neural=neural)
     return scores.withColumn("held_out", F.coalesce(remainder("doc_id", 5) == 1, F.lit(False)))
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold_scores(spark, sf_dir)

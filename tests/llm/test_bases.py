@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from heliograph.llm import bases, pii, secrets
+from heliograph.llm import bases, lm, pii, secrets
 from tests.test_registry import plain
 
 TEXTS = [
@@ -42,3 +42,12 @@ def test_spans(made, key):
     got = found.select(*names).toPandas()
     assert all(got[n].sum() for n in names[1:-1])
     assert plain(got) == by_sql(made, bases.SECRETS_SQL if key == "secrets" else bases.PII_SQL)
+
+
+def test_scores_without_training(spark, monkeypatch):
+    """The base columns are those of the operator's query, and no model is trained for them."""
+    sf = "/root/testdata/sf0.001"
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
+    whole = sorted((*r[:5], round(r[5], 6)) for r in lm.op9_lm_scores(spark, sf).select(*names, "base_score").collect())
+    monkeypatch.setattr(lm, "fit_all", None)
+    assert sorted(map(tuple, bases.base_scores(spark, sf).select(*names, "base_score").collect())) == whole
