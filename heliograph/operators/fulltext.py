@@ -129,6 +129,12 @@ def holds(text: Column, term: Term) -> Column:
     return reduce(lambda a, b: a & b, [text.contains(w) for w in term.words])
 
 
+def stands(text: Column, term: Term) -> Column:
+    """Whether the lower-cased text may have the term: for a single word a test of what is beside it, which lets few other texts through."""
+    word, kind = re.escape(term.words[0]), TOKEN[:-1]
+    return holds(text, term) & text.rlike(f"{word}(?<!{kind}{word})(?!{kind})") if len(term.words) == 1 else holds(text, term)
+
+
 def frequency(text: Column, words: Column, term: Term) -> Column:
     """How often the term stands in the token array of the lower-cased text; only texts that can have it are gone through."""
     return counted(words, term) if term.pattern else F.when(holds(text, term), counted(words, term)).otherwise(F.lit(0))
@@ -193,8 +199,8 @@ def search(df: DataFrame, text: Column, query: str, minimum_score: float | None
 
     whole, hopeful = frequencies(df), df
     if scoring and not any(t.pattern for t in scoring):
-        # whatever matches holds a scoring term, so only texts with such a string are cut into tokens again
-        hopeful = df.filter(reduce(lambda a, b: a | b, [holds(lowered(text), t) for t in scoring]))
+        # whatever matches has a scoring term, so only texts where one stands by itself are cut into tokens again
+        hopeful = df.filter(reduce(lambda a, b: a | b, [stands(lowered(text), t) for t in scoring]))
     measures = [F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_mean")] + [F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"_df{i}") for i in range(len(every))]
     if partition:
         stats = whole.groupBy(F.col(partition).alias("_p")).agg(*measures)

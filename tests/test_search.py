@@ -68,3 +68,11 @@ def test_vector_cells(spark, tmp_path):
     assert found >= 90
     whole = index.search(points[3][1], 10, probes=10_000).collect()
     assert {r.key for r in whole} == {r.id for r in vector.nearest(df, "v", points[3][1], 10, "id").collect()}
+
+
+def test_texts_with_a_word_inside_others_are_not_cut(spark):
+    texts = ["3", "a3 3b 33", "x-3.5", "\u00e93", "3\u00e9", "3_", "33 3", "13-3", None, "\U0001d4b3 3"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    term = fulltext.Term(("3",))
+    assert [r.id for r in df.filter(fulltext.stands(fulltext.lowered(F.col("text")), term)).orderBy("id").collect()] == [0, 2, 6, 7, 9]
+    assert sorted(r.id for r in fulltext.search(df, F.col("text"), "3").collect()) == [0, 2, 6, 7, 9]
