@@ -53,6 +53,16 @@ def tokens(text: Column) -> Column:
     return F.when(ascii_, F.regexp_extract_all(text, F.lit(PLAIN_TOKEN), F.lit(0))).otherwise(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
 
 
+def separated(text: Column) -> Column:
+    """A lower-cased text without the characters beyond ASCII that no token holds: its tokens are the runs of TOKEN_BYTES in it."""
+    ascii_ = F.octet_length(text) == F.char_length(text)
+    return F.when(ascii_, text).otherwise(F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{N}]", " "))
+
+
+#: Bytes of tokens in texts of separated().
+TOKEN_BYTES = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789_") | frozenset(range(0x80, 0x100))
+
+
 def words_of(text: str) -> tuple[str, ...]:
     import regex
 

@@ -12,8 +12,79 @@ from pyspark.sql import functions as F
 from heliograph.operators import fulltext, vector
 
 
+#: Bytes of texts whose postings are put together, about.
+BLOCK = 24 << 20
+#: Tasks among which a bucket of terms is dealt, by the key.
+DEALS = 8
+
+
+def blocks(kind: str):
+    """(part, schema): from rows (key, deal, text) the blocks (term, deal, total, rows), one for each term and deal of about BLOCK bytes.
+
+    text is as fulltext.separated() leaves it. rows: (key, tf, n) of each text with the term; total: the sum of their
+    tf. A text's tokens are at hand together, so frequencies are counted where the text is and only blocks are shuffled.
+    """
+    table = np.zeros(256, bool)
+    table[sorted(fulltext.TOKEN_BYTES)] = True
+
+    def part(batches):
+        import pyarrow as pa
+
+        def cut(texts):
+            """The tokens of the texts in a row, and how many each has."""
+            _, offsets, data = texts.buffers()
+            ends = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+            ends = ends - ends[0]
+            inside = table[raw]
+            before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
+            before[ends[:-1][ends[:-1] < len(raw)]] = False  # no token crosses texts
+            after[ends[1:][ends[1:] > 0] - 1] = False
+            first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
+            stops = np.r_[0, np.cumsum(last - first + 1)].astype(np.int32)
+            words = pa.StringArray.from_buffers(len(first), pa.py_buffer(stops), pa.py_buffer(raw[inside]))
+            return words, np.diff(np.searchsorted(first, ends))
+
+        def block(held):
+            keys, deals, texts = (pa.concat_arrays(x) for x in zip(*held, strict=True))
+            words, n = cut(texts)
+            if not len(words):
+                return
+            words, deals = words.dictionary_encode(), deals.to_numpy()
+            # one number for each token, in the order of terms, deals and texts
+            by = np.argsort(deals, kind="stable")
+            place = np.empty(len(n), np.int64)
+            place[by] = np.arange(len(n))
+            code = np.sort(words.indices.to_numpy().astype(np.int64) * len(n) + np.repeat(place, n))
+            heads = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+            tf = np.diff(np.r_[heads, len(code)])
+            term, text = np.divmod(code[heads], len(n))
+            text = by[text]
+            deal = deals[text]
+            starts = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (deal[1:] != deal[:-1])])
+            rows = pa.StructArray.from_arrays([keys.take(pa.array(text)), pa.array(tf, pa.int32()), pa.array(n[text], pa.int32())], ["key", "tf", "n"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(term)], pa.int32()), rows)
+            out = [words.dictionary.take(pa.array(term[starts])), pa.array(deal[starts], pa.int32()), pa.array(np.add.reduceat(tf, starts), pa.int64()), lists]
+            whole = pa.RecordBatch.from_arrays(out, ["term", "deal", "total", "rows"])
+            yield from (whole.slice(at, 50_000) for at in range(0, len(whole), 50_000))
+
+        held, size = [], 0
+        for some in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
+            texts = some["text"].cast(pa.string())
+            ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+            held.append((some["key"], some["deal"], texts))
+            size += int(ends[-1] - ends[0])
+            if size >= BLOCK:
+                yield from block(held)
+                held, size = [], 0
+        if held:
+            yield from block(held)
+
+    return part, f"term string, deal int, total long, rows array<struct<key:{kind},tf:int,n:int>>"
+
+
 class TextIndex:
-    """Postings (bucket, term, key, tf, n) under a folder, by buckets of terms and sorted by term within them.
+    """Postings (bucket, term, total, rows) under a folder, by buckets of terms and sorted by term within them; rows hold (key, tf, n).
 
     A search for terms reads their buckets alone, and of their files the parts that may hold the terms. Numbers of
     rows and the mean length are kept beside the postings, document frequencies are counted from what is read.
@@ -24,15 +95,17 @@ class TextIndex:
 
     def build(self, df: DataFrame, key: str, text, buckets: int = 64) -> TextIndex:
         """Index every row of df. A null text has no terms, but counts as a row, as in a search without an index."""
-        rows = df.select(F.col(key).alias("key"), fulltext.tokens(fulltext.lowered(text)).alias("_tokens"))
-        terms = rows.select("key", F.size("_tokens").alias("n"), F.explode("_tokens").alias("term"))
-        postings = terms.groupBy("term", "key").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.first("n").alias("n"))
+        rows = df.select(F.col(key).alias("key"), F.pmod(F.xxhash64(F.col(key)), F.lit(DEALS)).cast("int").alias("deal"), fulltext.lowered(text).alias("text"))
+        rows = rows.withColumn("text", fulltext.separated(F.col("text")))
+        postings = rows.mapInArrow(*blocks(rows.schema["key"].dataType.simpleString()))
         postings = postings.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
         # a frequent term goes to several tasks, by its key
-        dealt = postings.repartition("bucket", F.pmod(F.xxhash64("key"), F.lit(8))).sortWithinPartitions("bucket", "term")
+        dealt = postings.repartition("bucket", "deal").sortWithinPartitions("bucket", "term").drop("deal")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
-        facts = rows.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg(F.size("_tokens")), F.lit(0.0)).alias("mean"))
-        facts.withColumn("buckets", F.lit(buckets)).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/facts")
+        docs = df.count()
+        total = self.spark.read.schema("total long").parquet(f"{self.path}/postings").agg(F.sum("total")).first()[0] or 0
+        facts = self.spark.createDataFrame([(docs, total / docs if docs else 0.0, buckets)], "docs long, mean double, buckets int")
+        facts.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/facts")
         return self
 
     def search(self, query: str, minimum_score: float | None = None) -> DataFrame:
@@ -52,7 +125,7 @@ class TextIndex:
             if t.pattern:
                 wanted = wanted | F.col("term").rlike(fulltext.wildcard(t.words[0]))
         of = [F.col("term").rlike(fulltext.wildcard(t.words[0])) if t.pattern else F.col("term") == t.words[0] for t in every]
-        rows = postings.filter(wanted).groupBy("key").agg(F.first("n").alias("_n"), *[F.coalesce(F.sum(F.when(x, F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, x in enumerate(of)])
+        rows = postings.filter(wanted).select("term", F.inline("rows")).groupBy("key").agg(F.first("n").alias("_n"), *[F.coalesce(F.sum(F.when(x, F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, x in enumerate(of)])
         counts = rows.agg(*[F.sum((F.col(f"_tf{i}") > 0).cast("long")).alias(f"d{i}") for i in range(len(every))]).first() if every else {}
         score, mean = F.lit(0.0), max(float(facts["mean"]), 1e-9)
         for i, t in enumerate(every):

@@ -76,3 +76,20 @@ def test_texts_with_a_word_inside_others_are_not_cut(spark):
     term = fulltext.Term(("3",))
     assert [r.id for r in df.filter(fulltext.stands(fulltext.lowered(F.col("text")), term)).orderBy("id").collect()] == [0, 2, 6, 7, 9]
     assert sorted(r.id for r in fulltext.search(df, F.col("text"), "3").collect()) == [0, 2, 6, 7, 9]
+
+
+def test_postings_are_counted_where_the_text_is(spark, tmp_path, monkeypatch):
+    """One block for each term and deal of a task's texts, not a row for each term of each text, with the tokens of the texts."""
+    from heliograph.sources import indexes
+
+    texts = ["ab", "cd", "", None, "ab cd", "Straße—Été", "é \U0001f600ab", "a_b-12 ٣", "x", "İx", "--", "日本 ab。cd", "\x00ab\x7fcd"]
+    df = spark.createDataFrame([(f"k{i}", texts[i % len(texts)]) for i in range(1300)], "id string, text string").coalesce(1)
+    plain = df.select("id", F.size(fulltext.tokens(fulltext.lowered(F.col("text")))).alias("n"), F.explode(fulltext.tokens(fulltext.lowered(F.col("text")))).alias("term"))
+    expected = sorted((r.term, r.id, r["count"], r.n) for r in plain.groupBy("term", "id", "n").count().collect())
+    for size in (indexes.BLOCK, 100):
+        monkeypatch.setattr(indexes, "BLOCK", size)
+        index = indexes.TextIndex(spark, str(tmp_path / str(size))).build(df, "id", F.col("text"), 4)
+        stored = spark.read.parquet(f"{index.path}/postings")
+        assert sorted(tuple(r) for r in stored.select("term", F.inline("rows")).select("term", "key", "tf", "n").collect()) == expected
+        if size > 100:
+            assert stored.count() <= len({t for t, *_ in expected}) * indexes.DEALS < len(expected)
