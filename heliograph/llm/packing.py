@@ -43,7 +43,8 @@ class Words:
     A word follows a space, or holds the line end or FIRST that it follows. New words are encoded in long
     joined texts, where each begins a token, and the ids are dealt back by the lengths of their tokens in
     bytes. A comma or full stop after a letter or digit is a token of its own, so such words take the ids of
-    what stands before it. Over `most` words, all are forgotten.
+    what stands before it. Words of letters alone are one piece to the tokenizer's pattern, so they go to its
+    model without the pattern. Over `most` words, all are forgotten.
     """
 
     def __init__(self, tokenizer, most: int = 600_000):
@@ -54,9 +55,9 @@ class Words:
         self.bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)  # one character for each byte
-        # the same model cut at its sign for a space: words of plain letters are one piece to the pattern anyway
+        # the same model without the pattern, for words written as its vocabulary writes bytes
         self.plain = type(tokenizer)(tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.Split(SPACE, "merged_with_next")
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.marks = {mark: tokenizer.encode(mark, add_special_tokens=False).ids[0] for mark in ",."}
         self.forget()
 
@@ -71,15 +72,21 @@ class Words:
         lines, words, marked = [w for w in new if w[0] == "\n"], [], []
         for w in new:
             if w[0] != FIRST and w[0] != "\n":
-                (marked if w[-1] in ",." and w[-2:-1].isalnum() and w.isascii() else words).append(w)
+                (marked if w[-1] in ",." and w[-2:-1].isalnum() and w[-2] < BEYOND else words).append(w)
         words += {w[:-1] for w in marked}.difference(self.place, words)
-        plain, others = [], []
+        plain, latin, others = [], [], []
         for w in words:
-            (plain if w.isalpha() and w.isascii() else others).append(w)
-        for group, lead, tokenizer in ((lines, "", self.tokenizer), (others, " ", self.tokenizer), (plain, SPACE, self.plain)):
+            (others if not w.isalpha() else plain if w.isascii() else latin if max(w) < BEYOND else others).append(w)
+        for at in range(0, max(len(plain), len(latin)), 4096):
+            for part, alphabet in ((plain[at : at + 4096], None), (latin[at : at + 4096], LETTERS)):
+                if part:
+                    text = " ".join(part)
+                    text = SPACE + (text.translate(alphabet) if alphabet else text).replace(" ", f" {SPACE}")
+                    self._deal(part, 1, self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+        for group, lead in ((lines, ""), (others, " ")):
             for at in range(0, len(group), 4096):
                 part = group[at : at + 4096]
-                self._deal(part, len(lead), tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids)
+                self._deal(part, len(lead), self.tokenizer.encode_batch_fast([lead + lead.join(part)], add_special_tokens=False)[0].ids)
         if marked:
             base = np.fromiter((self.place[w[:-1]] for w in marked), np.int64, len(marked))
             sizes = self.size[base] + 1
@@ -92,7 +99,7 @@ class Words:
     def _deal(self, words: list[str], lead: int, ids: list[int]) -> None:
         """Store the ids of the joined words, each of which `lead` bytes precede."""
         ids = np.array(ids, np.uint32)
-        stops = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in words), np.int64, len(words)) + lead)
+        stops = np.cumsum(np.fromiter(map(len, map(str.encode, words)), np.int64, len(words)) + lead)
         after = np.cumsum(self.bytes[ids])
         cuts = np.searchsorted(after, stops)
         if not np.array_equal(after[cuts], stops):
@@ -114,31 +121,52 @@ class Words:
         self.used = need
         self.place.update(zip(words, range(first, first + len(words)), strict=True))
 
-    def encoded(self, flat: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words, joined, and how many each has."""
+    def encoded(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words between the spaces of joined, one after the other, and how many each word has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.place) > self.most:
             self.forget()
-        at = np.fromiter(map(self.place.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        words = pc.split_pattern(pa.array([joined], pa.large_string()), " ").flatten().dictionary_encode()
+        distinct = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+        each = pc.binary_join(distinct, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")  # looked up once, however often they come
+        at = np.fromiter(map(self.place.get, each, itertools.repeat(-1)), np.int64, len(each))
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            lacking = [flat[i] for i in missing.tolist()]
-            self.learn(list(dict.fromkeys(lacking)))
+            lacking = [each[i] for i in missing.tolist()]
+            self.learn(lacking)
             at[missing] = np.fromiter(map(self.place.__getitem__, lacking), np.int64, len(lacking))
+        at = at[words.indices.to_numpy()]
         sizes = self.size[at]
         ends = np.cumsum(sizes)
-        return self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+        return self.ids[np.repeat(self.start[at] - ends + sizes, sizes) + np.arange(ends[-1])], sizes
 
 
-def words_of(text: str) -> list[str] | None:
-    """The text cut at single spaces and line ends between printable characters, which no token can cross; None if it has other space.
+def words_of(text: str) -> str | None:
+    """The text with a space before each line end: between its spaces are words that no token crosses; None if it has other space.
 
     The tokenizer's pattern lets a token begin with one space and never hold a space elsewhere, except in
     runs of white space; a text with such runs, or with a special token's string, is encoded as one.
     """
     if any(c in text for c in ASCII_ODD) or "<|" in text or not text.isascii() and any(c in text for c in ODD):
         return None
-    parts = (FIRST + text.replace("\n", " \n")).split(" ")
-    return None if "" in parts or "\n" in parts or parts[0] == FIRST else parts
+    if text.startswith((" ", "\n")) or text.endswith((" ", "\n")) or not text:
+        return None
+    cut = text.replace("\n", " \n")
+    return None if "  " in cut or "\n " in cut else FIRST + cut
+
+
+#: Letters before this one are letters to every version of Unicode (a fixed value).
+BEYOND = "\u0250"
+
+
+def letters() -> dict[int, str]:
+    """How the vocabulary writes the bytes of the letters before BEYOND."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that are written as themselves
+    others = [b for b in range(256) if b not in seen]
+    of = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(of[b] for b in chr(c).encode()) for c in range(128, ord(BEYOND)) if chr(c).isalpha()}
 
 
 #: White space beyond ASCII (fixed values).
@@ -146,16 +174,17 @@ ODD = "\u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\
 
 
 ASCII_ODD = "\x00\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+LETTERS = letters()
 
 
 def packed_ids(texts: list[str], words: Words) -> list[bytes]:
     """Little-endian 32-bit ids of each text."""
     cut = [words_of(t) for t in texts]
     whole = iter(words.tokenizer.encode_batch_fast([t for t, parts in zip(texts, cut, strict=True) if parts is None], add_special_tokens=False))
-    flat = list(itertools.chain.from_iterable(parts for parts in cut if parts))
-    ids, sizes = words.encoded(flat)
+    joined = [parts for parts in cut if parts is not None]
+    ids, sizes = words.encoded(" ".join(joined)) if joined else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
     raw, ends = ids.astype("<u4").tobytes(), np.r_[0, 4 * np.cumsum(sizes)]
-    bounds = iter(ends[np.cumsum([0, *[len(parts) for parts in cut if parts]])].tolist())
+    bounds = iter(ends[np.cumsum([0, *[parts.count(" ") + 1 for parts in joined]])].tolist())
     begin, out = next(bounds), []
     for parts in cut:
         if parts is None:

@@ -81,3 +81,33 @@ def test_plans_keep_every_limit():
             if not options:
                 assert bins <= 1.02 * sum(k * n for k, n in counts.items()) / 64
     assert packing.plan({}) [1] == 0
+
+
+def test_words_of_letters_need_no_pattern():
+    """Words of letters, with a comma or full stop or without, go to the model alone, and every word is learnt once."""
+
+    class Seen:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, []
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+        def encode_batch_fast(self, texts, **options):
+            self.texts += texts
+            return self.inner.encode_batch_fast(texts, **options)
+
+    letters = "Straße été, Été. über Ġ ŉ aĠb ªº µm ÿž, plain Plain. ǅx".split()
+    others = "x², ¼. don't, ʰa ɐ, é, 日本 日本, ٣ -é ,. a,b. × é× 12, \U0001f600, ­".split()
+    texts = ["x " + " ".join(letters * 3) + "\nline " + " ".join(others), "y " + " ".join(others[::-1]), "", " lead", "trail ", "a\n", "a \nb", "a\n\nb", "\x00a", "é", "x  y"]
+    words = packing.Words(TOKENIZER)
+    assert packing.packed_ids(texts, words) == [ids_of(t)[:-1].tobytes() for t in texts]
+    assert packing.packed_ids([], words) == [] and packing.packed_ids(["", " a"], words) == [ids_of(t)[:-1].tobytes() for t in ("", " a")]
+    words.forget()
+    words.tokenizer = Seen(words.tokenizer)
+    packing.packed_ids(["x " + " ".join(letters * 3)], words)
+    assert words.tokenizer.texts == ["x"]
+    for c in map(chr, range(33, ord(packing.BEYOND))):  # each letter and sign where it stands alone, first and last
+        text = f"x {c} {c}a a{c} a{c}, {c}."
+        if packing.words_of(text):
+            assert packing.packed_ids([text], words) == [ids_of(text)[:-1].tobytes()], c
