@@ -88,6 +88,29 @@ def byte_view(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
+def cut_words(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Texts cut at SPACES: which distinct word each word of all texts is, the distinct words, and how many words each text has.
+
+    offsets: where in raw each text begins, and where the last one ends.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table = np.ones(256, bool)
+    table[list(SPACES)] = False
+    data = np.frombuffer(raw, np.uint8)
+    inside = table[data]
+    before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = False  # no word crosses texts
+    after[offsets[1:][offsets[1:] > 0] - 1] = False
+    first, last = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
+    stops = np.r_[0, np.cumsum(last - first + 1)].astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(stops), pa.py_buffer(data[inside])]).dictionary_encode()
+    distinct = pa.ListArray.from_arrays([0, len(words.dictionary)], words.dictionary)
+    each = pc.binary_join(distinct, pa.scalar(b" ", pa.large_binary()))[0].as_py().split(b" ") if len(words.dictionary) else []
+    return words.indices.to_numpy(), each, np.diff(np.searchsorted(first, offsets))
+
+
 def runs(offsets: np.ndarray, most: int):
     """Slices (from, to) of rows with about `most` bytes each; one row may be longer."""
     start, n = 0, len(offsets) - 1

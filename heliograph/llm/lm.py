@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import byte_view, durable, lean, modest, read, remainder
+from heliograph.llm.common import byte_view, cut_words, durable, lean, modest, read, remainder
 
 MODEL_WORDS, KNOWN_WORDS = 1000, 50_000
 WIDTH, NOISE, ROUNDS, BATCH, SEED = 24, 64, 4, 2000, 7
@@ -41,25 +41,25 @@ def words(data: memoryview | bytes) -> list[bytes]:
 
 
 def count_words(batches):
-    """(word, n) of the task's texts, and (null, n) for their ends; flushed before it grows large."""
+    """(word, n) of the task's texts, and (null, n) for their ends, counted for about 16 MB of texts at a time."""
     import pyarrow as pa
 
-    def rows(counts, ends):
-        keys = [*counts, None] if ends else list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([*counts.values(), ends] if ends else list(counts.values()), pa.int64())], ["word", "n"])
+    def rows(held):
+        lengths = np.concatenate([np.diff(offsets) for _, offsets in held])
+        at, each, _ = cut_words(b"".join(raw for raw, _ in held).lower(), np.r_[0, np.cumsum(lengths)])
+        n = np.r_[np.bincount(at, minlength=len(each)), len(lengths)]
+        return pa.RecordBatch.from_arrays([pa.array([*each, None], pa.binary()), pa.array(n, pa.int64())], ["word", "n"])
 
-    counts: Counter = Counter()
-    ends = 0
-    for batch in batches:
+    held, size = [], 0
+    for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
         data, offsets = byte_view(batch["text"])
-        raw = data.tobytes()
-        ends += len(offsets) - 1
-        for i in range(len(offsets) - 1):
-            counts.update(words(raw[offsets[i] : offsets[i + 1]]))
-            if len(counts) > 400_000:
-                yield rows(counts, 0)
-                counts = Counter()
-    yield rows(counts, ends)
+        held.append((data.tobytes(), offsets))
+        size += len(data)
+        if size > 16 << 20:
+            yield rows(held)
+            held, size = [], 0
+    if held:
+        yield rows(held)
 
 
 def most_frequent(table: DataFrame, most: int) -> list:
@@ -84,6 +84,16 @@ def group_size(classes: int) -> int:
     return math.isqrt(max(0, classes - 1)) + 1
 
 
+def sums(gradient: np.ndarray, order: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The rows of gradient in this order, added up from each head to the next."""
+    if gradient.shape[1] == 1:
+        return np.add.reduceat(gradient[:, 0].take(order), heads)[:, None]  # a flat row of numbers is summed faster
+    rows = gradient.take(order, axis=0)
+    if rows.dtype == np.float32 and rows.shape[1] % 2 == 0:  # two columns at once
+        return np.add.reduceat(rows.view(np.complex64), heads, axis=0).view(np.float32)
+    return np.add.reduceat(rows, heads, axis=0)
+
+
 class Net:
     """Parameters of the log-bilinear model and noise-contrastive steps on them.
 
@@ -113,7 +123,7 @@ class Net:
         heads = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
         at, met = rows.take(heads).astype(np.int64), np.diff(np.r_[heads, len(rows)])
         for part, gradient in gradients:
-            g = np.add.reduceat(gradient.take(order, axis=0), heads, axis=0)
+            g = sums(gradient, order, heads)
             squares = self.squares[part].take(at) + np.einsum("nw,nw->n", g, g) / g.shape[1]
             self.seen[part][at] += met
             self.squares[part][at] = squares
@@ -127,10 +137,10 @@ class Net:
         at = np.concatenate([targets, drawn]) + base
         e, shift = self.values[2].take(at, axis=0), self.values[3][:, 0].take(at) - self.log_q.take(at) - np.float32(np.log(noise))
         right = 1 / (1 + np.exp(np.clip(np.einsum("nw,nw->n", r, e[:n]) + shift[:n], -30, 30)))  # label minus the probability of being data
-        wrong = r @ e[n:].T
-        wrong += shift[n:]
-        np.clip(wrong, -30, 30, out=wrong)
-        np.exp(np.negative(wrong, out=wrong), out=wrong)
+        wrong = r @ -e[n:].T
+        wrong -= shift[n:]
+        with np.errstate(over="ignore"):  # the share of an infinite one is 0
+            np.exp(wrong, out=wrong)
         wrong += 1
         np.divide(-1, wrong, out=wrong)
         to_r = wrong @ e[n:]
@@ -249,16 +259,22 @@ def fit_all(encoded: DataFrame, frequency: np.ndarray, total: int, width: int =
     return net.model(), positions
 
 
-def log_softmax(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """log of the softmax of each row at one place of it; scores is overwritten."""
+def log_softmax(scores: np.ndarray, at: np.ndarray, reach: float = math.inf) -> np.ndarray:
+    """log of the softmax of each row at one place of it; scores is overwritten. reach: no score is further from 0, if that is known."""
     picked = scores.take(np.arange(len(at)) * scores.shape[1] + at)
-    if scores.size and (scores.max() > 60 or scores.min() < -60):  # else no row's sum can overflow or vanish
+    if scores.size and reach > 60 and (scores.max() > 60 or scores.min() < -60):  # else no row's sum can overflow or vanish
         most = scores.max(1)
         scores -= most[:, None]
         picked -= most
     return picked - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
 
 
+def furthest(r: np.ndarray, target: np.ndarray) -> float:
+    """A bound of the scores of contexts r (a 1 last) and targets (the bias last), by the lengths of both."""
+    longest = [math.sqrt(np.einsum("nw,nw->n", x[:, :-1], x[:, :-1]).max(initial=0.0)) for x in (r, target)]
+    return longest[0] * longest[1] + float(np.abs(target[:, -1]).max(initial=0.0))
+
+
 def log_probabilities(model: dict, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log-probability of each target class after its context (last token, token before), by matrix products."""
     a, b = model["context"]
@@ -268,19 +284,21 @@ def log_probabilities(model: dict, contexts: np.ndarray, targets: np.ndarray) ->
         c, t = contexts[at : at + 65536], targets[at : at + 65536]
         order = np.argsort(t.astype(code_type(len(a))), kind="stable")  # narrow numbers are sorted by radix
         t, c = t.take(order), c.take(order, axis=0)
-        r = a.take(c[:, 0], axis=0) + b.take(c[:, 1], axis=0)
+        r = np.ones((len(t), width + 1), np.float32)
+        np.add(a.take(c[:, 0], axis=0), b.take(c[:, 1], axis=0), out=r[:, :width])
         group = t // size
         logs = np.empty(len(t), np.float32)
-        for begin in range(0, len(t), 8192):
-            some = slice(begin, begin + 8192)
-            logs[some] = log_softmax(r[some] @ model["group"][:, :width].T + model["group"][:, width], group[some])
+        reach = furthest(r, model["group"]), furthest(r, model["class"])
+        for begin in range(0, len(t), 4096):
+            some = slice(begin, begin + 4096)
+            logs[some] = log_softmax(r[some] @ model["group"].T, group[some], reach[0])
         heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]).tolist() if len(t) else []
         for begin, end in zip(heads, [*heads[1:], len(t)], strict=True):
             first = int(group[begin]) * size
             own = model["class"][first : first + size]
-            for k in range(begin, end, 8192):
-                some = slice(k, min(end, k + 8192))
-                logs[some] += log_softmax(r[some] @ own[:, :width].T + own[:, width], t[some] - first)
+            for k in range(begin, end, 4096):
+                some = slice(k, min(end, k + 4096))
+                logs[some] += log_softmax(r[some] @ own.T, t[some] - first, reach[1])
         out[at : at + 65536][order] = logs
     return out
 
@@ -317,19 +335,16 @@ class Scorer:
 
     def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
         """Token numbers and classes of all texts in a row, each text's number of tokens, and the words without a number in order."""
-        flat: list = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            found = words(text)
-            sizes[i] = len(found) + 1
-            flat += found
-            flat.append(None)
-        numbers = np.fromiter(map(self.index.get, flat, itertools.repeat(1)), np.int64, len(flat))
-        classes = self.of[numbers]
-        lacking = np.flatnonzero(numbers == 1)
-        others = [flat[k] for k in lacking.tolist()]
-        classes[lacking] = self.shared_classes(others)
-        return numbers, classes, sizes, others
+        at, each, counts = cut_words(b"".join(texts).lower(), np.cumsum([0, *map(len, texts)]))
+        sizes = counts + 1
+        number = np.fromiter(map(self.index.get, each, itertools.repeat(1)), np.int64, len(each))  # looked up once a call
+        of, unknown = self.of[number], np.flatnonzero(number == 1)
+        of[unknown] = self.shared_classes([each[k] for k in unknown.tolist()])
+        is_word = np.ones(len(at) + len(texts), bool)
+        is_word[np.cumsum(sizes) - 1] = False
+        numbers, classes = np.zeros(len(is_word), np.int64), np.zeros(len(is_word), np.int64)
+        numbers[is_word], classes[is_word] = number[at], of[at]
+        return numbers, classes, sizes, [each[k] for k in at[number[at] == 1].tolist()]
 
 
 def contexts_of(classes: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:

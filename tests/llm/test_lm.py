@@ -140,3 +140,35 @@ def test_classes_and_shares_are_a_probability():
     assert classes.tolist() == [2, 5, s.class_of(b"w4"), s.class_of(b"w29"), s.class_of(b"other"), 0, 0]
     assert numbers.tolist() == [2, 5, 6, 31, 1, 0, 0] and sizes.tolist() == [6, 1] and others == [b"other"]
     assert {s.class_at(k) for k in range(6)} == {1, 6, 7, 8, 9, 10}
+
+
+def test_words_are_cut_and_counted_as_python_does():
+    import pyarrow as pa
+
+    from heliograph.llm.common import cut_words
+
+    texts = ["A b", "", None, "b", " \t", "c\x0bC\x0cé\u00a0é\x1cx", "É\r\nb ", "ab", "c", "\x00 \x00"] * 3
+    raw = [(t or "").encode() for t in texts]
+    at, each, n = cut_words(b"".join(raw), np.cumsum([0, *map(len, raw)]))
+    assert [each[k] for k in at] == [w for t in raw for w in t.split()] and n.tolist() == [len(t.split()) for t in raw]
+    assert len(set(each)) == len(each) and cut_words(b"", np.zeros(3, int))[2].tolist() == [0, 0]
+    got = Counter()
+    for out in lm.count_words([pa.RecordBatch.from_arrays([pa.array(texts[:7])], ["text"]), pa.RecordBatch.from_arrays([pa.array(texts[7:])], ["text"])]):
+        got.update(dict(zip(out["word"].to_pylist(), out["n"].to_pylist(), strict=True)))
+    assert got == Counter(w for t in raw for w in [*t.lower().split(), None])
+
+
+def test_short_ways_give_the_same_sums_and_logs():
+    rng = np.random.default_rng(3)
+    heads, order = np.array([0, 1, 5, 300]), rng.permutation(400)
+    for width in (1, 3, 24):
+        g = rng.normal(size=(400, width)).astype(np.float32)
+        assert np.allclose(lm.sums(g, order, heads), np.add.reduceat(g.take(order, axis=0).astype(float), heads, axis=0), atol=1e-4)
+    for scale in (1, 100):  # scores within the bound, and far over it
+        r, target = np.ones((50, 5), np.float32), rng.normal(0, scale, (7, 5)).astype(np.float32)
+        r[:, :4] = rng.normal(size=(50, 4))
+        scores, at = r @ target.T, rng.integers(0, 7, 50)
+        assert np.abs(scores).max() <= lm.furthest(r, target) * 1.001 and (lm.furthest(r, target) > 60) == (scale > 1)
+        exact = scores.astype(float) - scores.max(1, keepdims=True)
+        exact = exact[np.arange(50), at] - np.log(np.exp(exact).sum(1))
+        assert np.allclose(lm.log_softmax(scores.copy(), at, lm.furthest(r, target)), exact, rtol=1e-3, atol=1e-3)
